@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import encoding, leakage, splitting
+from . import encoding, leakage, neardup, splitting
 
 
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -19,6 +19,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_pieces(spark, d).where("piece_no = 0 and n_pieces > 1").select("item_table", "item_key", "pos", "cut_kind")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs, members = neardup.near_duplicates(table(spark, d, "chunk"), "global_chunk_id", n=3, similarity=0.6, min_words=50)
+    return neardup.expanded_pairs(pairs, members).select(F.col("id_a").alias("chunk_a"), F.col("id_b").alias("chunk_b"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, d, "documents"))
 
@@ -27,6 +32,6 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_windows(table(spark, d, "documents"), table(spark, d, "eval_item")).select("doc_id", "item_id")
 
 
-QUERIES = {"p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p9_found": p9_found}
+QUERIES = {"p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found}
 
 SQL: dict[str, str] = {}
