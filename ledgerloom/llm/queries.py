@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import encoding, leakage, neardup, splitting
+from . import encoding, leakage, neardup, neighbours, splitting
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    near = neighbours.nearest(table(spark, d, "point"), k=10, min_cosine=0.85)
+    return near.select(F.least("id", "neighbour").alias("point_a"), F.greatest("id", "neighbour").alias("point_b")).distinct()
 
 
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -32,6 +37,6 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_windows(table(spark, d, "documents"), table(spark, d, "eval_item")).select("doc_id", "item_id")
 
 
-QUERIES = {"p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found}
+QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found}
 
 SQL: dict[str, str] = {}
