@@ -6,7 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import encoding, leakage, neardup, neighbours, splitting
+from . import encoding, leakage, mojibake, neardup, neighbours, splitting
+
+
+def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.repaired(table(spark, d, "raw_transcript")).where("n_repaired + n_lost > 0").select(F.col("id").alias("df_index"), "text", "n_repaired", "n_lost")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_repaired(spark, d).select("df_index").distinct()
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -37,6 +45,6 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_windows(table(spark, d, "documents"), table(spark, d, "eval_item")).select("doc_id", "item_id")
 
 
-QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found}
 
 SQL: dict[str, str] = {}
