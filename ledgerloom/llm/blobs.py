@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,25 +10,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def summed(df: DataFrame, update: Callable[[np.ndarray, pa.RecordBatch], None], slots: int) -> np.ndarray:
-    """An int64 array of ``slots`` counters: ``update`` adds each batch to its partition's array, then all are added.
-
-    The size is fixed, whatever the data: one array per task, then 16 sums, then one, which alone reaches the driver.
-    """
+def _merged(df: DataFrame, update: Callable[[np.ndarray, pa.RecordBatch], None], join: Callable[[np.ndarray, np.ndarray], np.ndarray], slots: int) -> np.ndarray:
+    def pack(own: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], ["b"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(slots, dtype=np.int64)
         for b in batches:
             update(own, b)
-        yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], ["b"])
+        yield pack(own)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(slots, dtype=np.int64)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
         for b in batches:
             for x in b.column(0):
-                own += np.frombuffer(x.as_buffer(), dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], ["b"])
+                got = np.frombuffer(zlib.decompress(x.as_buffer()), dtype=np.int64)
+                own = got if own is None else join(own, got)
+        if own is not None:
+            yield pack(own)
+
+    one = df.mapInArrow(make, "b binary").repartition(8).mapInArrow(merge, "b binary").repartition(1).mapInArrow(merge, "b binary").collect()
+    return np.frombuffer(zlib.decompress(one[0]["b"]), dtype=np.int64) if one else np.zeros(slots, dtype=np.int64)
+
+
+def summed(df: DataFrame, update: Callable[[np.ndarray, pa.RecordBatch], None], slots: int) -> np.ndarray:
+    """An int64 array of ``slots`` counters: ``update`` adds each batch to its partition's array, then all are added.
+
+    The size is fixed, whatever the data: one array per task, then 8 sums, then one, which alone reaches the driver.
+    """
+    return _merged(df, update, np.add, slots)
+
 
-    one = df.mapInArrow(count, "b binary").repartition(16).mapInArrow(add, "b binary").repartition(1).mapInArrow(add, "b binary")
-    got = one.collect()
-    return np.frombuffer(got[0]["b"], dtype=np.int64) if got else np.zeros(slots, dtype=np.int64)
+def ored(df: DataFrame, update: Callable[[np.ndarray, pa.RecordBatch], None], slots: int) -> np.ndarray:
+    """The same for bit filters, which are joined bit by bit."""
+    return _merged(df, update, np.bitwise_or, slots)

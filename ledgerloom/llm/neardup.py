@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,154 +10,240 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .blobs import summed
+from .blobs import ored, summed
 from .bytewords import mix, ngram_hashes, word_hashes
 
 #: Counters of the frequency sketch that orders runs of words from rare to common: 4 MB, whatever the corpus.
 SLOTS = 1 << 19
-#: Bits of a text's sketch, in two 64-bit halves.
-BITS = 128
+#: Bits of a text's sketch, in 64-bit parts.
+BITS = 256
 #: Members that a block is meant to have at most; larger blocks are split into sub-blocks that still meet pairwise.
 BLOCK = 4096
 #: Block entries that one task sorts.
-TASK_KEYS = 1_000_000
+TASK_KEYS = 600_000
 #: Bits of the filter that keeps texts out of verification that are in no candidate pair.
-FILTER = 1 << 21
+FILTER = 1 << 22
+#: Rows described at once; their number and a run's frequency and hash share one 64-bit sort key.
+SLAB = 8192
+#: Low bits of a block entry that hold the place of the run among its text's runs.
+PLACE = np.uint64(12)
+#: Rows whose bit planes are held at once.
+PLANE_ROWS = 32_768
+#: Larger groups are compared block against block, smaller ones all at once by offset.
+SMALL = 48
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - 19)).astype(np.int64)
 
 
-def _distinct_runs(texts: pa.Array, n: int, min_words: int):
-    """(rows with enough words, their class hashes, distinct run hashes sorted by row, first run of each row)."""
+def _runs(texts: pa.Array, n: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows with enough words, their class hashes, run hashes, place in the first array of each run's row)."""
     words, first = word_hashes(texts)
     kept = np.flatnonzero(np.diff(first) >= max(min_words, n))
     runs, begin = ngram_hashes(words, first, n)
-    row = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
-    wanted = np.zeros(len(begin) - 1, dtype=bool)
-    wanted[kept] = True
-    runs, row = runs[wanted[row]], row[wanted[row]]
+    place = np.full(len(begin) - 1, -1)
+    place[kept] = np.arange(len(kept))
+    row = np.repeat(place, np.diff(begin))
+    if len(kept) < len(place):
+        runs, row = runs[row >= 0], row[row >= 0]
     # the class of a text is a hash over its whole word sequence
     at = np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))
     part = mix(words + mix(at.astype(np.uint64) + np.uint64(1)))
     total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(part, dtype=np.uint64)])
-    cls = mix(total[first[1:]] - total[first[:-1]])[kept]
-    order = np.lexsort((runs, row))
+    return kept, mix(total[first[1:]] - total[first[:-1]])[kept], runs, row
+
+
+def _ordered(runs: np.ndarray, row: np.ndarray, rows: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct runs of each row from rare to common, first run of each row): the order is the same in all texts."""
+    rare = np.minimum(counts[_slot(runs)], (1 << 20) - 1).astype(np.uint64)
+    key = row.astype(np.uint64) << np.uint64(50) | rare << np.uint64(30) | runs >> np.uint64(34)
+    order = np.argsort(key)
     runs, row = runs[order], row[order]
     new = np.ones(len(runs), dtype=bool)
     new[1:] = (runs[1:] != runs[:-1]) | (row[1:] != row[:-1])
     runs, row = runs[new], row[new]
-    return kept, cls, runs, np.searchsorted(row, np.append(kept, len(begin) - 1))
+    return runs, np.searchsorted(row, np.arange(rows + 1))
 
 
 def _sketches(runs: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """One bit of each of BITS MinHash values: two sets of similarity J differ in (1-J)/2 of the bits on average."""
-    out = np.zeros((len(begin) - 1, 2), dtype=np.uint64)
-    if not len(out):
-        return out
-    low = runs.astype(np.uint32)
-    rng = np.random.default_rng(5)
-    for k in range(BITS):
-        a, b = rng.integers(1, 1 << 32, 2, dtype=np.uint32)
-        h = (low ^ b) * (a | np.uint32(1))
-        h ^= h >> np.uint32(15)
-        low_min = np.minimum.reduceat(h, begin[:-1])
-        out[:, k // 64] |= (mix(low_min.astype(np.uint64)) & np.uint64(1)) << np.uint64(k % 64)
-    return out
-
-
-def _keys(runs: np.ndarray, begin: np.ndarray, cls: np.ndarray, counts: np.ndarray, similarity: float):
-    """(block keys, first key of each row): a row's rarest runs, as many as pairs of the given similarity must share one of.
+    """Bit b is the parity of a text's runs that hash to b: two sketches differ as the sets' symmetric difference does."""
+    rows = len(begin) - 1
+    row = np.repeat(np.arange(rows), np.diff(begin))
+    bit = (mix(runs ^ np.uint64(0x5BD1E995)) % np.uint64(BITS)).astype(np.int64)
+    odd = np.bincount(row * BITS + bit, minlength=rows * BITS).reshape(rows, BITS) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
+
+
+def radius(total: np.ndarray, similarity: float) -> np.ndarray:
+    """Differing bits that two sets of the given similarity, ``total`` runs together, exceed with a chance of 1 in 10,000 at most."""
+    apart = (1 - similarity) / (1 + similarity) * total
+    share = (1 - (1 - 2 / BITS) ** apart) / 2
+    return np.minimum(BITS - 1, np.ceil(BITS * share + 3.72 * np.sqrt(BITS * share * (1 - share)))).astype(np.int64)
+
+
+def _entries(runs: np.ndarray, begin: np.ndarray, cls: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(block entries, row of each): a row's rarest runs, as many as pairs of the given similarity must share one of.
 
     Two sets that share at least ``similarity`` of their union share at least that part of either, so the first
-    ``n - ceil(similarity * n) + 1`` runs of both, in any one order, meet. A run with more than BLOCK bearers is split: the row
-    gets the keys of all sub-block pairs that its own sub-block is in.
+    ``n - ceil(similarity * n) + 1`` runs of both, in any one order, meet. An entry is the run's hash with its place in the low
+    bits. A run with more than BLOCK bearers is split: the row enters all sub-block pairs that its own sub-block is in.
     """
     size = np.diff(begin)
-    row = np.repeat(np.arange(len(size)), size)
-    frequency = counts[_slot(runs)]
-    order = np.lexsort((runs, frequency, row))
-    rank = np.arange(len(runs)) - np.repeat(begin[:-1], size)
     length = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
-    chosen = order[rank < length[row]]
-    keys, row, parts = runs[chosen], row[chosen], np.maximum(1, -(-frequency[chosen] // BLOCK))
+    row = np.repeat(np.arange(len(size)), length)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+    keys = runs[begin[:-1][row] + place]
+    parts = np.maximum(1, -(-counts[_slot(keys)] // BLOCK))
     hot = np.flatnonzero(parts > 1)
     if len(hot):
         reps = parts[hot]
         again = np.repeat(hot, reps)
         other = np.arange(len(again)) - np.repeat(np.cumsum(reps) - reps, reps)
         own = (mix(cls[row[again]] ^ keys[again]) % parts[again].astype(np.uint64)).astype(np.int64)
-        i, j = np.minimum(own, other), np.maximum(own, other)
-        split = mix(keys[again] + mix((i * 1_000_003 + j + 1).astype(np.uint64)))
+        split = mix(keys[again] + mix((np.minimum(own, other) * 1_000_003 + np.maximum(own, other) + 1).astype(np.uint64)))
         calm = parts == 1
-        keys, row = np.concatenate([keys[calm], split]), np.concatenate([row[calm], row[again]])
-        order = np.argsort(row, kind="stable")
-        keys, row = keys[order], row[order]
-    return keys, np.searchsorted(row, np.arange(len(size) + 1))
+        keys, row, place = np.concatenate([keys[calm], split]), np.concatenate([row[calm], row[again]]), np.concatenate([place[calm], place[again]])
+    mask = (np.uint64(1) << PLACE) - np.uint64(1)
+    return (keys & ~mask) | np.minimum(place, int(mask)).astype(np.uint64), row
 
 
-def sliced_pairs(key: np.ndarray, sketch: np.ndarray, size: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of rows with one key whose sketches differ in at most ``radius`` bits and whose sizes allow the similarity.
+def _add(counters: list[np.ndarray], carry: np.ndarray) -> None:
+    """One carry-save step: a plane of differences is added to the vertical counters."""
+    for c in range(len(counters)):
+        counters[c], carry = counters[c] ^ carry, counters[c] & carry
+        if c >= 3 and not carry.any():
+            return
 
-    Rows stand sorted by key. Bit k of all sketches forms one plane of packed words; comparing every row with the row
-    ``o`` places on is an XOR of each plane with itself shifted by ``o``. The differences are added into vertical counters by
-    carry-save steps, 64 rows a word, and words whose rows all exceed the radius are abandoned.
-    """
-    n = len(key)
-    left, right = [], []
-    if n < 2:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    rest = np.repeat(np.append(first[1:], n), np.diff(np.append(first, n))) - np.arange(n) - 1
+
+def _above(counters: list[np.ndarray], limit: np.ndarray) -> np.ndarray:
+    """Bits of the rows whose count exceeds the limit of their word."""
+    above, equal = np.zeros_like(counters[0]), np.full_like(counters[0], ~np.uint64(0))
+    for c in range(len(counters) - 1, -1, -1):
+        on = np.where(limit >> c & 1, ~np.uint64(0), np.uint64(0))
+        above |= equal & counters[c] & ~on
+        equal &= ~(counters[c] ^ on)
+    return above
+
+
+def _planes(sketch: np.ndarray, words: int) -> np.ndarray:
+    """Bit plane k, packed 64 rows a word, holds bit k of all sketches."""
+    bits = np.zeros((BITS, words * 64), dtype=np.uint8)
+    bits[:, : len(sketch)] = np.unpackbits(np.ascontiguousarray(sketch).view(np.uint8).reshape(len(sketch), BITS // 8), axis=1, bitorder="little").T
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+
+
+def _by_offset(sketch: np.ndarray, total: np.ndarray, rest: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Every row against each of the ``rest`` rows after it: a shift of the planes compares all rows with those one offset on."""
+    n = len(sketch)
     words = -(-n // 64)
-    bits = np.zeros((BITS, (words + 1) * 64), dtype=np.uint8)
-    bits[:, :n] = np.unpackbits(np.ascontiguousarray(sketch).view(np.uint8).reshape(n, BITS // 8), axis=1, bitorder="little").T
-    planes = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
-    del bits
-    padded = np.zeros(words * 64, dtype=bool)
-    for o in range(1, int(rest.max()) + 1):
-        padded[:n] = rest >= o
-        valid = np.packbits(padded, bitorder="little").view(np.uint64)
+    planes = _planes(sketch, words + 1)
+    lanes = np.zeros(words * 64, dtype=bool)
+    most = np.zeros(words * 64, dtype=np.int64)
+    left, right = [], []
+    for o in range(1, int(rest.max(initial=0)) + 1):
+        lanes[:n] = rest >= o
+        valid = np.packbits(lanes, bitorder="little").view(np.uint64)
         at = np.flatnonzero(valid)
-        jump, shift = divmod(o, 64)
-        counters = [np.zeros(len(at), dtype=np.uint64) for _ in range(8)]
+        most[: n - o] = np.where(lanes[: n - o], total[: n - o] + total[o:], 0)
+        limit = radius(most.reshape(-1, 64).max(axis=1)[at].astype(float), similarity)
         alive = valid[at]
+        counters = [np.zeros(len(at), dtype=np.uint64) for _ in range(9)]
+        shift = np.uint64(o % 64)
         for k in range(BITS):
             p = planes[k]
-            low = p[np.minimum(at + jump, words)] >> np.uint64(shift)
-            if shift:
-                low |= p[np.minimum(at + jump + 1, words)] << np.uint64(64 - shift)
-            carry = p[at] ^ low
-            for c in range(8):
-                counters[c], carry = counters[c] ^ carry, counters[c] & carry
-                if c >= 3 and not carry.any():
-                    break
-            if k % 16 == 15:
-                # count > radius, from the highest counter plane down
-                above, equal = np.zeros(len(at), dtype=np.uint64), np.full(len(at), ~np.uint64(0))
-                for c in range(7, -1, -1):
-                    if radius >> c & 1:
-                        equal &= counters[c]
-                    else:
-                        above |= equal & counters[c]
-                        equal &= ~counters[c]
-                alive = valid[at] & ~above
+            _add(counters, p[at] ^ (p[at] >> shift | p[at + 1] << (np.uint64(64) - shift)))
+            if k % 64 == 63:
+                alive = valid[at] & ~_above(counters, limit)
                 keep = alive != 0
+                at, alive, limit, counters = at[keep], alive[keep], limit[keep], [x[keep] for x in counters]
+                if not len(at):
+                    break
+        if len(at):
+            w, lane = np.nonzero(np.unpackbits(alive.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            left.append(at[w] * 64 + lane)
+            right.append(left[-1] + o)
+    none = [np.zeros(0, dtype=np.int64)]
+    return np.concatenate(left or none), np.concatenate(right or none)
+
+
+def _by_block(sketch: np.ndarray, total: np.ndarray, early: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``early`` rows of one large group against all rows after them, 128 queries at once, 64 rows a word."""
+    n = len(sketch)
+    words = -(-n // 64)
+    planes = _planes(sketch, words)
+    padded = np.zeros(words * 64, dtype=np.int64)
+    padded[:n] = total
+    most = padded.reshape(-1, 64).max(axis=1)
+    own = np.unpackbits(np.ascontiguousarray(sketch[:early]).view(np.uint8).reshape(early, BITS // 8), axis=1, bitorder="little").astype(np.uint64) * ~np.uint64(0)
+    left, right = [], []
+    for s in range(0, early, 128):
+        q = own[s : s + 128]
+        at = np.arange(s // 64, words)
+        limit = radius((total[s : s + len(q), None] + most[None, at]).astype(float), similarity)
+        counters = [np.zeros((len(q), len(at)), dtype=np.uint64) for _ in range(9)]
+        alive = np.zeros((len(q), 0), dtype=np.uint64)
+        for k in range(BITS):
+            _add(counters, planes[k][None, at] ^ q[:, k, None])
+            if k % 64 == 63:
+                alive = ~_above(counters, limit)
+                keep = alive.any(axis=0)
                 if not keep.all():
-                    at, alive = at[keep], alive[keep]
-                    counters = [x[keep] for x in counters]
+                    at, alive, limit, counters = at[keep], alive[:, keep], limit[:, keep], [x[:, keep] for x in counters]
                 if not len(at):
                     break
         if len(at):
-            lanes = np.unpackbits(alive.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            w, lane = np.nonzero(lanes)
-            i = at[w] * 64 + lane
-            j = i + o
-            fit = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
+            lanes = np.unpackbits(np.ascontiguousarray(alive).view(np.uint8).reshape(len(q), len(at), 8), axis=2, bitorder="little")
+            i, w, lane = np.nonzero(lanes)
+            i, j = i + s, at[w] * 64 + lane
+            fit = (j < n) & (j > i)
             left.append(i[fit])
             right.append(j[fit])
-    return np.concatenate(left or [np.zeros(0, dtype=np.int64)]), np.concatenate(right or [np.zeros(0, dtype=np.int64)])
+    none = [np.zeros(0, dtype=np.int64)]
+    return np.concatenate(left or none), np.concatenate(right or none)
+
+
+def sliced_pairs(entry: np.ndarray, sketch: np.ndarray, size: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of entries of one block whose sketches are within the radius and whose sizes and places allow the similarity.
+
+    Bit k of all sketches forms a plane of packed words; differences are added into vertical counters by carry-save
+    steps, 64 rows a word, and words whose rows all exceed the radius are abandoned. Of two texts that share enough, the first
+    shared run stands early enough in both for the rest to suffice; pairs whose places rule that out are dropped.
+    """
+    key, place = entry >> PLACE, (entry & ((np.uint64(1) << PLACE) - np.uint64(1))).astype(np.int64)
+    # in a pair the smaller text has the run among its first n - 2t/(1+t) n + 1; rows with it later only answer
+    late = place > size - np.ceil(2 * similarity / (1 + similarity) * size - 1e-9)
+    order = np.lexsort((late, key))
+    key, late, sketch, size, place = key[order], late[order], sketch[order], size[order], place[order]
+    n = len(key)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if n else np.zeros(0, dtype=np.int64)
+    length = np.diff(np.append(first, n))
+    early = np.add.reduceat(~late, first) if n else length
+    rest = np.repeat(first + length, length) - np.arange(n) - 1
+    rest[late] = 0
+    rest[np.repeat(length > SMALL, length)] = 0
+    # small groups go in slabs that end where a group ends, so the planes stay small
+    found = []
+    cuts = np.append(np.searchsorted(first, np.arange(0, n, PLANE_ROWS)), len(first)) if n else []
+    edges = np.append(first, n)
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        own = slice(edges[lo], edges[hi])
+        if rest[own].any():
+            i, j = _by_offset(sketch[own], size[own], rest[own], similarity)
+            found.append((i + edges[lo], j + edges[lo]))
+    for g in np.flatnonzero((length > SMALL) & (early > 0)):
+        part = slice(first[g], first[g] + length[g])
+        i, j = _by_block(sketch[part], size[part], int(early[g]), similarity)
+        found.append((i + first[g], j + first[g]))
+    if not found:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    i, j = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+    need = np.ceil(similarity / (1 + similarity) * (size[i] + size[j]) - 1e-9)
+    fit = (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9) & (np.minimum(size[i] - place[i], size[j] - place[j]) >= need)
+    return order[i[fit]], order[j[fit]]
+
+
+SPREAD_NAMES = ["task", "cls", "size", *(f"s{p}" for p in range(BITS // 64)), "entries"]
 
 
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", n: int = 5, similarity: float = 0.8, min_words: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -174,85 +259,95 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", n: int
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("string").alias("id"), F.lower(F.col(text_col)).alias("text")).where("id is not null and text is not null")
-    differ = (1 - similarity) / 2
-    radius = min(BITS, math.ceil(BITS * differ + 3.72 * math.sqrt(BITS * differ * (1 - differ))))
 
     def count(own: np.ndarray, b: pa.RecordBatch) -> None:
-        _, _, runs, _ = _distinct_runs(b.column(0), n, min_words)
-        own += np.bincount(_slot(runs), minlength=SLOTS)
-
-    counts = spark.sparkContext.broadcast(summed(base.select("text"), count, SLOTS))
+        kept, _, runs, row = _runs(b.column(0), n, min_words)
+        own[:SLOTS] += np.bincount(_slot(runs), minlength=SLOTS)
+        size = np.bincount(row, minlength=len(kept))
+        own[SLOTS] += int((size - np.ceil(similarity * size) + 1).sum())
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kept, cls, runs, begin = _distinct_runs(b.column(1), n, min_words)
-            keys, at = _keys(runs, begin, cls, counts.value, similarity)
-            keys_list = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(keys.view(np.int64)))
-            s = _sketches(runs, begin).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(kept)), pa.array(cls.view(np.int64)), pa.array(np.diff(begin).astype(np.int32)), pa.array(s[:, 0]), pa.array(s[:, 1]), keys_list],
-                ["id", "cls", "size", "s0", "s1", "keys"],
-            )
-
-    described = staged(base.mapInArrow(describe, "id string, cls long, size int, s0 long, s1 long, keys array<long>"), "described")
-    members = described.select("id", F.col("cls").alias("class_id")).distinct()
-    classes = described.groupBy("cls").agg(F.first("size").alias("size"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.first("keys").alias("keys"))
-    total = described.agg(F.sum(F.size("keys")).alias("k")).first()["k"] or 0
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_KEYS))
+    tallied = summed(base.select("text"), count, SLOTS + 1)
+    counts = spark.sparkContext.broadcast(tallied[:SLOTS])
+    tasks = max(spark.sparkContext.defaultParallelism, -(-int(tallied[SLOTS]) // TASK_KEYS))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row per class and task with the keys that the task handles."""
-        for b in batches:
-            lists = b.column(4)
-            keys = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            row = np.repeat(np.arange(len(b)), np.diff(offsets))
-            task = (keys % np.uint64(tasks)).astype(np.int64)
-            order = np.lexsort((task, row))
-            row, task, keys = row[order], task[order], keys[order]
-            new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (task[1:] != task[:-1]))) if len(row) else np.zeros(0, dtype=np.int64)
-            own = pa.ListArray.from_arrays(pa.array(np.append(new, len(row)).astype(np.int32)), pa.array(keys.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(task[new].astype(np.int32)), *(b.column(i).take(pa.array(row[new])) for i in range(4)), own], ["task", "cls", "size", "s0", "s1", "keys"])
+        """One row per class and task with the block entries that the task handles; copies within a partition once."""
+        seen: set[int] = set()
+        for whole in batches:
+            for s in range(0, len(whole), SLAB):
+                kept, cls, runs, row = _runs(whole.column(0).slice(s, SLAB), n, min_words)
+                runs, begin = _ordered(runs, row, len(kept), counts.value)
+                entries, row = _entries(runs, begin, cls, counts.value, similarity)
+                fresh = np.zeros(len(cls), dtype=bool)
+                for i, c in enumerate(cls.tolist()):
+                    if c not in seen:
+                        seen.add(c)
+                        fresh[i] = True
+                entries, row = entries[fresh[row]], row[fresh[row]]
+                key = row.astype(np.uint64) * np.uint64(tasks) + (entries >> PLACE) % np.uint64(tasks)
+                order = np.argsort(key, kind="stable")
+                key, entries, row = key[order], entries[order], row[order]
+                new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
+                sketch, of, size = _sketches(runs, begin).view(np.int64), row[new], np.diff(begin).astype(np.int32)
+                own = pa.ListArray.from_arrays(pa.array(np.append(new, len(row)).astype(np.int32)), pa.array(entries.view(np.int64)))
+                parts = [pa.array(sketch[of, p]) for p in range(BITS // 64)]
+                yield pa.RecordBatch.from_arrays([pa.array((key[new] % np.uint64(tasks)).astype(np.int32)), pa.array(cls.view(np.int64)[of]), pa.array(size[of]), *parts, own], SPREAD_NAMES)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, cls, size, s0, s1 = [], [], [], [], []
+        entries, cls, size, sketch = [], [], [], []
         for b in batches:
-            lists = b.column(5)
+            lists = b.column("entries")
             reps = np.diff(lists.offsets.to_numpy())
-            keys.append(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-            for into, i in ((cls, 1), (size, 2), (s0, 3), (s1, 4)):
-                into.append(np.repeat(b.column(i).to_numpy(zero_copy_only=False), reps))
-        if not keys:
+            entries.append(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            cls.append(np.repeat(b.column("cls").to_numpy(zero_copy_only=False), reps))
+            size.append(np.repeat(b.column("size").to_numpy(zero_copy_only=False), reps))
+            sketch.append(np.repeat(np.stack([b.column(f"s{p}").to_numpy(zero_copy_only=False) for p in range(BITS // 64)], axis=1), reps, axis=0))
+        if not entries:
             return
-        keys, cls, size, s0, s1 = (np.concatenate(x) for x in (keys, cls, size, s0, s1))
-        order = np.argsort(keys)
-        keys = keys[order]
-        same = keys[1:] == keys[:-1]
-        shared = np.append(same, False) | np.append(False, same)
-        order, keys = order[shared], keys[shared]
-        i, j = sliced_pairs(keys, np.stack([s0[order], s1[order]], axis=1).view(np.uint64), size[order], radius, similarity)
-        cls = cls[order]
-        pairs = np.unique(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], axis=1), axis=0) if len(i) else np.zeros((0, 2), dtype=np.int64)
+        entries, cls, size, sketch = (np.concatenate(x) for x in (entries, cls, size, sketch))
+        key = entries >> PLACE
+        order = np.argsort(key)
+        key = key[order]
+        same = key[1:] == key[:-1]
+        order = order[np.append(same, False) | np.append(False, same)]
+        entries, cls, size, sketch = entries[order], cls[order], size[order].astype(np.int64), sketch[order]
+        i, j = sliced_pairs(entries, sketch.view(np.uint64), size, similarity)
+        i, j = i[cls[i] != cls[j]], j[cls[i] != cls[j]]
+        pairs = np.unique(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], axis=1), axis=0)
         for s in range(0, len(pairs), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[s : s + 100_000, 0]), pa.array(pairs[s : s + 100_000, 1])], ["class_a", "class_b"])
 
-    spread_rows = classes.select("cls", "size", "s0", "s1", "keys").mapInArrow(spread, "task int, cls long, size int, s0 long, s1 long, keys array<long>")
+    spread_rows = base.select("text").mapInArrow(spread, "task int, cls long, size int, " + "".join(f"s{p} long, " for p in range(BITS // 64)) + "entries array<long>")
     candidates = staged(spread_rows.repartition(tasks, "task").mapInArrow(compare, "class_a long, class_b long").distinct(), "candidates")
 
+    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept, cls, _, _ = _runs(b.column(1), n, min_words)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(kept)), pa.array(cls.view(np.int64))], ["id", "class_id"])
+
+    members = base.mapInArrow(classify, "id string, class_id long").distinct()
+
     def mark(own: np.ndarray, b: pa.RecordBatch) -> None:
         for column in b.columns:
             h = mix(column.to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(FILTER)
             np.bitwise_or.at(own, (h >> np.uint64(6)).astype(np.int64), (np.uint64(1) << (h & np.uint64(63))).view(np.int64))
 
-    wanted = spark.sparkContext.broadcast(_ored(candidates, mark, FILTER // 64).view(np.uint64))
+    wanted = spark.sparkContext.broadcast(ored(candidates, mark, FILTER // 64).view(np.uint64))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            _, cls, runs, begin = _distinct_runs(b.column(0), n, min_words)
+            _, cls, runs, row = _runs(b.column(0), n, min_words)
             h = mix(cls) % np.uint64(FILTER)
-            ok = np.flatnonzero(wanted.value[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1))
-            lists = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(runs.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(cls.view(np.int64)[ok]), lists.take(pa.array(ok))], ["cls", "runs"])
+            ok = (wanted.value[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
+            runs, row = runs[ok[row]], row[ok[row]]
+            order = np.lexsort((runs, row))
+            runs, row = runs[order], row[order]
+            new = np.ones(len(runs), dtype=bool)
+            new[1:] = (runs[1:] != runs[:-1]) | (row[1:] != row[:-1])
+            runs, row = runs[new], row[new]
+            of = np.flatnonzero(ok)
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.append(of, len(cls))).astype(np.int32)), pa.array(runs.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(cls.view(np.int64)[of]), lists], ["cls", "runs"])
 
     whole = base.select("text").mapInArrow(sets, "cls long, runs array<long>").groupBy("cls").agg(F.first("runs").alias("runs"))
     left = whole.withColumnsRenamed({"cls": "class_a", "runs": "runs_a"})
@@ -264,26 +359,6 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", n: int
     return pairs.select("class_a", "class_b", (F.col("s") / F.col("u")).alias("similarity")), members
 
 
-def _ored(df: DataFrame, update, slots: int) -> np.ndarray:
-    """As blobs.summed, but the arrays are joined bit by bit."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(slots, dtype=np.int64)
-        for b in batches:
-            update(own, b)
-        yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], ["b"])
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(slots, dtype=np.int64)
-        for b in batches:
-            for x in b.column(0):
-                own |= np.frombuffer(x.as_buffer(), dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], ["b"])
-
-    got = df.mapInArrow(make, "b binary").repartition(16).mapInArrow(join, "b binary").repartition(1).mapInArrow(join, "b binary").collect()
-    return np.frombuffer(got[0]["b"], dtype=np.int64) if got else np.zeros(slots, dtype=np.int64)
-
-
 def expanded_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """(id_a, id_b), smaller first: all pairs of different ids within one class or in two linked classes."""
     a = members.select(F.col("class_id").alias("class_a"), F.col("id").alias("x"))

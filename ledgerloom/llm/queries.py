@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import encoding, leakage, mojibake, neardup, neighbours, splitting
+from . import encoding, leakage, mojibake, neardup, neighbours, pairs, splitting
 
 
 def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
@@ -17,6 +17,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_repaired(spark, d).select("df_index").distinct()
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects(table(spark, d, "qa_answer")).select(F.col("id").alias("example_id"), "defect")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     near = neighbours.nearest(table(spark, d, "point"), k=10, min_cosine=0.85)
     return near.select(F.least("id", "neighbour").alias("point_a"), F.greatest("id", "neighbour").alias("point_b")).distinct()
@@ -33,8 +37,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs, members = neardup.near_duplicates(table(spark, d, "chunk"), "global_chunk_id", n=3, similarity=0.6, min_words=50)
-    return neardup.expanded_pairs(pairs, members).select(F.col("id_a").alias("chunk_a"), F.col("id_b").alias("chunk_b"))
+    linked, members = neardup.near_duplicates(table(spark, d, "chunk"), "global_chunk_id", n=3, similarity=0.6, min_words=50)
+    return neardup.expanded_pairs(linked, members).select(F.col("id_a").alias("chunk_a"), F.col("id_b").alias("chunk_b"))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -45,6 +49,6 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_windows(table(spark, d, "documents"), table(spark, d, "eval_item")).select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found}
 
 SQL: dict[str, str] = {}
