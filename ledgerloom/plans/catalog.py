@@ -4,7 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
+from ..operators import drift
+from ..session import table
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.file_changes(drift.file_schemas(table(spark, d, "qa_raw_line"))).select("file_name", "change_type", "old_field", "new_field")
+
+
+def p4_focuses(spark: SparkSession, d: str) -> DataFrame:
+    return drift.standard_focuses(table(spark, d, "qa_raw_line"))
+
+
+QUERIES: dict = {"p4_found": p4_found, "p4_focuses": p4_focuses}
 SQL: dict[str, str] = {}
 
 
