@@ -175,11 +175,17 @@ def _by_block(sketch: np.ndarray, total: np.ndarray, early: int, similarity: flo
     padded = np.zeros(words * 64, dtype=np.int64)
     padded[:n] = total
     most = padded.reshape(-1, 64).max(axis=1)
+    padded[n:] = total.max()
+    least = padded.reshape(-1, 64).min(axis=1)
     own = np.unpackbits(np.ascontiguousarray(sketch[:early]).view(np.uint8).reshape(early, BITS // 8), axis=1, bitorder="little").astype(np.uint64) * ~np.uint64(0)
     left, right = [], []
     for s in range(0, early, 128):
         q = own[s : s + 128]
+        asked = total[s : s + len(q)]
         at = np.arange(s // 64, words)
+        at = at[(most[at] >= similarity * asked.min()) & (least[at] * similarity <= asked.max())]
+        if not len(at):
+            continue
         limit = radius((total[s : s + len(q), None] + most[None, at]).astype(float), similarity)
         counters = [np.zeros((len(q), len(at)), dtype=np.uint64) for _ in range(9)]
         alive = np.zeros((len(q), 0), dtype=np.uint64)
@@ -213,7 +219,8 @@ def sliced_pairs(entry: np.ndarray, sketch: np.ndarray, size: np.ndarray, simila
     key, place = entry >> PLACE, (entry & ((np.uint64(1) << PLACE) - np.uint64(1))).astype(np.int64)
     # in a pair the smaller text has the run among its first n - 2t/(1+t) n + 1; rows with it later only answer
     late = place > size - np.ceil(2 * similarity / (1 + similarity) * size - 1e-9)
-    order = np.lexsort((late, key))
+    # like sizes stand together, so that one limit fits the rows of a word
+    order = np.lexsort((size, late, key))
     key, late, sketch, size, place = key[order], late[order], sketch[order], size[order], place[order]
     n = len(key)
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if n else np.zeros(0, dtype=np.int64)
@@ -238,6 +245,9 @@ def sliced_pairs(entry: np.ndarray, sketch: np.ndarray, size: np.ndarray, simila
     if not found:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     i, j = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+    # a word's limit is its loosest row's; here each pair meets its own
+    near = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1) <= radius((size[i] + size[j]).astype(float), similarity)
+    i, j = i[near], j[near]
     need = np.ceil(similarity / (1 + similarity) * (size[i] + size[j]) - 1e-9)
     fit = (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9) & (np.minimum(size[i] - place[i], size[j] - place[j]) >= need)
     return order[i[fit]], order[j[fit]]
