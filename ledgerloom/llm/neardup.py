@@ -27,10 +27,10 @@ FILTER = 1 << 22
 SLAB = 8192
 #: Low bits of a block entry that hold the place of the run among its text's runs.
 PLACE = np.uint64(12)
-#: Rows whose bit planes are held at once.
+#: Rows whose bits are transposed into planes at once.
 PLANE_ROWS = 32_768
 #: Larger groups are compared block against block, smaller ones all at once by offset.
-SMALL = 48
+SMALL = 512
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -108,12 +108,25 @@ def _entries(runs: np.ndarray, begin: np.ndarray, cls: np.ndarray, counts: np.nd
     return (keys & ~mask) | np.minimum(place, int(mask)).astype(np.uint64), row
 
 
-def _add(counters: list[np.ndarray], carry: np.ndarray) -> None:
-    """One carry-save step: a plane of differences is added to the vertical counters."""
-    for c in range(len(counters)):
+def _csa(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sum, carry) of three planes."""
+    u = a ^ b
+    return u ^ c, (a & b) | (u & c)
+
+
+def _add8(counters: list[np.ndarray], x: list[np.ndarray]) -> None:
+    """Eight planes of differences are added to the vertical counters: a carry-save tree, then the eights ripple upwards."""
+    ones, twos, fours = counters[:3]
+    ones, a = _csa(ones, x[0], x[1])
+    ones, b = _csa(ones, x[2], x[3])
+    twos, f = _csa(twos, a, b)
+    ones, a = _csa(ones, x[4], x[5])
+    ones, b = _csa(ones, x[6], x[7])
+    twos, g = _csa(twos, a, b)
+    fours, carry = _csa(fours, f, g)
+    counters[:3] = ones, twos, fours
+    for c in range(3, len(counters)):
         counters[c], carry = counters[c] ^ carry, counters[c] & carry
-        if c >= 3 and not carry.any():
-            return
 
 
 def _above(counters: list[np.ndarray], limit: np.ndarray) -> np.ndarray:
@@ -128,32 +141,52 @@ def _above(counters: list[np.ndarray], limit: np.ndarray) -> np.ndarray:
 
 def _planes(sketch: np.ndarray, words: int) -> np.ndarray:
     """Bit plane k, packed 64 rows a word, holds bit k of all sketches."""
-    bits = np.zeros((BITS, words * 64), dtype=np.uint8)
-    bits[:, : len(sketch)] = np.unpackbits(np.ascontiguousarray(sketch).view(np.uint8).reshape(len(sketch), BITS // 8), axis=1, bitorder="little").T
-    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    planes = np.zeros((BITS, words), dtype=np.uint64)
+    for s in range(0, len(sketch), PLANE_ROWS):
+        part = np.ascontiguousarray(sketch[s : s + PLANE_ROWS]).view(np.uint8).reshape(-1, BITS // 8)
+        bits = np.zeros((BITS, -(-len(part) // 64) * 64), dtype=np.uint8)
+        bits[:, : len(part)] = np.unpackbits(part, axis=1, bitorder="little").T
+        planes[:, s // 64 : s // 64 + bits.shape[1] // 64] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    return planes
+
+
+def _fit(size: np.ndarray, place: np.ndarray, i: np.ndarray | slice, j: np.ndarray | slice, similarity: float) -> np.ndarray:
+    """Pairs whose sizes allow the similarity, and whose places of the shared run leave enough runs after it."""
+    need = similarity / (1 + similarity) * (size[i] + size[j]) - 1e-9
+    low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+    return (low >= similarity * high - 1e-9) & (np.minimum(size[i] - place[i], size[j] - place[j]) >= need)
 
 
-def _by_offset(sketch: np.ndarray, total: np.ndarray, rest: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def _by_offset(sketch: np.ndarray, size: np.ndarray, place: np.ndarray, rest: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Every row against each of the ``rest`` rows after it: a shift of the planes compares all rows with those one offset on."""
     n = len(sketch)
     words = -(-n // 64)
-    planes = _planes(sketch, words + 1)
+    planes = _planes(sketch, words + 10)
     lanes = np.zeros(words * 64, dtype=bool)
     most = np.zeros(words * 64, dtype=np.int64)
     left, right = [], []
+    open_rows = np.arange(n)
     for o in range(1, int(rest.max(initial=0)) + 1):
-        lanes[:n] = rest >= o
+        open_rows = open_rows[rest[open_rows] >= o]
+        fit = open_rows[_fit(size, place, open_rows, open_rows + o, similarity)]
+        lanes[:] = False
+        lanes[fit] = True
         valid = np.packbits(lanes, bitorder="little").view(np.uint64)
         at = np.flatnonzero(valid)
-        most[: n - o] = np.where(lanes[: n - o], total[: n - o] + total[o:], 0)
-        limit = radius(most.reshape(-1, 64).max(axis=1)[at].astype(float), similarity)
+        if not len(at):
+            continue
+        most[:] = 0
+        most[fit] = size[fit] + size[fit + o]
+        limit = radius(most.reshape(-1, 64)[at].max(axis=1).astype(float), similarity)
         alive = valid[at]
         counters = [np.zeros(len(at), dtype=np.uint64) for _ in range(9)]
-        shift = np.uint64(o % 64)
-        for k in range(BITS):
-            p = planes[k]
-            _add(counters, p[at] ^ (p[at] >> shift | p[at + 1] << (np.uint64(64) - shift)))
-            if k % 64 == 63:
+        jump, shift = o // 64, np.uint64(o % 64)
+        for k in range(0, BITS, 8):
+            moved = planes[k : k + 8, at + jump] >> shift
+            if shift:
+                moved |= planes[k : k + 8, at + jump + 1] << (np.uint64(64) - shift)
+            _add8(counters, list(planes[k : k + 8, at] ^ moved))
+            if k % 64 == 56:
                 alive = valid[at] & ~_above(counters, limit)
                 keep = alive != 0
                 at, alive, limit, counters = at[keep], alive[keep], limit[keep], [x[keep] for x in counters]
@@ -189,9 +222,9 @@ def _by_block(sketch: np.ndarray, total: np.ndarray, early: int, similarity: flo
         limit = radius((total[s : s + len(q), None] + most[None, at]).astype(float), similarity)
         counters = [np.zeros((len(q), len(at)), dtype=np.uint64) for _ in range(9)]
         alive = np.zeros((len(q), 0), dtype=np.uint64)
-        for k in range(BITS):
-            _add(counters, planes[k][None, at] ^ q[:, k, None])
-            if k % 64 == 63:
+        for k in range(0, BITS, 8):
+            _add8(counters, [planes[k + b][None, at] ^ q[:, k + b, None] for b in range(8)])
+            if k % 64 == 56:
                 alive = ~_above(counters, limit)
                 keep = alive.any(axis=0)
                 if not keep.all():
@@ -229,15 +262,7 @@ def sliced_pairs(entry: np.ndarray, sketch: np.ndarray, size: np.ndarray, simila
     rest = np.repeat(first + length, length) - np.arange(n) - 1
     rest[late] = 0
     rest[np.repeat(length > SMALL, length)] = 0
-    # small groups go in slabs that end where a group ends, so the planes stay small
-    found = []
-    cuts = np.append(np.searchsorted(first, np.arange(0, n, PLANE_ROWS)), len(first)) if n else []
-    edges = np.append(first, n)
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        own = slice(edges[lo], edges[hi])
-        if rest[own].any():
-            i, j = _by_offset(sketch[own], size[own], rest[own], similarity)
-            found.append((i + edges[lo], j + edges[lo]))
+    found = [_by_offset(sketch, size, place, rest, similarity)] if rest.any() else []
     for g in np.flatnonzero((length > SMALL) & (early > 0)):
         part = slice(first[g], first[g] + length[g])
         i, j = _by_block(sketch[part], size[part], int(early[g]), similarity)
@@ -248,8 +273,7 @@ def sliced_pairs(entry: np.ndarray, sketch: np.ndarray, size: np.ndarray, simila
     # a word's limit is its loosest row's; here each pair meets its own
     near = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1) <= radius((size[i] + size[j]).astype(float), similarity)
     i, j = i[near], j[near]
-    need = np.ceil(similarity / (1 + similarity) * (size[i] + size[j]) - 1e-9)
-    fit = (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9) & (np.minimum(size[i] - place[i], size[j] - place[j]) >= need)
+    fit = _fit(size, place, i, j, similarity)
     return order[i[fit]], order[j[fit]]
 
 

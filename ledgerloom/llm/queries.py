@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import encoding, leakage, mojibake, neardup, neighbours, pairs, splitting
+from . import encoding, leakage, mojibake, neardup, neighbours, pairs, quality, splitting
 
 
 def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
@@ -49,6 +49,14 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_windows(table(spark, d, "documents"), table(spark, d, "eval_item")).select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found}
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.assessed(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_statistics(spark, d).where("outlier and kind <> 'prose'").select("doc_id", "kind")
+
+
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_statistics": p10_statistics}
 
 SQL: dict[str, str] = {}
