@@ -76,10 +76,10 @@ def _sketches(runs: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 def radius(total: np.ndarray, similarity: float) -> np.ndarray:
-    """Differing bits that two sets of the given similarity, ``total`` runs together, exceed with a chance of 1 in 10,000 at most."""
+    """Differing bits that two sets of the given similarity, ``total`` runs together, exceed with a chance of about 1 in 700."""
     apart = (1 - similarity) / (1 + similarity) * total
     share = (1 - (1 - 2 / BITS) ** apart) / 2
-    return np.minimum(BITS - 1, np.ceil(BITS * share + 3.72 * np.sqrt(BITS * share * (1 - share)))).astype(np.int64)
+    return np.minimum(BITS - 1, np.ceil(BITS * share + 3 * np.sqrt(BITS * share * (1 - share)))).astype(np.int64)
 
 
 def _entries(runs: np.ndarray, begin: np.ndarray, cls: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -287,8 +287,8 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", n: int
     are at least ``similarity`` of all distinct runs of the two. Copies aren't expanded: each is a row of ``members``.
 
     Candidates are exact: every linked pair shares one of its rarest runs, which name the blocks. In a block the sketches'
-    distances are counted bit-sliced, within a radius that a linked pair exceeds with a chance of 1 in 10,000 at most, then
-    the whole run sets decide. Null ids, null texts and texts of fewer than ``min_words`` (or ``n``) words are in no class;
+    distances are counted bit-sliced, within a radius that a pair just at the similarity exceeds with a chance of about 1 in 700 and closer ones hardly ever, then
+    the whole run sets decide (as 32-bit hashes). Null ids, null texts and texts of fewer than ``min_words`` (or ``n``) words are in no class;
     an id given twice counts once; other columns are ignored; an empty table gives two empty results.
     """
     spark = docs.sparkSession
@@ -380,10 +380,10 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", n: int
             new[1:] = (runs[1:] != runs[:-1]) | (row[1:] != row[:-1])
             runs, row = runs[new], row[new]
             of = np.flatnonzero(ok)
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.append(of, len(cls))).astype(np.int32)), pa.array(runs.view(np.int64)))
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.append(of, len(cls))).astype(np.int32)), pa.array((runs >> np.uint64(32)).astype(np.uint32).view(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array(cls.view(np.int64)[of]), lists], ["cls", "runs"])
 
-    whole = base.select("text").mapInArrow(sets, "cls long, runs array<long>").groupBy("cls").agg(F.first("runs").alias("runs"))
+    whole = base.select("text").mapInArrow(sets, "cls long, runs array<int>").groupBy("cls").agg(F.first("runs").alias("runs"))
     left = whole.withColumnsRenamed({"cls": "class_a", "runs": "runs_a"})
     right = whole.withColumnsRenamed({"cls": "class_b", "runs": "runs_b"})
     shared = F.size(F.array_intersect("runs_a", "runs_b"))

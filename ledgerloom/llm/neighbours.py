@@ -19,7 +19,7 @@ MAX_CELLS = 8192
 #: Cells that each vector is looked for in.
 PROBES = 24
 #: Standard errors that the bound of an estimated inner product spans.
-SIGMAS = 3.0
+SIGMAS = 2.4
 #: Rows of a cell that are compared at once with as many others.
 SLAB = 2048
 

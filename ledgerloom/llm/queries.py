@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import encoding, leakage, mojibake, neardup, neighbours, pairs, quality, splitting
+from . import encoding, leakage, mojibake, neardup, neighbours, pairs, quality, splitting, turns
 
 
 def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
@@ -17,6 +17,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_repaired(spark, d).select("df_index").distinct()
 
 
+def p2_turns(spark: SparkSession, d: str) -> DataFrame:
+    return turns.speaker_turns(table(spark, d, "raw_transcript")).withColumnRenamed("id", "df_index")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_turns(spark, d).select("df_index", "turn_no", "speaker")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defects(table(spark, d, "qa_answer")).select(F.col("id").alias("example_id"), "defect")
 
@@ -57,6 +65,6 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_statistics(spark, d).where("outlier and kind <> 'prose'").select("doc_id", "kind")
 
 
-QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_statistics": p10_statistics}
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_statistics": p10_statistics}
 
 SQL: dict[str, str] = {}
