@@ -113,6 +113,8 @@ def label_of(line: str) -> tuple[str, str, bool] | None:
         head, speech = m[1], m[2]
         titled = re.match(r"^(.*?)\s*\(([^()]+)\)$", head)
         name = (titled[1] if titled else DASH.split(head)[0]).strip()
+        if "," in name and TITLE.search(name.split(",", 1)[1]):
+            name = name.split(",", 1)[0].strip()
         if _namelike(name):
             return name, speech, strong or bool(titled) or name != head.strip()
     if len(bare) <= 120:
@@ -122,6 +124,9 @@ def label_of(line: str) -> tuple[str, str, bool] | None:
             return titled[1], "", True
         if _namelike(parts[0]) and (len(parts) > 1 and TITLE.search(parts[-1]) or _operator(parts[0])):
             return parts[0], "", True
+        aside = bare.split(",", 1)
+        if len(aside) > 1 and _namelike(aside[0]) and len(aside[0].split()) > 1 and len(bare) < 90 and TITLE.search(aside[1]) and not bare.endswith((".", "?", "!")):
+            return aside[0], "", True
         if len(parts) == 1 and _namelike(bare):
             return bare, "", strong
     return None
