@@ -39,12 +39,22 @@ def _tokens(name: str) -> list[str]:
     return [t for t in got if t and t not in HONORIFICS]
 
 
+def _slip(a: str, b: str) -> bool:
+    """One letter wrong, missing, extra, or two swapped, in words of five letters or more."""
+    if min(len(a), len(b)) < 5 or abs(len(a) - len(b)) > 1:
+        return False
+    i = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    if len(a) == len(b):
+        return a[i + 1 :] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
+    return a[i + 1 :] == b[i:] if len(a) > len(b) else a[i:] == b[i + 1 :]
+
+
 def _same(a: str, b: str) -> bool:
-    """Equal words, a lost character standing for any one or more."""
+    """Equal words but for a slip of the pen, a lost character standing for any one or more."""
     if "�" in a or "�" in b:
         x, y = (a, b) if "�" in a else (b, a)
         return re.fullmatch(re.sub("(?:�)+", ".{1,3}", re.escape(x)), y) is not None
-    return a == b
+    return a == b or _slip(a, b)
 
 
 def _fits(short: list[str], full: list[str]) -> bool:
@@ -65,6 +75,7 @@ class Roster:
     def __init__(self) -> None:
         self.names: list[str] = []
         self.words: list[list[str]] = []
+        self.seen: list[int] = []
         self.listed = 0
 
     def add(self, name: str) -> None:
@@ -73,19 +84,26 @@ class Roster:
         if words and words not in self.words:
             self.names.append(name)
             self.words.append(words)
+            self.seen.append(1)
+        elif words:
+            i = self.words.index(words)
+            self.seen[i] += 1
+            if self.names[i].isupper() and not name.isupper() and i >= self.listed:
+                self.names[i] = name
 
     def find(self, label: str) -> int | None:
         words = _tokens(label)
         if not words or len(words) > 6:
             return None
         fits = [i for i, w in enumerate(self.words) if _fits(words, w)]
-        exact = [i for i in fits if len(words) > 1 and self.words[i][0] == words[0] and self.words[i][-1] == words[-1]]
-        return (exact or fits or [None])[0]
+        exact = [i for i in fits if self.words[i][-1] == words[-1]]
+        closest = [i for i in exact if len(words) > 1 and self.words[i][0] == words[0]]
+        return (closest or exact or fits or [None])[0]
 
     def join_forms(self) -> None:
         """Of the names that labels added, forms of one person become the fullest one."""
         kept = list(range(self.listed))
-        order = sorted(range(self.listed, len(self.names)), key=lambda i: (-len(self.words[i]), self.names[i].isupper(), -sum(map(len, self.words[i])), i))
+        order = sorted(range(self.listed, len(self.names)), key=lambda i: (-len(self.words[i]), self.names[i].isupper(), -self.seen[i], -sum(map(len, self.words[i])), i))
         for i in order:
             if not any(_fits(self.words[i], self.words[j]) for j in kept):
                 kept.append(i)
@@ -226,7 +244,7 @@ def parse(text: str | None) -> list[tuple[int, str, str, float | None]]:
         marked.append((seconds(m[1] or m[2]) if m else None, rest, found))
         if found and not _operator(found[0]) and roster.find(found[0]) is None and len(_tokens(found[0])) > 1 and (found[2] or (found[1] or rest.endswith(":")) and not HEADER.match(found[0])):
             roster.add(found[0])
-        elif found and len(_tokens(found[0])) > 1 and (i := roster.find(found[0])) is not None and i >= roster.listed:
+        elif found and len(_tokens(found[0])) > 1 and not _operator(found[0]) and (i := roster.find(found[0])) is not None and i >= roster.listed:
             roster.add(found[0])
     roster.join_forms()
     stretches: list[list] = []
