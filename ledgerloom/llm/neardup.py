@@ -37,8 +37,16 @@ def _slot(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - 19)).astype(np.int64)
 
 
-def _runs(texts: pa.Array, n: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(rows with enough words, their class hashes, run hashes, place in the first array of each run's row)."""
+def _classes(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The class of each text: a hash over its whole word sequence."""
+    at = np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))
+    part = mix(words + mix(at.astype(np.uint64) + np.uint64(1)))
+    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(part, dtype=np.uint64)])
+    return mix(total[first[1:]] - total[first[:-1]])
+
+
+def _runs(texts: pa.Array, n: int, min_words: int, classes: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows with enough words, their class hashes if wanted, run hashes, place in the first array of each run's row)."""
     words, first = word_hashes(texts)
     kept = np.flatnonzero(np.diff(first) >= max(min_words, n))
     runs, begin = ngram_hashes(words, first, n)
@@ -47,11 +55,7 @@ def _runs(texts: pa.Array, n: int, min_words: int) -> tuple[np.ndarray, np.ndarr
     row = np.repeat(place, np.diff(begin))
     if len(kept) < len(place):
         runs, row = runs[row >= 0], row[row >= 0]
-    # the class of a text is a hash over its whole word sequence
-    at = np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))
-    part = mix(words + mix(at.astype(np.uint64) + np.uint64(1)))
-    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(part, dtype=np.uint64)])
-    return kept, mix(total[first[1:]] - total[first[:-1]])[kept], runs, row
+    return kept, _classes(words, first)[kept] if classes else kept, runs, row
 
 
 def _ordered(runs: np.ndarray, row: np.ndarray, rows: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,7 +257,8 @@ def sliced_pairs(entry: np.ndarray, sketch: np.ndarray, size: np.ndarray, simila
     # in a pair the smaller text has the run among its first n - 2t/(1+t) n + 1; rows with it later only answer
     late = place > size - np.ceil(2 * similarity / (1 + similarity) * size - 1e-9)
     # like sizes stand together, so that one limit fits the rows of a word
-    order = np.lexsort((size, late, key))
+    group = np.cumsum(np.append(False, key[1:] != key[:-1]))
+    order = np.argsort(group.astype(np.uint64) << np.uint64(33) | late.astype(np.uint64) << np.uint64(32) | size.astype(np.uint64))
     key, late, sketch, size, place = key[order], late[order], sketch[order], size[order], place[order]
     n = len(key)
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if n else np.zeros(0, dtype=np.int64)
@@ -295,7 +300,7 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", n: int
     base = docs.select(F.col(id_col).cast("string").alias("id"), F.lower(F.col(text_col)).alias("text")).where("id is not null and text is not null")
 
     def count(own: np.ndarray, b: pa.RecordBatch) -> None:
-        kept, _, runs, row = _runs(b.column(0), n, min_words)
+        kept, _, runs, row = _runs(b.column(0), n, min_words, classes=False)
         own[:SLOTS] += np.bincount(_slot(runs), minlength=SLOTS)
         size = np.bincount(row, minlength=len(kept))
         own[SLOTS] += int((size - np.ceil(similarity * size) + 1).sum())
@@ -356,8 +361,9 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", n: int
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept, cls, _, _ = _runs(b.column(1), n, min_words)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(kept)), pa.array(cls.view(np.int64))], ["id", "class_id"])
+            words, first = word_hashes(b.column(1))
+            kept = np.flatnonzero(np.diff(first) >= max(min_words, n))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(kept)), pa.array(_classes(words, first)[kept].view(np.int64))], ["id", "class_id"])
 
     members = base.mapInArrow(classify, "id string, class_id long").distinct()
 
