@@ -73,17 +73,24 @@ def sentence_key(sentence: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(sentence, r"\s+", " ")))
 
 
-def kept_first(items: Column, min_words: int = 0) -> Column:
-    """Distinct sentences by key, the first of each in order, joined by a space; shorter ones than ``min_words`` are dropped.
+def first_by_key(items: Column, min_words: int = 0) -> Column:
+    """Items with the first of each sentence key kept, in order; blank ones and those of fewer words than ``min_words`` are dropped.
 
-    Keys are gathered once and every position is looked up in a map, so the work is linear in the number of sentences.
+    Sorted by key and position, an item is the first of its key if the one before has another key: no item is compared with all.
     """
-    rows = F.transform(items, lambda s, i: F.struct(sentence_key(s).alias("k"), i.alias("i"), F.trim(s).alias("s")))
+    rows = F.transform(items, lambda s, i: F.struct(sentence_key(s).alias("k"), i.alias("i"), s.alias("s")))
     rows = F.filter(rows, lambda r: (r["k"] != "") & (F.size(F.split(r["k"], " ")) >= min_words))
-    # sorted by key then position, an entry is the first of its key if the entry before has another key
-    ordered = F.array_sort(rows)
-    firsts = F.filter(F.transform(ordered, lambda r, i: F.struct(r["i"].alias("i"), r["s"].alias("s"), ((i == 0) | (F.get(ordered, i - 1)["k"] != r["k"])).alias("f"))), lambda r: r["f"])
-    return F.array_join(F.transform(F.array_sort(firsts), lambda r: r["s"]), " ")
+    none = F.lit(None).cast("string")
+    firsts = F.aggregate(
+        F.array_sort(rows), F.struct(none.alias("k"), F.array().cast("array<struct<i:int,s:string>>").alias("out")),
+        lambda acc, r: F.when(acc["k"] == r["k"], acc).otherwise(F.struct(r["k"].alias("k"), F.concat(acc["out"], F.array(F.struct(r["i"].alias("i"), r["s"].alias("s")))).alias("out"))),
+    )
+    return F.transform(F.array_sort(firsts["out"]), lambda r: r["s"])
+
+
+def kept_first(items: Column, min_words: int = 0) -> Column:
+    """Distinct sentences, the first of each in order, joined by a space."""
+    return F.array_join(F.transform(first_by_key(items, min_words), lambda s: F.trim(s)), " ")
 
 
 def word_count(text: Column) -> Column:

@@ -208,10 +208,6 @@ def random_groups(df: DataFrame, file_col: str, order_col: str, size: int = 5, p
     return starts.select("file", "start", F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.col("start") + i).alias("items"))
 
 
-def python_json(text: Column) -> Column:
-    """Compact JSON with a space after the commas and colons between its parts, outside strings."""
-    return F.regexp_replace(F.regexp_replace(text, r'([,:])(?=(?:[^"\\]|\\.|"(?:[^"\\]|\\.)*")*$)', "$1 "), "  +", " ")
-
 
 def prompt(template: str, query: Column, answer: Column) -> Column:
     before, rest = template.split("{q}")

@@ -41,13 +41,6 @@ def kept_chunks(chunks: Column, filing_type: Column, from_text: Column) -> Colum
     return F.filter(body, lambda c: (F.trim(c) != "") & ~F.contains(F.lower(c), F.lit("us-gaap")))
 
 
-def first_of_each(chunks: Column) -> Column:
-    """Chunks without repetitions, by the sentence key; order kept."""
-    return F.transform(
-        F.array_sort(F.map_values(F.map_from_entries(F.reverse(F.transform(chunks, lambda c, i: F.struct(X.sentence_key(c).alias("k"), F.struct(i.alias("i"), c.alias("c")).alias("v"))))))), lambda v: v["c"]
-    )
-
-
 def from_first_item(text: Column) -> Column:
     at = F.regexp_instr(text, F.lit(FIRST_ITEM))
     return F.when(at > 0, F.substring(text, at, F.length(text))).otherwise(text)
@@ -79,7 +72,7 @@ def clean_filings(raw: DataFrame, profile: str = "general") -> DataFrame:
         start = F.when(F.col("filing_type") == "10-K", F.coalesce(from_last_part(joined), from_first_item(joined))).otherwise(from_first_item(joined))
         cleaned = X.single_spaced(X.split_joined_words(X.normalized_quotes(X.without_lines(start, X.APPLE_HEADER_LINES))))
     else:
-        cleaned = clean_text(X.without_lines(from_first_item(F.array_join(first_of_each(F.col("_c")), " "))))
+        cleaned = clean_text(X.without_lines(from_first_item(F.array_join(X.first_by_key(F.col("_c")), " "))))
     rows = rows.withColumn("cleaned_text", cleaned).where(X.word_count(F.col("cleaned_text")) >= 50)
     return rows.select("cleaned_text", "ticker", "date", F.year(X.parsed_date(F.col("date"))).alias("year"), X.cik_of(F.col("url")).alias("cik"), "filing_type")
 

@@ -46,7 +46,7 @@ def focus_matches(focus: dict[str, Column], chunk: dict[str, Column]) -> Column:
 
 def post_filter(focus: dict[str, Column], date_quarter: Column) -> Column:
     """After the limit: a quarterly report with a wanted quarter must be dated in it."""
-    return ~((focus["doc_type"] == "10-Q") & focus["quarter"].isNotNull()) | (date_quarter == focus["quarter"]) & date_quarter.isNotNull()
+    return ~(focus["doc_type"].eqNullSafe("10-Q") & focus["quarter"].isNotNull()) | (date_quarter == focus["quarter"]) & date_quarter.isNotNull()
 
 
 
