@@ -180,11 +180,11 @@ def prepended(results: DataFrame, first: DataFrame) -> DataFrame:
     return first.withColumn("rank", F.lit(0)).unionByName(results, allowMissingColumns=True)
 
 
-def point_chunks(points: DataFrame) -> DataFrame:
-    """The chunk side of a search from points with a payload: id, ticker, metadata, unit vector; unfit vectors are left out."""
+def point_chunks(points: DataFrame, dim: int = 64) -> DataFrame:
+    """The chunk side of a search from points with a payload: id, ticker, metadata, unit vector; vectors not of ``dim`` fit numbers are left out."""
     p = "payload"
     kind = F.lower(F.regexp_replace(F.col(f"{p}.filing_type"), "-", ""))
-    good = F.coalesce((F.size("vector") > 0) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x)), F.lit(False))
+    good = F.coalesce((F.size("vector") == dim) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x)), F.lit(False))
     return points.where(good).select(
         F.col("id").alias("point_id"), F.col(f"{p}.ticker").alias("ticker"), F.col(f"{p}.year").cast("int").alias("year"), F.col(f"{p}.quarter").alias("quarter"), F.col(f"{p}.source_type").alias("source_type"),
         kind.alias("filing_category"), F.lit(None).cast("int").alias("date_quarter"), unit_vector(F.col("vector")).alias("vector"), F.col(f"{p}.chunk_text").alias("chunk_text"),

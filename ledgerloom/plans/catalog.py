@@ -149,7 +149,7 @@ def chunk_predicates(spark, d):
 
 @query("chunk_dedup", f"SELECT doc_id, string_agg(c, ' ' ORDER BY i) AS joined FROM (SELECT doc_id, arg_min(c, i) AS c, min(i) AS i FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS c, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL) WHERE {s_key('c')} <> '' GROUP BY doc_id, {s_key('c')}) GROUP BY doc_id")
 def chunk_dedup(spark, d):
-    return docs(spark, d).where("text is not null").select("doc_id", F.array_join(X.first_by_key(F.split("text", "\n")), " ").alias("joined"))
+    return docs(spark, d).where("text is not null").select("doc_id", F.array_join(X.first_by_key(F.split("text", "\n")), " ").alias("joined")).where("joined <> ''")
 
 
 _MARKED = "'PART I Item 1. aa ' || text || ' PART I Item 1. Item 10. bb'"
@@ -443,7 +443,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return top.select("focus_idx", "rank", "tier", "point_id", F.round("score", 6).alias("score"), "chunk_text")
 
 
-_GOOD = "len(vector) > 0 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0"
+_GOOD = "len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0"
 _POINTS = (
     f"pts AS (SELECT id AS point_id, payload.ticker AS ticker, CAST(payload.year AS INTEGER) AS year, payload.quarter AS quarter, payload.source_type AS source_type, lower(replace(payload.filing_type, '-', '')) AS filing_category, "
     f"length(payload.chunk_text) % 4 + 1 AS date_quarter, {_UNIT.format('vector')} AS v, payload.chunk_text AS chunk_text FROM point WHERE vector IS NOT NULL AND {_GOOD})"
