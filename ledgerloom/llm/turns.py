@@ -79,7 +79,7 @@ class Roster:
         self.listed = 0
 
     def add(self, name: str) -> None:
-        name = " ".join(name.split())
+        name = " ".join(w for w in name.split() if w.strip(".,").casefold() not in HONORIFICS)
         words = _tokens(name)
         if words and words not in self.words:
             self.names.append(name)
@@ -119,6 +119,13 @@ def _operator(label: str) -> bool:
     return " ".join(_tokens(label)) in OPERATORS
 
 
+def _mentioned(label: str, text: str) -> bool:
+    words = label.split()
+    if len(words) > 1:
+        return words[0].strip(".,").casefold() in HONORIFICS
+    return re.search(rf"\b[^\W\d_][\w’'-]+(?: [A-Z]\.)? {re.escape(label)}\b(?!:)", text) is not None and label.casefold() not in ("guidance", "note", "outlook")
+
+
 def label_of(line: str) -> tuple[str, str, bool] | None:
     """(name, speech after it, whether the form alone marks a label) if the line may start with a speaker's label."""
     m = re.match(r"^\[([^\[\]]{2,60})\]\s*[:—–-]*\s*(.*)$", line)
@@ -220,8 +227,8 @@ def parse(text: str | None) -> list[tuple[int, str, str, float | None]]:
     for n, line in enumerate(lines):
         if in_list:
             entry = re.sub(r"^[*•◦·\-–]\s*", "", line)
-            if entry and not HEADER.match(line) and not MARK.match(line) and (DASH.search(entry) or _namelike(entry)):
-                name = re.sub(r"\s*\([^()]*\)$", "", DASH.split(entry)[0])
+            if entry and not HEADER.match(line) and not MARK.match(line) and (DASH.search(entry) or _namelike(entry) or _namelike(entry.split(",")[0])):
+                name = re.sub(r"\s*\([^()]*\)$|,.*$", "", DASH.split(entry)[0])
                 if not _operator(name):
                     roster.add(name)
                 entries += 1
@@ -236,13 +243,16 @@ def parse(text: str | None) -> list[tuple[int, str, str, float | None]]:
         elif line and n == 0 and (MARK.match(line) or (label_of(line) or ("", "", False))[2]):
             body.append(line)
     roster.listed = len(roster.names)
-    marked = []
+    whole, marked = " ".join(body), []
     for line in body:
         m = MARK.match(line)
         rest = line[m.end() :] if m else line
         found = label_of(rest) if rest else None
         marked.append((seconds(m[1] or m[2]) if m else None, rest, found))
-        if found and not _operator(found[0]) and roster.find(found[0]) is None and len(_tokens(found[0])) > 1 and (found[2] or (found[1] or rest.endswith(":")) and not HEADER.match(found[0])):
+        if found and len(_tokens(found[0])) == 1 and roster.find(found[0]) is None and not _operator(found[0]) and ":" in rest and _mentioned(found[0], whole):
+            # a surname alone is a label if the call names somebody so, or a title stands before it
+            roster.add(found[0])
+        elif found and not _operator(found[0]) and roster.find(found[0]) is None and len(_tokens(found[0])) > 1 and (found[2] or (found[1] or rest.endswith(":")) and not HEADER.match(found[0])):
             roster.add(found[0])
         elif found and len(_tokens(found[0])) > 1 and not _operator(found[0]) and (i := roster.find(found[0])) is not None and i >= roster.listed:
             roster.add(found[0])
