@@ -108,12 +108,15 @@ def retrieve(focuses: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame
     ``k`` a level, and adds points not held yet, earlier levels first. Focuses without any result give no row; null filter
     fields don't restrict.
     """
+    # read several times below, so computed once; the chunks are scanned once for the levels and once for the augmentation
+    focuses = staged(focuses.select("focus_idx", "ticker", "year", "quarter", "doc_type", "query_vector"), "focuses")
     found = staged(search_levels(relaxation_levels(focuses), chunks, k), "levels")
     base_level = found.groupBy("focus_idx").agg(F.min("level").alias("level"))
     base = found.join(small_side(base_level), ["focus_idx", "level"])
     chosen = relaxation_levels(focuses).join(small_side(base_level), ["focus_idx", "level"])
     held = base.groupBy("focus_idx").count().where(F.col("count") < k).select("focus_idx")
-    more = search_levels(augmentation_levels(chosen.join(small_side(held), "focus_idx", "left_semi")), chunks, 2 * k)
+    fill = staged(augmentation_levels(chosen.join(held, "focus_idx", "left_semi")), "fill")
+    more = search_levels(fill, chunks, 2 * k)
     both = base.unionByName(more)
     first = both.withColumn("_d", F.row_number().over(W.partitionBy("focus_idx", "point_id").orderBy("level"))).where("_d = 1").drop("_d")
     order = W.partitionBy("focus_idx").orderBy("level", F.desc("score"), "point_id")
