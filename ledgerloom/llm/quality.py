@@ -41,17 +41,31 @@ def _kind(x: Column) -> Column:
     cells = F.greatest(
         F.size(F.split(s, r"\|", -1)) - 1, F.size(F.split(s, r"\t", -1)) - 1, F.size(F.split(s, r";(?! \p{L})", -1)) - 1, F.size(F.split(s, r" {2,}", -1)) - 1
     )
-    junk = (symbols * 10 > length * 3) | (untagged * 2 < length) | (mute * 4 > n) | (odd * 3 > n) | (words == 0)
-    prose = (common * 12 >= n) & (common >= 1) & (n >= 4) & (F.length(F.regexp_replace(s, r"\s", "")) < n * 16) & ((length >= 38) | s.rlike(ENDINGS)) & (symbols * 6 < length) & (mute * 6 <= n)
+    flags = F.struct(
+        s.alias("s"), n.alias("n"), length.alias("length"), common.alias("common"), words.alias("words"), mute.alias("mute"), odd.alias("odd"), symbols.alias("symbols"), untagged.alias("untagged"),
+        cells.alias("cells"), cjk.alias("cjk"), s.rlike(ENDINGS).alias("ended"), s.rlike(BULLET).alias("bullet"),
+    )
+    return F.get(F.transform(F.array(flags), _decided), 0)
+
+
+def _decided(x: Column) -> Column:
+    s, n, length, common, mute, symbols, cells = (x[c] for c in ("s", "n", "length", "common", "mute", "symbols", "cells"))
+    junk = (symbols * 10 > length * 3) | (x["untagged"] * 2 < length) | (mute * 4 > n) | (x["odd"] * 3 > n) | (x["words"] == 0)
+    prose = (common * 12 >= n) & (common >= 1) & (n >= 4) & ((length >= 38) | x["ended"]) & (symbols * 6 < length) & (mute * 6 <= n) & (length < n * 17)
     # many words in a row without any stop are no sentences
     prose = prose & ((n < 30) | s.rlike(r"[.!?…,;:]"))
-    return (
-        F.when(s.rlike(LEADERS), "list").when(s.rlike(BORDER), "table").when(cjk, F.when(s.rlike(BULLET) & (length < 60), "list").otherwise("prose"))
-        .when((n > 3) & (mute * 4 > n), "junk").when(prose & (length > 150) & (cells * 25 < length), "prose")
-        .when((cells >= 2) | ((cells == 1) & s.rlike(r"[\t|]")), F.when(prose & (cells < 3) & ~s.rlike(r"[\t|]"), "prose").when(length > 400, "junk").when(s.rlike(r"(?U)[|;\t]\S*[|;\t]") & ~s.rlike(r"(?U)\s") & (length > 120), "junk").otherwise("table"))
-        .when(s.rlike(BULLET) & (length < 120) & ~junk, F.when(prose & (length >= 70) & s.rlike(ENDINGS), "prose").otherwise("list"))
-        .when(prose, "prose").when(junk | (length > 120), "junk").otherwise("list")
-    )
+    marked = F.struct(junk.alias("junk"), prose.alias("prose"))
+
+    def kind(y: Column) -> Column:
+        return (
+            F.when(s.rlike(LEADERS), "list").when(s.rlike(BORDER), "table").when(x["cjk"], F.when(x["bullet"] & (length < 60), "list").otherwise("prose"))
+            .when((n > 3) & (mute * 4 > n), "junk").when(y["prose"] & (length > 150) & (cells * 25 < length), "prose")
+            .when((cells >= 2) | ((cells == 1) & s.rlike(r"[\t|]")), F.when(y["prose"] & (cells < 3) & ~s.rlike(r"[\t|]"), "prose").when(length > 400, "junk").when(s.rlike(r"(?U)[|;\t]\S*[|;\t]") & ~s.rlike(r"(?U)\s") & (length > 120), "junk").otherwise("table"))
+            .when(x["bullet"] & (length < 120) & ~y["junk"], F.when(y["prose"] & (length >= 70) & x["ended"], "prose").otherwise("list"))
+            .when(y["prose"], "prose").when(y["junk"] | (length > 120), "junk").otherwise("list")
+        )
+
+    return F.get(F.transform(F.array(marked), kind), 0)
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
