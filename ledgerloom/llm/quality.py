@@ -143,14 +143,21 @@ def outlier_scores(rows: DataFrame) -> DataFrame:
     return rows.join(scored, "row")
 
 
+#: A language's median tells outliers only if at least this share of its texts is prose by its lines.
+PROSE_SHARE = 0.6
+
+
 def assessed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, language, statistics, kind, score, outlier): every row with a non-blank text, outliers being the upper half by score.
 
     A document is other than prose if its lines say so and its statistics are unusual in its language: its score is above the
-    language's median. In a language of which most texts are no prose the median can't tell, so texts of which no language
-    is known are judged by their lines alone. Null and blank texts give no row.
+    language's median. Where most texts of a language are no prose the median can't tell, so those, and texts of which no
+    language is known, are judged by their lines alone. Null and blank texts give no row.
     """
     rows = outlier_scores(staged(measured(docs, id_col, text_col), "measured"))
-    medians = staged(rows.groupBy("language").agg(F.percentile_approx("score", 0.5, 10_000).alias("median")), "medians")
+    share = F.avg((F.col("kind") == "prose").cast("double"))
+    medians = staged(rows.groupBy("language").agg(F.percentile_approx("score", 0.5, 10_000).alias("median"), share.alias("share")), "medians")
+    # one row per language code, a fixed list
     joined = rows.join(F.broadcast(medians), "language")
-    return joined.select("id", "language", *STATS, "kind", "score", ((F.col("score") > F.col("median")) | (F.col("language") == "und")).alias("outlier"))
+    outlier = (F.col("score") > F.col("median")) | (F.col("share") < PROSE_SHARE) | (F.col("language") == "und")
+    return joined.select("id", "language", *STATS, "kind", "score", outlier.alias("outlier"))
