@@ -67,4 +67,20 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_statistics": p10_statistics}
 
-SQL: dict[str, str] = {}
+_TRIMMED = r"regexp_replace({0}, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')"
+_LONGEST = r"list_max(list_transform(regexp_split_to_array(t, '[ \t\r\n]+'), lambda x: length(x)))"
+
+
+def _windows(source: str, key: str) -> str:
+    words = f"(SELECT {key}, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM {source} WHERE text IS NOT NULL)"
+    return f"(SELECT DISTINCT {key}, g FROM (SELECT {key}, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS g FROM {words} WHERE len(w) >= 13))"
+
+
+SQL: dict[str, str] = {
+    "p6_found": (
+        f"SELECT item_table, item_key, CAST(pos AS INTEGER) AS pos, CASE WHEN {_LONGEST} > size THEN 'hard' ELSE 'natural' END AS cut_kind FROM ("
+        f"SELECT 'sectioned_filing' AS item_table, CAST(filing_no AS VARCHAR) AS item_key, pos, {_TRIMMED.format('s.text')} AS t, 1000 AS size FROM (SELECT filing_no, unnest(sections) AS s, generate_subscripts(sections, 1) - 1 AS pos FROM sectioned_filing) "
+        f"UNION ALL SELECT DISTINCT 'chunk', global_chunk_id, 0, {_TRIMMED.format('text')}, CASE source_type WHEN 'sec_filing' THEN 1000 ELSE 800 END FROM chunk WHERE source_type IN ('sec_filing', 'earnings_transcript')) WHERE length(t) > size"
+    ),
+    "p9_found": f"SELECT DISTINCT doc_id, item_id FROM {_windows('documents', 'doc_id')} JOIN {_windows('eval_item', 'item_id')} USING (g)",
+}
