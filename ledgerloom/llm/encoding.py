@@ -20,6 +20,9 @@ PRETOKEN = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Words that hold at least 1/HOT_SHARE of all tokens are joined by broadcast: at most HOT_SHARE words, whatever the data.
 HOT_SHARE = 4096
 
+#: Texts of up to so many characters have their token places packed into numbers (26 bits of place, 20 of part, 17 of id).
+PACKED_CHARS = 500_000
+
 _encoders: dict[str, object] = {}
 
 
@@ -59,25 +62,30 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             ids = [x.ids for x in enc.encode_batch(words, add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), b.column(1)], ["word", "ids", "n"])
 
-    base = docs.select(F.col(id_col).alias("_id"), F.regexp_extract_all(F.col(text_col), F.lit(PRETOKEN), F.lit(0)).alias("_w"))
-    words = base.select(F.explode("_w").alias("word")).groupBy("word").count()
+    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    pretokens = F.regexp_extract_all("_text", F.lit(PRETOKEN), F.lit(0))
+    words = base.select(F.explode(pretokens).alias("word")).groupBy("word").count()
     # the pattern splits a word no further, so encoding it alone gives its ids inside any text
     coded = staged(words.mapInArrow(encode, "word string, ids array<int>, n long"), "words")
     total = coded.agg(F.sum("n").alias("n")).first()["n"] or 0
     hot = coded.where(F.col("n") * HOT_SHARE >= F.lit(max(total, 1)))
     cold = coded.where(F.col("n") * HOT_SHARE < F.lit(max(total, 1)))
-    # one record per (document, word) with all its positions: what a document repeats is shuffled once
-    rows = base.withColumn("_row", F.monotonically_increasing_id())
-    tokens = rows.select("_row", "_id", F.posexplode("_w").alias("pos", "word"))
-    marked = tokens.join(F.broadcast(hot.select("word", "ids")), "word", "left")
-    hit = marked.where(F.col("ids").isNotNull()).select("_row", "_id", "pos", "ids")
-    rest = marked.where(F.col("ids").isNull()).select("_row", "_id", "pos", "word").join(cold.select("word", "ids"), "word").select("_row", "_id", "pos", "ids")
-    none = rows.where(F.coalesce(F.size("_w"), F.lit(0)) <= 0).select("_row", "_id", F.lit(0).alias("pos"), F.array().cast("array<int>").alias("ids"))
-    return (
-        hit.unionByName(rest).unionByName(none)
-        .groupBy("_row", "_id").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("t"))
-        .select(F.col("_id").alias(id_col), F.flatten("t.ids").alias("ids"))
-    )
+
+    def placed(part: DataFrame) -> DataFrame:
+        # the row key is made before the explosion, which would number tokens
+        tokens = part.withColumn("_row", F.monotonically_increasing_id()).select("_row", "_id", F.posexplode(pretokens).alias("pos", "word"))
+        marked = tokens.join(F.broadcast(hot.select("word", "ids")), "word", "left")
+        hit = marked.where(F.col("ids").isNotNull()).select("_row", "_id", "pos", "ids")
+        rest = marked.where(F.col("ids").isNull()).select("_row", "_id", "pos", "word").join(cold.select("word", "ids"), "word").select("_row", "_id", "pos", "ids")
+        return hit.unionByName(rest)
+
+    # place, part and id share one number where they fit, which they do in all but gigantic texts
+    entry = F.transform("ids", lambda x, j: F.shiftleft(F.col("pos").cast("bigint"), 37).bitwiseOR(F.shiftleft(j.cast("bigint"), 17)).bitwiseOR(x.cast("bigint")))
+    packed = placed(base.where(F.length("_text").between(1, PACKED_CHARS))).select("_row", "_id", F.explode(entry).alias("e")).groupBy("_row", "_id").agg(F.sort_array(F.collect_list("e")).alias("t"))
+    packed = packed.select("_id", F.transform("t", lambda e: e.bitwiseAND(F.lit((1 << 17) - 1)).cast("int")).alias("ids"))
+    wide = placed(base.where(F.length("_text") > PACKED_CHARS)).groupBy("_row", "_id").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("t")).select("_id", F.flatten("t.ids").alias("ids"))
+    none = base.where("coalesce(_text, '') = ''").select("_id", F.array().cast("array<int>").alias("ids"))
+    return packed.unionByName(wide).unionByName(none).select(F.col("_id").alias(id_col), "ids")
 
 
 def decode_corpus(coded: DataFrame, id_col: str = "doc_id", tokenizer_dir: str = TOKENIZER_DIR, name: str = "byte_bpe_50k") -> DataFrame:

@@ -47,7 +47,8 @@ def chunk_items(chunks: DataFrame) -> DataFrame:
         F.lit("chunk").alias("item_table"), F.col("global_chunk_id").alias("item_key"), F.lit(0).alias("pos"), F.col("source_type").alias("kind"), "text"
     )
     # only texts over the smallest limit can be cut; delivered twice they are equal, so any one row of an id serves
-    return rows.where(F.length("text") > min(size for size, _ in LIMITS.values())).dropDuplicates(["item_key"])
+    long = rows.where(F.length("text") > min(size for size, _ in LIMITS.values()))
+    return long.where("item_key is not null").dropDuplicates(["item_key"]).unionByName(long.where("item_key is null"))
 
 
 def split_texts(items: DataFrame, size: int, overlap: int, text: str = "text") -> DataFrame:
