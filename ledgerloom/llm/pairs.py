@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -29,6 +31,16 @@ UNWILLING = (
     r"(cannot|can't|can not|could not|couldn't|won't|will not|unable|not able|declin|refus|have to pass|must pass|rather not|do not have|don't have|do not give|don't give|"
     r"not a question i can|off limits|against my|not be appropriate|outside what i|say nothing on|no answer can|not in a position|not comfortable|not permitted|not allowed)"
 )
+# Fixed patterns: the same two in the other languages of FUNCTION_WORDS, each pair for itself.
+DECLINING = [
+    (SELF, UNWILLING),
+    (r"(?U)\b(ich|mir|mich|mein|meine|meiner|meinem|meinen)\b", r"(?U)\b(kann|könnte|möchte|darf|will|werde|bin|ist es mir)\b[^.!?]{0,80}\b(nicht|keine|kein|keinen|außerstande)\b|\b(muss|lehne)\b[^.!?]{0,60}\b(passen|ablehnen|ab)\b"),
+    (r"(?U)\b(je|j'ai|me|m'est|moi|mon|ma)\b", r"(?U)\b(ne|n'ai|n'est|n'arrive)\b[^.!?]{0,30}\b(peux|puis|pourrai|souhaite|dispose|suis|possible|permis|mesure)\b|\b(refuse|regret de ne)\b"),
+    (r"(?U)\b(yo|me|mi|mis|puedo|podría|lamento|siento)\b", r"(?U)\bno\b[^.!?]{0,20}\b(puedo|podría|quiero|dispongo|tengo|es posible|estoy)\b"),
+    (r"(?U)\b(io|mi|mio|mia|posso|potrei|dispongo)\b", r"(?U)\bnon\b[^.!?]{0,20}\b(posso|potrei|voglio|dispongo|è possibile|sono in grado)\b"),
+    (r"(?U)\b(eu|me|meu|minha|posso|poderia|lamento)\b", r"(?U)\bnão\b[^.!?]{0,20}\b(posso|poderia|quero|disponho|é possível|consigo|estou)\b"),
+    (r"(?U)\b(ik|mij|me|mijn)\b", r"(?U)\b(kan|mag|wil|zal|ben)\b[^.!?]{0,60}\b(niet|geen)\b"),
+]
 ENDINGS = r"""[.!?。！？…]["”’'»)\]]*$|[)\]"”»]$"""
 
 
@@ -111,8 +123,9 @@ def _opening(query: Column, answer: Column) -> Column:
 def opening_clusters(openings: DataFrame, similarity: float = 0.5, bands: int = 12) -> DataFrame:
     """(opening, cluster): distinct openings linked by MinHash bands of two and verified by the Jaccard similarity of word pairs.
 
-    In each band's bucket every opening is compared with the bucket's first one only, so a bucket never becomes all
-    pairs; labels then pass along the links until none changes (their least wins), a few rounds as openings are short.
+    In each band's bucket an opening is compared with the bucket's heads and linked to the first that is similar enough; one that
+    is like none becomes a head itself, so none is left unresolved and a bucket never becomes all pairs. Rows come sorted by
+    bucket; a task holds one bucket's heads. Linked openings then get their component's least opening as cluster.
     """
 
     def pairs_of(words: list[str]) -> set[tuple[str, str]]:
@@ -130,33 +143,62 @@ def opening_clusters(openings: DataFrame, similarity: float = 0.5, bands: int =
                     rows.append((o, k, xxhash.xxh64_intdigest(repr(mins)) - (1 << 63)))
             yield pd.DataFrame(rows, columns=["opening", "band", "bucket"])
 
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, heads, bearers = None, [], {}
+        for b in batches:
+            rows = []
+            for band, bucket, o in zip(b.band, b.bucket, b.opening, strict=True):
+                if (band, bucket) != at:
+                    at, heads, bearers = (band, bucket), [], {}
+                own = pairs_of(o.split())
+                shared: dict[int, int] = {}
+                for p in own:
+                    for i in bearers.get(p, ()):
+                        shared[i] = shared.get(i, 0) + 1
+                first = min((i for i, n in shared.items() if n >= similarity * (len(own) + heads[i][1] - n)), default=None)
+                if first is not None:
+                    rows.append((o, heads[first][0]))
+                    continue
+                for p in own:
+                    bearers.setdefault(p, []).append(len(heads))
+                heads.append((o, len(own)))
+            yield pd.DataFrame(rows, columns=["opening", "head"])
+
     signed = openings.select("opening").mapInPandas(sign, "opening string, band int, bucket long")
-    heads = signed.groupBy("band", "bucket").agg(F.min("opening").alias("head"))
-    links = signed.join(heads, ["band", "bucket"]).where("opening <> head").select("opening", "head").distinct()
-
-    def shingles(c: str) -> Column:
-        w = F.split(c, " ")
-        return F.array_distinct(F.zip_with(w, F.slice(w, 2, 100), lambda x, y: F.concat_ws(" ", x, y)))
-
-    a, b = shingles("opening"), shingles("head")
-    links = staged(links.where(F.size(F.array_intersect(a, b)) >= similarity * F.size(F.array_union(a, b))), "links")
-    both = links.select("opening", "head").unionByName(links.select(F.col("head").alias("opening"), F.col("opening").alias("head")))
-    labels = openings.select("opening", F.col("opening").alias("cluster"))
-    for _ in range(30):
-        spread = both.join(labels.withColumnRenamed("opening", "head"), "head").select("opening", "cluster")
-        new = staged(labels.unionByName(spread).groupBy("opening").agg(F.min("cluster").alias("cluster")), "labels")
+    buckets = signed.repartition("band", "bucket").sortWithinPartitions("band", "bucket", "opening")
+    links = staged(buckets.mapInPandas(link, "opening string, head string").where("opening <> head").distinct(), "links")
+    return components(openings.select("opening"), links)
+
+
+def components(openings: DataFrame, links: DataFrame) -> DataFrame:
+    """(opening, cluster): the least opening of each connected component.
+
+    Labels are hung under the labels of neighbours' labels and shortened in each round, so chains of any length settle in
+    about the logarithm of their length; labels only ever fall, so the rounds end.
+    """
+    both = staged(links.select("opening", "head").unionByName(links.select(F.col("head").alias("opening"), F.col("opening").alias("head"))), "both")
+    # openings without a link are their own cluster and take no part in the rounds
+    labels = staged(both.groupBy("opening").agg(F.min("head").alias("head")).select("opening", F.least("opening", "head").alias("cluster")), "labels")
+    while True:
+        up = labels.select(F.col("opening").alias("cluster"), F.col("cluster").alias("top"))
+        tops = staged(labels.join(up, "cluster").select("opening", "cluster", "top"), "tops")
+        beside = both.join(tops.select(F.col("opening").alias("head"), F.col("top").alias("found")), "head").groupBy("opening").agg(F.min("found").alias("found"))
+        offers = tops.join(beside, "opening").select(
+            F.explode(F.array(F.struct("opening", F.least("top", "found").alias("c")), F.struct(F.col("cluster").alias("opening"), F.least("top", "found").alias("c")))).alias("x")
+        )
+        new = staged(offers.groupBy("x.opening").agg(F.min("x.c").alias("cluster")), "labels")
         moved = new.join(labels, ["opening", "cluster"], "left_anti").limit(1).count()
         labels = new
         if not moved:
-            return labels
-    raise RuntimeError("opening clusters did not settle")
+            return openings.join(labels, "opening", "left").select("opening", F.coalesce("cluster", "opening").alias("cluster"))
 
 
 def defects(answers: DataFrame, id_col: str = "example_id", query_col: str = "user_query", answer_col: str = "final_answer") -> DataFrame:
     """(id, defect): at most one defect of each row, in the order empty, copy, refusal, other_language, truncated.
 
     Refusals: openings are clustered; a cluster is a refusal template if most of its answers speak of the writer and of
-    not answering, and all its members are refusals then, unless they go on to give figures. A null query leaves the checks
+    not answering, and all its members are refusals then, unless they go on to give figures. How often a template recurs over
+    unrelated prompts doesn't decide: sound answers recur as widely, and a refusal given once is one too. A null query leaves the checks
     that need none. Repeated rows are judged each; rows with a null id are kept; other columns are ignored.
     """
     rows = answers.select(F.col(id_col).alias("id"), F.col(query_col).cast("string").alias("q"), F.col(answer_col).cast("string").alias("a"))
@@ -164,7 +206,7 @@ def defects(answers: DataFrame, id_col: str = "example_id", query_col: str = "us
     plain = F.lower(F.regexp_replace(F.col("a"), "[’‘]", "'"))
     head = F.regexp_extract(plain, r"^(?s)\s*((?:[^.!?]|[.!?](?!\s)){1,400}(?:[.!?]\s+(?:[^.!?]|[.!?](?!\s)){1,200})?)", 1)
     rows = rows.withColumn("empty", is_empty(F.col("a"))).withColumn("opening", F.when(~F.col("empty"), _opening(q, F.col("a"))))
-    rows = rows.withColumn("cue", F.coalesce(head.rlike(SELF) & head.rlike(UNWILLING), F.lit(False)))
+    rows = rows.withColumn("cue", F.coalesce(reduce(or_, (head.rlike(me) & head.rlike(no) for me, no in DECLINING)), F.lit(False)))
     counted = rows.where("opening <> ''").groupBy("opening").agg(F.count("*").alias("n"), F.sum(F.col("cue").cast("int")).alias("cues"))
     counted = staged(counted, "openings")
     clusters = opening_clusters(counted)
