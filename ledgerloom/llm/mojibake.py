@@ -16,9 +16,11 @@ CODECS = ["cp1252", "latin-1", "mac_roman", "cp1251", "cp437", "cp850", "cp1250"
 #: Encodings that are tried a second and third time over.
 AGAIN = ["cp1252", "latin-1", "mac_roman", "cp1251"]
 
-#: A word with a character outside ASCII, and a run of such characters alone.
-WORD = r"[A-Za-z0-9]*(?:[^\x00-\x7F]+[A-Za-z0-9]*)+"
-RUN = r"[^\x00-\x7F]+"
+#: A garbled no-break space whose second half has become a plain blank; in Cyrillic only after an ASCII word, as the letter is a word too.
+STRAY = r"(?:(?:(?<=Â)|(?<=[A-Za-z0-9]В)) )"
+#: A word with a character outside ASCII, and a run of such characters alone; both with the blank of such a no-break space.
+WORD = rf"[A-Za-z0-9]*(?:[^\x00-\x7F]+[A-Za-z0-9]*)+{STRAY}?"
+RUN = rf"[^\x00-\x7F]+{STRAY}?"
 
 
 def decoded(data: bytes, codec: str, undefined: str) -> str:
@@ -46,7 +48,8 @@ def garbled_forms(word: str) -> set[tuple[str, str]]:
                 for b in AGAIN:
                     twice = decoded(once.encode("utf-8", "replace"), b, undefined)
                     out.add((twice, f"{chain} > {b}"))
-                    out.add((decoded(twice.encode("utf-8", "replace"), b, undefined), f"{chain} > {b} > {b}"))
+                    for c in AGAIN:
+                        out.add((decoded(twice.encode("utf-8", "replace"), c, undefined), f"{chain} > {b} > {c}"))
     return {(form, chain) for form, chain in out if form != word and form.strip() and any(ord(c) > 127 for c in form)}
 
 
@@ -68,16 +71,28 @@ def undone(word: str) -> str | None:
     return None
 
 
+def unstrayed(word: str) -> str | None:
+    """``word`` that ends in a stray half of a no-break space with the no-break space back, else None."""
+    if not word.endswith(" "):
+        return None
+    back = word[:-1] + "\u00a0"
+    if (whole := undone(back)) is not None:
+        return whole
+    # what stands before it is garbled in another way or not at all
+    return (undone(word[:-2]) or word[:-2]) + "\u00a0"
+
+
 def _usual(c: str) -> bool:
     """Letters of European scripts, currency and typographic signs."""
     o = ord(c)
-    return o < 0x80 or 0xA1 <= o <= 0x17F or 0x370 <= o <= 0x52F or 0x2010 <= o <= 0x2044 or o in (0x20AC, 0x2122, 0x266A)
+    return o < 0x80 or 0xA0 <= o <= 0x17F or 0x370 <= o <= 0x52F or 0x2010 <= o <= 0x2044 or o in (0x20AC, 0x2122, 0x266A)
 
 
 def repairs(words: DataFrame) -> DataFrame:
     """(word, original, chain) of the damaged ones of distinct ``words`` (word, n); ``original`` is null where it is lost.
 
-    A word is clean if it holds neither U+FFFD nor a C1 control and no encoding turns its bytes into valid UTF-8. The garbled
+    A word is clean if it holds neither U+FFFD nor a C1 control nor half a no-break space before a blank, and no encoding turns its
+    bytes into valid UTF-8. The garbled
     forms of every clean word, and of each run of non-ASCII characters in it, make a table keyed by the form; words
     of the corpus are joined with it, first as a whole, then run by run. Of several originals the most frequent is taken;
     forms that lost bytes or characters count only as whole words or runs of two characters, and a lost character only
@@ -86,7 +101,7 @@ def repairs(words: DataFrame) -> DataFrame:
 
     def sort_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            bad = b.word.map(lambda w: "�" in w or any(0x80 <= ord(c) < 0xA0 for c in w) or undone(w) is not None)
+            bad = b.word.map(lambda w: "�" in w or any(0x80 <= ord(c) < 0xA0 for c in w) or w.endswith(" ") or undone(w) is not None)
             runs = b.word.str.findall(RUN)
             bad |= runs.map(lambda r: any(undone(x) is not None for x in r))
             yield pd.DataFrame({"word": b.word, "n": b.n, "clean": ~bad})
@@ -123,7 +138,7 @@ def repairs(words: DataFrame) -> DataFrame:
 
     def undo(runs: pd.Series) -> pd.Series:
         def one(r: str) -> str | None:
-            back = r
+            back = unstrayed(r) or r
             while (nxt := undone(back)) is not None:
                 back = nxt
             return back if back != r and all(map(_usual, back)) else None
