@@ -80,10 +80,11 @@ def _sketches(runs: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 def radius(total: np.ndarray, similarity: float) -> np.ndarray:
-    """Differing bits that two sets of the given similarity, ``total`` runs together, exceed with a chance of about 1 in 700."""
-    apart = (1 - similarity) / (1 + similarity) * total
-    share = (1 - (1 - 2 / BITS) ** apart) / 2
-    return np.minimum(BITS - 1, np.ceil(BITS * share + 3 * np.sqrt(BITS * share * (1 - share)))).astype(np.int64)
+    """Differing bits that no two sets of the given similarity, ``total`` runs together, exceed.
+
+    Sketches differ in at most as many bits as the sets have runs that aren't shared; from BITS on nothing is dropped.
+    """
+    return np.minimum(BITS, np.floor((1 - similarity) / (1 + similarity) * total + 1e-6)).astype(np.int64)
 
 
 def _entries(runs: np.ndarray, begin: np.ndarray, cls: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
