@@ -136,8 +136,11 @@ def tail_probabilities(rows: DataFrame) -> DataFrame:
 
 
 def outlier_scores(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``score``: the sum over all statistics of the negative logarithm of the tail probability."""
-    tails = small_side(staged(tail_probabilities(rows), "tails"))
+    """``rows`` with ``score``: the sum over all statistics of the negative logarithm of the tail probability.
+
+    Rows equal in language and all statistics are ranked as one, so that copies of a text can't make each other usual.
+    """
+    tails = small_side(staged(tail_probabilities(rows.dropDuplicates(["language", *STATS])), "tails"))
     values = rows.select("row", "language", F.explode(F.array(*(F.struct(F.lit(s).alias("stat"), F.col(s).alias("value")) for s in STATS))).alias("x"))
     scored = values.select("row", "language", "x.stat", "x.value").join(tails, ["language", "stat", "value"]).groupBy("row").agg(F.sum(-F.log("tail")).alias("score"))
     return rows.join(scored, "row")
@@ -150,13 +153,13 @@ PROSE_SHARE = 0.6
 def assessed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, language, statistics, kind, score, outlier): every row with a non-blank text, outliers being the upper half by score.
 
-    A document is other than prose if its lines say so and its statistics are unusual in its language: its score is above the
-    language's median. Where most texts of a language are no prose the median can't tell, so those, and texts of which no
-    language is known, are judged by their lines alone. Null and blank texts give no row.
+    ``kind`` comes from the lines alone; the score adds how unusual the statistics are in the language: outliers are above the
+    median of its distinct rows. Where most of them are no prose the median can't tell, so all of those, and texts of which no
+    language is known, count as outliers. Null and blank texts give no row.
     """
     rows = outlier_scores(staged(measured(docs, id_col, text_col), "measured"))
     share = F.avg((F.col("kind") == "prose").cast("double"))
-    medians = staged(rows.groupBy("language").agg(F.percentile_approx("score", 0.5, 10_000).alias("median"), share.alias("share")), "medians")
+    medians = staged(rows.dropDuplicates(["language", *STATS]).groupBy("language").agg(F.percentile_approx("score", 0.5, 10_000).alias("median"), share.alias("share")), "medians")
     # one row per language code, a fixed list
     joined = rows.join(F.broadcast(medians), "language")
     outlier = (F.col("score") > F.col("median")) | (F.col("share") < PROSE_SHARE) | (F.col("language") == "und")
