@@ -19,7 +19,11 @@ MAX_CELLS = 8192
 #: Cells that each vector is looked for in.
 PROBES = 24
 #: Standard errors that the bound of an estimated inner product spans.
-SIGMAS = 2.4
+SIGMAS = 3.0
+#: Cosines from which on the cells are searched; neighbours below lie in any cell, so all vectors are compared.
+CELLS_FROM = 0.85
+#: Vectors that ask at once where all are compared.
+ASKERS = 8192
 #: Rows of a cell that are compared at once with as many others.
 SLAB = 2048
 
@@ -61,6 +65,59 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float32)
 
 
+def compared(reps: DataFrame, total: int, k: int, dim: int) -> DataFrame:
+    """(a, b) from (rep, v): for every vector its ``k`` best others of each part of the vectors, by comparing all with all.
+
+    The vectors are dealt into parts and blocks of askers; a task holds one block's vectors and their best so far, and a
+    part's vectors pass it in slabs.
+    """
+    blocks = max(1, -(-total // ASKERS))
+    parts = max(1, -(-total // (8 * ASKERS)))
+    dealt = reps.select("rep", "v", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(blocks)).cast("int").alias("own"), F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(parts)).cast("int").alias("mine"))
+    asking = dealt.select(F.col("own").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).cast("byte").alias("role"), "rep", "v")
+    passing = dealt.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("mine").alias("part"), F.lit(1).cast("byte").alias("role"), "rep", "v")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, asked, owners, q, owner, score, found = None, [], [], None, None, None, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if score is not None:
+                i, j = np.nonzero(score > -2)
+                yield pa.RecordBatch.from_arrays([pa.array(owner[i]), pa.array(found[i, j])], ["a", "b"])
+
+        for b in batches:
+            key = b.column(0).to_numpy().astype(np.int64) << 32 | b.column(1).to_numpy()
+            roles, ids = b.column(2).to_numpy(), b.column(3).to_numpy()
+            cuts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (roles[1:] != roles[:-1])))
+            for lo, hi in zip(cuts, np.append(cuts[1:], len(key)), strict=True):
+                if key[lo] != at:
+                    yield from done()
+                    at, asked, owners, score = key[lo], [], [], None
+                x = _matrix(b.column(4).slice(lo, hi - lo), dim)
+                if roles[lo] == 0:
+                    asked.append(x)
+                    owners.append(ids[lo:hi])
+                    continue
+                if not asked:
+                    continue
+                if score is None:
+                    q, owner = np.concatenate(asked), np.concatenate(owners)
+                    score, found = np.full((len(q), k), -2, np.float32), np.zeros((len(q), k), np.int64)
+                for s in range(0, len(q), SLAB):
+                    mine, best = owner[s : s + SLAB], score[s : s + SLAB]
+                    cos = q[s : s + SLAB] @ x.T
+                    cos[mine[:, None] == ids[None, lo:hi]] = -2
+                    for i in np.flatnonzero(cos.max(axis=1) > best.min(axis=1)):
+                        all_scores = np.concatenate([best[i], cos[i]])
+                        top = np.argpartition(-all_scores, k - 1)[:k]
+                        found[s + i] = np.concatenate([found[s + i], ids[lo:hi]])[top]
+                        best[i] = all_scores[top]
+        yield from done()
+
+    dealt_rows = asking.unionByName(passing).repartition("block", "part").sortWithinPartitions("block", "part", "role")
+    return dealt_rows.mapInArrow(compare, "a long, b long")
+
+
 def nearest(points: DataFrame, k: int = 10, min_cosine: float = -1.0, id_col: str = "id", vector_col: str = "vector", dim: int = 64, probes: int = PROBES) -> DataFrame:
     """(id, neighbour, cosine, rank): for every vector the ``k`` most similar others of cosine ``min_cosine`` or more.
 
@@ -68,8 +125,8 @@ def nearest(points: DataFrame, k: int = 10, min_cosine: float = -1.0, id_col: st
     in cosine broken by id. The index has cells around a sample of the vectors (a bounded one, ordered by hash, so
     dense regions get cells in proportion); every vector is coded and stored in the cell of its best centre, and looked for in
     the cells of its best ``probes`` centres. In a cell inner products are estimated from the codes; what an upper bound
-    can't bring among the cell's k best lower bounds, or to ``min_cosine``, is dropped, and the rest is ranked by the exact
-    cosine. Null, short, long, zero, NaN or infinite vectors take no part; an id given twice is one vector of each of its
+    can't bring to ``min_cosine`` is dropped, and the rest is ranked by the exact cosine. Below ``CELLS_FROM`` a
+    neighbour may lie in any cell, so every vector is compared with all, which is exact and takes quadratic time. Null, short, long, zero, NaN or infinite vectors take no part; an id given twice is one vector of each of its
     values; an empty table gives no row.
     """
     spark = points.sparkSession
@@ -79,6 +136,8 @@ def nearest(points: DataFrame, k: int = 10, min_cosine: float = -1.0, id_col: st
     members = staged(rows.select("id", "rep").distinct(), "members")
     reps = staged(rows.groupBy("rep").agg(F.first(F.transform("v", lambda x: (x.cast("double") / F.col("n")).cast("float"))).alias("v")), "vectors")
     total = reps.count()
+    if min_cosine < CELLS_FROM:
+        return _ranked(compared(reps, total, k, dim), reps, members, k, min_cosine, False)
     cells = int(min(MAX_CELLS, max(1, total // CELL)))
     sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(cells).toArrow()
     turn = rotation(dim)
@@ -135,21 +194,23 @@ def nearest(points: DataFrame, k: int = 10, min_cosine: float = -1.0, id_col: st
                             own = asker[:, None] == target[None, :]
                             low[own] = -2
                             floor = np.full(len(asker), min_cosine, dtype=np.float32)
-                            if len(target) > k and min_cosine <= 0:
-                                floor = np.maximum(floor, -np.partition(-low, k - 1, axis=1)[:, k - 1])
                             i, j = np.nonzero((high >= floor[:, None]) & ~own)
                             if len(i):
                                 yield pa.RecordBatch.from_arrays([pa.array(asker[i]), pa.array(target[j]), pa.array(low[i, j].astype(np.float32))], ["a", "b", "low"])
 
     sorted_cells = placed.repartition("cell").sortWithinPartitions("cell", "role")
     hits = sorted_cells.mapInArrow(search, "a long, b long, low float")
-    if min_cosine > 0:
-        # either of a pair may have found the other; the pair serves both
-        hits = hits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # either of a pair may have found the other; the pair serves both
+    hits = hits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _ranked(hits, reps, members, k, min_cosine, True)
+
+
+def _ranked(hits: DataFrame, reps: DataFrame, members: DataFrame, k: int, min_cosine: float, mutual: bool) -> DataFrame:
+    """(id, neighbour, cosine, rank) from candidate pairs of representatives, ``mutual`` ones serving both."""
     cosine = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     va, vb = reps.select(F.col("rep").alias("a"), F.col("v").alias("va")), reps.select(F.col("rep").alias("b"), F.col("v").alias("vb"))
     exact = hits.select("a", "b").join(va, "a").join(vb, "b").select("a", "b", cosine.alias("cosine")).where(F.col("cosine") >= min_cosine)
-    both = exact.unionByName(exact.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")).distinct() if min_cosine > 0 else exact
+    both = exact.unionByName(exact.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")).distinct() if mutual else exact
     # an id's own class offers its k + 1 first ids, other classes their k first: more can't be among k neighbours
     counted = members.withColumn("r", F.row_number().over(W.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1)
     offered = counted.groupBy("rep").agg(F.sort_array(F.collect_list("id")).alias("ids"))

@@ -34,6 +34,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("point_a"), F.greatest("id", "neighbour").alias("point_b")).distinct()
 
 
+def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 most similar other points of every point, whatever their cosine."""
+    return neighbours.nearest(table(spark, d, "point"), k=10)
+
+
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     items = splitting.filing_items(table(spark, d, "sectioned_filing")).unionByName(splitting.chunk_items(table(spark, d, "chunk")))
     return splitting.split_items(items)
@@ -65,7 +70,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_statistics(spark, d).where("outlier and kind <> 'prose'").select("doc_id", "kind")
 
 
-QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_statistics": p10_statistics}
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_statistics": p10_statistics}
 
 _TRIMMED = r"regexp_replace({0}, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')"
 _LONGEST = r"list_max(list_transform(regexp_split_to_array(t, '[ \t\r\n]+'), lambda x: length(x)))"
