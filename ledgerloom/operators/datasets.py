@@ -169,14 +169,25 @@ def shuffled(df: DataFrame, seed: int, *keys: str) -> DataFrame:
     return df.withColumn("shuffle_key", key).orderBy("shuffle_key", *keys)
 
 
+def joined_items(drawn: DataFrame, df: DataFrame, file_col: str, order_col: str, key: str) -> DataFrame:
+    """(file, key, items): the drawn groups (file, key, numbers) with the records of their rows in order."""
+    wanted = drawn.select("file", key, F.explode("numbers").alias("_n"))
+    rows = df.select(F.col(file_col).alias("file"), F.col(order_col).alias("_n"), F.struct(*df.columns).alias("_row"))
+    held = wanted.join(rows, ["file", "_n"]).groupBy("file", key).agg(F.sort_array(F.collect_list(F.struct("_n", "_row"))).alias("x"))
+    return held.select("file", key, F.transform("x", lambda x: x["_row"]).alias("items"))
+
+
 def tiled_groups(df: DataFrame, file_col: str, order_col: str, size: int = 5, per_file: int = 250, seed: int = 42) -> DataFrame:
     """(file, group_no, items): rows cut into groups of ``size`` in order, of which ``per_file`` are kept by a hash order.
 
-    ``order_col`` numbers a file's rows from 1 without gaps, so groups need no sort; incomplete groups are dropped.
+    ``order_col`` numbers a file's rows from 1 without gaps, so groups need no sort; incomplete groups are dropped. The
+    records are joined to the kept groups only.
     """
-    groups = df.groupBy(F.col(file_col).alias("file"), F.floor((F.col(order_col) - 1) / size).alias("group_no")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(order_col)).alias("items")).where(F.col("n") == size)
+    groups = df.groupBy(F.col(file_col).alias("file"), F.floor((F.col(order_col) - 1) / size).alias("group_no")).agg(F.count("*").alias("n")).where(F.col("n") == size)
     hashed = groups.withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), "file", "group_no")))
-    return hashed.withColumn("r", F.row_number().over(W.partitionBy("file").orderBy("h", "group_no"))).where(F.col("r") <= per_file).select("file", "group_no", "items")
+    kept = hashed.withColumn("r", F.row_number().over(W.partitionBy("file").orderBy("h", "group_no"))).where(F.col("r") <= per_file)
+    numbers = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.col("group_no") * size + i)
+    return joined_items(kept.select("file", "group_no", numbers.alias("numbers")), df, file_col, order_col, "group_no")
 
 
 def random_starts(n: int, size: int, most: int, seed: int) -> list[int]:
@@ -205,7 +216,8 @@ def random_groups(df: DataFrame, file_col: str, order_col: str, size: int = 5, p
             yield pd.DataFrame(rows, columns=["file", "start"])
 
     starts = counts.mapInPandas(draw, "file string, start long")
-    return starts.select("file", "start", F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.col("start") + i).alias("items"))
+    drawn = starts.select("file", "start", F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.col("start") + i).alias("numbers"))
+    return joined_items(drawn, df, file_col, order_col, "start")
 
 
 
