@@ -639,7 +639,7 @@ def answer_batch(spark, d):
     """All questions through parse, search, rerank, prices and context."""
     ask = asked(spark, d).select(F.col("example_id").cast("string").alias("question_id"), F.col("user_query").alias("query"))
     points = retrieval.point_chunks(table(spark, d, "point"))
-    return answer.answered(ask, points, table(spark, d, "cik_lookup"), prices(spark, d), "2024-12-31", k=20)
+    return answer.answered(ask, points, table(spark, d, "cik_lookup"), prices(spark, d), "2024-12-31")
 
 
 # -- transcripts -----------------------------------------------------------------------------------------------------
