@@ -48,6 +48,16 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/ledgerloom/" not in path:
+                raise ValueError(f"not a staged table: {path}")
+            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def small_side(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     """``broadcast(df)`` if a count proves it has at most ``bound`` rows, else ``df`` for a shuffled join."""
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
