@@ -9,32 +9,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import small_side, staged
 from .blobs import ored, summed
 from .bytewords import mix, ngram_hashes, word_hashes
-
-#: Counters of the frequency sketch that orders runs of words from rare to common: 4 MB, whatever the corpus.
-SLOTS = 1 << 19
+from .components import components
+
+#: Counters of the frequency sketch that orders runs of words from rare to common: as many as the input's bytes ask for, within these powers
+#: of two. Workers hold one byte for each (a level on a logarithmic scale), so 16 MB at most, whatever the corpus.
+SLOT_POWERS = (19, 24)
+#: Levels of the sketch in which a count doubles.
+LEVELS = 6
+#: Entries that a task collects before it hands them on, one row for each receiving task.
+FLUSH = 2_000_000
 #: Bits of a text's sketch, in 64-bit parts.
 BITS = 256
 #: Members that a block is meant to have at most; larger blocks are split into sub-blocks that still meet pairwise.
 BLOCK = 4096
 #: Block entries that one task sorts.
 TASK_KEYS = 600_000
-#: Bits of the filter that keeps texts out of verification that are in no candidate pair.
-FILTER = 1 << 22
+#: Bits of the filter that keeps texts out of verification that are in no candidate pair: 16 for each pair, within these powers of two.
+FILTER_POWERS = (16, 28)
 #: Rows described at once; their number and a run's frequency and hash share one 64-bit sort key.
 SLAB = 8192
 #: Low bits of a block entry that hold the place of the run among its text's runs.
 PLACE = np.uint64(12)
 #: Rows whose bits are transposed into planes at once.
 PLANE_ROWS = 32_768
+#: Members of a class whose pairs one task makes.
+SPLIT = 4096
 #: Larger groups are compared block against block, smaller ones all at once by offset.
 SMALL = 512
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - 19)).astype(np.int64)
+def _slot(h: np.ndarray, slots: int) -> np.ndarray:
+    return (h >> np.uint64(65 - slots.bit_length())).astype(np.int64)
+
+
+def slots_for(size_in_bytes: int) -> int:
+    """Slots of the frequency sketch for an input of so many bytes: more slots tell rare runs from common ones in a larger corpus.
+
+    Only speed depends on them. Inputs whose size Spark doesn't know get a number between the bounds.
+    """
+    low, high = SLOT_POWERS
+    if size_in_bytes >= 1 << 60:
+        return 1 << (low + high) // 2
+    return 1 << min(high, max(low, (size_in_bytes // 16).bit_length()))
+
+
+def leveled(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(level of each slot as a byte, sub-blocks that a run of each level is split into).
+
+    A slot counts the runs that share it besides a run's own bearers, so what an ordinary slot holds is taken off before a run counts
+    as one with more than BLOCK bearers.
+    """
+    level = np.minimum(np.rint(np.log2(np.maximum(counts, 1)) * LEVELS), 255).astype(np.uint8)
+    used = counts[counts > 0]
+    noise = 2 * float(np.median(used)) if len(used) else 0.0
+    return level, np.maximum(1, np.ceil((2.0 ** (np.arange(256) / LEVELS) - noise) / BLOCK)).astype(np.int64)
 
 
 def _classes(words: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -58,10 +89,10 @@ def _runs(texts: pa.Array, n: int, min_words: int, classes: bool = True) -> tupl
     return kept, _classes(words, first)[kept] if classes else kept, runs, row
 
 
-def _ordered(runs: np.ndarray, row: np.ndarray, rows: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _ordered(runs: np.ndarray, row: np.ndarray, rows: int, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct runs of each row from rare to common, first run of each row): the order is the same in all texts."""
-    rare = np.minimum(counts[_slot(runs)], (1 << 20) - 1).astype(np.uint64)
-    key = row.astype(np.uint64) << np.uint64(50) | rare << np.uint64(30) | runs >> np.uint64(34)
+    rare = level[_slot(runs, len(level))].astype(np.uint64)
+    key = row.astype(np.uint64) << np.uint64(51) | rare << np.uint64(43) | runs >> np.uint64(21)
     order = np.argsort(key)
     runs, row = runs[order], row[order]
     new = np.ones(len(runs), dtype=bool)
@@ -87,7 +118,7 @@ def radius(total: np.ndarray, similarity: float) -> np.ndarray:
     return np.minimum(BITS, np.floor((1 - similarity) / (1 + similarity) * total + 1e-6)).astype(np.int64)
 
 
-def _entries(runs: np.ndarray, begin: np.ndarray, cls: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def _entries(runs: np.ndarray, begin: np.ndarray, cls: np.ndarray, level: np.ndarray, split: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """(block entries, row of each): a row's rarest runs, as many as pairs of the given similarity must share one of.
 
     Two sets that share at least ``similarity`` of their union share at least that part of either, so the first
@@ -99,16 +130,16 @@ def _entries(runs: np.ndarray, begin: np.ndarray, cls: np.ndarray, counts: np.nd
     row = np.repeat(np.arange(len(size)), length)
     place = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
     keys = runs[begin[:-1][row] + place]
-    parts = np.maximum(1, -(-counts[_slot(keys)] // BLOCK))
+    parts = split[level[_slot(keys, len(level))]]
     hot = np.flatnonzero(parts > 1)
     if len(hot):
         reps = parts[hot]
         again = np.repeat(hot, reps)
         other = np.arange(len(again)) - np.repeat(np.cumsum(reps) - reps, reps)
         own = (mix(cls[row[again]] ^ keys[again]) % parts[again].astype(np.uint64)).astype(np.int64)
-        split = mix(keys[again] + mix((np.minimum(own, other) * 1_000_003 + np.maximum(own, other) + 1).astype(np.uint64)))
+        halves = mix(keys[again] + mix((np.minimum(own, other) * 1_000_003 + np.maximum(own, other) + 1).astype(np.uint64)))
         calm = parts == 1
-        keys, row, place = np.concatenate([keys[calm], split]), np.concatenate([row[calm], row[again]]), np.concatenate([place[calm], place[again]])
+        keys, row, place = np.concatenate([keys[calm], halves]), np.concatenate([row[calm], row[again]]), np.concatenate([place[calm], place[again]])
     mask = (np.uint64(1) << PLACE) - np.uint64(1)
     return (keys & ~mask) | np.minimum(place, int(mask)).astype(np.uint64), row
 
@@ -283,7 +314,33 @@ def sliced_pairs(entry: np.ndarray, sketch: np.ndarray, size: np.ndarray, simila
     return order[i[fit]], order[j[fit]]
 
 
-SPREAD_NAMES = ["task", "cls", "size", *(f"s{p}" for p in range(BITS // 64)), "entries"]
+def _binary(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(the values of all rows in one array, first value of each row plus the total) of a column of packed numbers."""
+    width = np.dtype(kind).itemsize
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32, count=len(column) + 1, offset=column.offset * 4).astype(np.int64)
+    if offsets[-1] == offsets[0]:
+        return np.zeros(0, dtype=kind), (offsets - offsets[0]) // width
+    return np.frombuffer(column.buffers()[2], dtype=kind, count=int(offsets[-1] - offsets[0]) // width, offset=int(offsets[0])), (offsets - offsets[0]) // width
+
+
+def _handed(task: np.ndarray, entries: np.ndarray, row: np.ndarray, cls: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+    """One row for each receiving task: its classes with their sizes, sketches and numbers of entries, and those entries, all packed."""
+    order = np.argsort(task, kind="stable")
+    task, entries, row = task[order], entries[order], row[order]
+    new = np.flatnonzero(np.append(True, (task[1:] != task[:-1]) | (row[1:] != row[:-1])))
+    of, lengths = row[new], np.diff(np.append(new, len(row)))
+    heads = np.empty(len(of), dtype=HEAD)
+    heads["cls"], heads["size"], heads["n"], heads["sketch"] = cls[of], size[of], lengths, sketch[of]
+    first = np.flatnonzero(np.append(True, task[new][1:] != task[new][:-1]))
+    cuts = np.append(first, len(new))
+    ends = np.append(new, len(row))[cuts]
+    packed = [heads[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+    own = [entries[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+    return pa.RecordBatch.from_arrays([pa.array(task[new][first].astype(np.int32)), pa.array(packed, pa.binary()), pa.array(own, pa.binary())], ["task", "heads", "entries"])
+
+
+#: What a block's task needs to know of a class.
+HEAD = np.dtype([("cls", "<i8"), ("size", "<i4"), ("n", "<i4"), ("sketch", "<u8", (BITS // 64,))])
 
 
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", n: int = 5, similarity: float = 0.8, min_words: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -293,72 +350,73 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", n: int
     are at least ``similarity`` of all distinct runs of the two. Copies aren't expanded: each is a row of ``members``.
 
     Candidates are exact: every linked pair shares one of its rarest runs, which name the blocks. In a block the sketches'
-    distances are counted bit-sliced, within a radius that a pair just at the similarity exceeds with a chance of about 1 in 700 and closer ones hardly ever, then
+    distances are counted bit-sliced, within a radius that no linked pair exceeds, then
     the whole run sets decide (as 32-bit hashes). Null ids, null texts and texts of fewer than ``min_words`` (or ``n``) words are in no class;
     an id given twice counts once; other columns are ignored; an empty table gives two empty results.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("string").alias("id"), F.lower(F.col(text_col)).alias("text")).where("id is not null and text is not null")
+    slots = slots_for(int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
 
     def count(own: np.ndarray, b: pa.RecordBatch) -> None:
         kept, _, runs, row = _runs(b.column(0), n, min_words, classes=False)
-        own[:SLOTS] += np.bincount(_slot(runs), minlength=SLOTS)
+        own[:slots] += np.bincount(_slot(runs, slots), minlength=slots)
         size = np.bincount(row, minlength=len(kept))
-        own[SLOTS] += int((size - np.ceil(similarity * size) + 1).sum())
+        own[slots] += int((size - np.ceil(similarity * size) + 1).sum())
 
-    tallied = summed(base.select("text"), count, SLOTS + 1)
-    counts = spark.sparkContext.broadcast(tallied[:SLOTS])
-    tasks = max(spark.sparkContext.defaultParallelism, -(-int(tallied[SLOTS]) // TASK_KEYS))
+    tallied = summed(base.select("text"), count, slots + 1)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-int(tallied[slots]) // TASK_KEYS))
+    shared = spark.sparkContext.broadcast(leveled(tallied[:slots]))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row per class and task with the block entries that the task handles; copies within a partition once."""
+        """The block entries of each class with their receiving task; copies within a partition once."""
+        level, split = shared.value
         seen: set[int] = set()
+        held: list[tuple[np.ndarray, ...]] = []
+        rows = waiting = 0
         for whole in batches:
             for s in range(0, len(whole), SLAB):
                 kept, cls, runs, row = _runs(whole.column(0).slice(s, SLAB), n, min_words)
-                runs, begin = _ordered(runs, row, len(kept), counts.value)
-                entries, row = _entries(runs, begin, cls, counts.value, similarity)
+                runs, begin = _ordered(runs, row, len(kept), level)
+                entries, row = _entries(runs, begin, cls, level, split, similarity)
                 fresh = np.zeros(len(cls), dtype=bool)
                 for i, c in enumerate(cls.tolist()):
                     if c not in seen:
                         seen.add(c)
                         fresh[i] = True
                 entries, row = entries[fresh[row]], row[fresh[row]]
-                key = row.astype(np.uint64) * np.uint64(tasks) + (entries >> PLACE) % np.uint64(tasks)
-                order = np.argsort(key, kind="stable")
-                key, entries, row = key[order], entries[order], row[order]
-                new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
-                sketch, of, size = _sketches(runs, begin).view(np.int64), row[new], np.diff(begin).astype(np.int32)
-                own = pa.ListArray.from_arrays(pa.array(np.append(new, len(row)).astype(np.int32)), pa.array(entries.view(np.int64)))
-                parts = [pa.array(sketch[of, p]) for p in range(BITS // 64)]
-                yield pa.RecordBatch.from_arrays([pa.array((key[new] % np.uint64(tasks)).astype(np.int32)), pa.array(cls.view(np.int64)[of]), pa.array(size[of]), *parts, own], SPREAD_NAMES)
+                held.append(((entries >> PLACE) % np.uint64(tasks), entries, row + rows, cls.view(np.int64), np.diff(begin).astype(np.int32), _sketches(runs, begin)))
+                rows, waiting = rows + len(cls), waiting + len(entries)
+                if waiting >= FLUSH:
+                    yield _handed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held, rows, waiting = [], 0, 0
+        if waiting:
+            yield _handed(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries, cls, size, sketch = [], [], [], []
+        heads, entries = [], []
         for b in batches:
-            lists = b.column("entries")
-            reps = np.diff(lists.offsets.to_numpy())
-            entries.append(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-            cls.append(np.repeat(b.column("cls").to_numpy(zero_copy_only=False), reps))
-            size.append(np.repeat(b.column("size").to_numpy(zero_copy_only=False), reps))
-            sketch.append(np.repeat(np.stack([b.column(f"s{p}").to_numpy(zero_copy_only=False) for p in range(BITS // 64)], axis=1), reps, axis=0))
+            heads += [np.frombuffer(x.as_buffer(), dtype=HEAD) for x in b.column("heads")]
+            entries += [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in b.column("entries")]
         if not entries:
             return
-        entries, cls, size, sketch = (np.concatenate(x) for x in (entries, cls, size, sketch))
+        entries, heads = np.concatenate(entries), np.concatenate(heads)
+        of = np.repeat(np.arange(len(heads)), heads["n"])
         key = entries >> PLACE
         order = np.argsort(key)
         key = key[order]
         same = key[1:] == key[:-1]
         order = order[np.append(same, False) | np.append(False, same)]
-        entries, cls, size, sketch = entries[order], cls[order], size[order].astype(np.int64), sketch[order]
-        i, j = sliced_pairs(entries, sketch.view(np.uint64), size, similarity)
+        entries, of = entries[order], of[order]
+        cls = heads["cls"][of]
+        i, j = sliced_pairs(entries, np.ascontiguousarray(heads["sketch"])[of], heads["size"][of].astype(np.int64), similarity)
         i, j = i[cls[i] != cls[j]], j[cls[i] != cls[j]]
         pairs = np.unique(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], axis=1), axis=0)
         for s in range(0, len(pairs), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[s : s + 100_000, 0]), pa.array(pairs[s : s + 100_000, 1])], ["class_a", "class_b"])
 
-    spread_rows = base.select("text").mapInArrow(spread, "task int, cls long, size int, " + "".join(f"s{p} long, " for p in range(BITS // 64)) + "entries array<long>")
-    candidates = staged(spread_rows.repartition(tasks, "task").mapInArrow(compare, "class_a long, class_b long").distinct(), "candidates")
+    handed = base.select("text").mapInArrow(spread, "task int, heads binary, entries binary").repartition(tasks, "task")
+    candidates = staged(handed.mapInArrow(compare, "class_a long, class_b long").distinct(), "candidates")
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -368,42 +426,80 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", n: int
 
     members = base.mapInArrow(classify, "id string, class_id long").distinct()
 
+    low, high = FILTER_POWERS
+    bits = 1 << min(high, max(low, (16 * candidates.count()).bit_length()))
+
     def mark(own: np.ndarray, b: pa.RecordBatch) -> None:
         for column in b.columns:
-            h = mix(column.to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(FILTER)
+            h = mix(column.to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(bits)
             np.bitwise_or.at(own, (h >> np.uint64(6)).astype(np.int64), (np.uint64(1) << (h & np.uint64(63))).view(np.int64))
 
-    wanted = spark.sparkContext.broadcast(ored(candidates, mark, FILTER // 64).view(np.uint64))
+    wanted = spark.sparkContext.broadcast(ored(candidates, mark, bits // 64).view(np.uint64))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             _, cls, runs, row = _runs(b.column(0), n, min_words)
-            h = mix(cls) % np.uint64(FILTER)
+            h = mix(cls) % np.uint64(bits)
             ok = (wanted.value[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
             runs, row = runs[ok[row]], row[ok[row]]
-            order = np.lexsort((runs, row))
-            runs, row = runs[order], row[order]
-            new = np.ones(len(runs), dtype=bool)
-            new[1:] = (runs[1:] != runs[:-1]) | (row[1:] != row[:-1])
-            runs, row = runs[new], row[new]
+            key = np.unique(row.astype(np.uint64) << np.uint64(32) | runs >> np.uint64(32))
             of = np.flatnonzero(ok)
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.append(of, len(cls))).astype(np.int32)), pa.array((runs >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(cls.view(np.int64)[of]), lists], ["cls", "runs"])
+            cuts = np.searchsorted(key, np.append(of, len(cls)).astype(np.uint64) << np.uint64(32))
+            short = key.astype(np.uint32)
+            packed = [short[x:y].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(cls.view(np.int64)[of]), pa.array(packed, pa.binary())], ["cls", "runs"])
 
-    whole = base.select("text").mapInArrow(sets, "cls long, runs array<int>").groupBy("cls").agg(F.first("runs").alias("runs"))
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            (a, first_a), (c, first_c) = _binary(b.column(2), np.uint32), _binary(b.column(3), np.uint32)
+            size_a, size_c = np.diff(first_a), np.diff(first_c)
+            pair = np.repeat(np.arange(len(size_a), dtype=np.uint64), size_a)
+            key = pair << np.uint64(32) | a
+            against = np.repeat(np.arange(len(size_c), dtype=np.uint64), size_c) << np.uint64(32) | c
+            at = np.minimum(np.searchsorted(against, key), max(len(against) - 1, 0))
+            shared = np.bincount(pair[against[at] == key].astype(np.int64), minlength=len(size_a)) if len(against) else np.zeros(len(size_a), dtype=np.int64)
+            union = size_a + size_c - shared
+            # compared as whole numbers of a ten-thousandth, so that no rounding decides
+            linked = np.flatnonzero(shared * 10_000 >= union * round(similarity * 10_000))
+            keep = pa.array(linked)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep), pa.array(shared[linked] / np.maximum(union[linked], 1))], ["class_a", "class_b", "similarity"])
+
+    whole = base.select("text").mapInArrow(sets, "cls long, runs binary").groupBy("cls").agg(F.first("runs").alias("runs"))
     left = whole.withColumnsRenamed({"cls": "class_a", "runs": "runs_a"})
     right = whole.withColumnsRenamed({"cls": "class_b", "runs": "runs_b"})
-    shared = F.size(F.array_intersect("runs_a", "runs_b"))
-    scored = candidates.join(left, "class_a").join(right, "class_b").select("class_a", "class_b", shared.alias("s"), (F.size("runs_a") + F.size("runs_b") - shared).alias("u"))
-    # compared as whole numbers of a ten-thousandth, so that no rounding decides
-    pairs = scored.where(F.col("s").cast("long") * 10_000 >= F.col("u").cast("long") * round(similarity * 10_000))
-    return pairs.select("class_a", "class_b", (F.col("s") / F.col("u")).alias("similarity")), members
+    both = candidates.join(left, "class_a").join(right, "class_b").select("class_a", "class_b", "runs_a", "runs_b")
+    return both.mapInArrow(verify, "class_a long, class_b long, similarity double"), members
 
 
 def expanded_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """(id_a, id_b), smaller first: all pairs of different ids within one class or in two linked classes."""
-    a = members.select(F.col("class_id").alias("class_a"), F.col("id").alias("x"))
-    b = members.select(F.col("class_id").alias("class_b"), F.col("id").alias("y"))
-    linked = pairs.select("class_a", "class_b").join(a, "class_a").join(b, "class_b").select("x", "y")
-    within = a.join(b, F.col("class_a") == F.col("class_b")).where("x < y").select("x", "y")
+    """(id_a, id_b), smaller first: all pairs of different ids within one class or in two linked classes.
+
+    A class of more than SPLIT members is dealt out by a hash of its ids, so that no task makes all of its pairs.
+    """
+    sizes = members.groupBy("class_id").count().where(F.col("count") > SPLIT)
+    large = small_side(staged(sizes.select("class_id", F.ceil(F.col("count") / SPLIT).cast("int").alias("parts")), "large"))
+    rows = members.join(large, "class_id", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    a = rows.select(F.col("class_id").alias("class_a"), F.col("id").alias("x"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    b = rows.select(F.col("class_id").alias("class_b"), F.col("id").alias("y"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    within = a.join(b, (F.col("class_a") == F.col("class_b")) & (a["part"] == b["part"])).where("x < y").select("x", "y")
+    dealt = pairs.select("class_a", "class_b").join(large.withColumnRenamed("class_id", "class_a"), "class_a", "left")
+    dealt = dealt.select("class_a", "class_b", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    met = dealt.join(a, ["class_a", "part"]).select("class_b", "x").join(large.withColumnRenamed("class_id", "class_b"), "class_b", "left")
+    met = met.select("class_b", "x", F.pmod(F.xxhash64("x"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    linked = met.join(b, ["class_b", "part"]).select("x", "y")
     return linked.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+
+
+def groups(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, class_id, group_id, n_links): every member with its connected component of linked classes (the least class) and the number of other members linked to it.
+
+    Links are counted by class, never listed: the other members of the own class and all members of linked ones.
+    """
+    pairs, members = staged(pairs.select("class_a", "class_b"), "linked"), staged(members, "members")
+    sizes = members.groupBy("class_id").agg(F.count("*").alias("n"))
+    both = pairs.unionByName(pairs.select(F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b")))
+    beside = both.join(sizes.withColumnRenamed("class_id", "class_b"), "class_b").groupBy(F.col("class_a").alias("class_id")).agg(F.sum("n").alias("beside"))
+    parts = components(pairs, "class_a", "class_b").select(F.col("node").alias("class_id"), F.col("component").alias("group_id"))
+    known = sizes.join(beside, "class_id", "left").join(parts, "class_id", "left")
+    known = known.select("class_id", F.coalesce("group_id", "class_id").alias("group_id"), (F.col("n") - 1 + F.coalesce("beside", F.lit(0))).alias("n_links"))
+    return members.join(known, "class_id").select("id", "class_id", "group_id", "n_links")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
+from .components import components
 
 # Frequent function words by language; words shared by several languages are left out of all but one or none.
 FUNCTION_WORDS = {
@@ -167,30 +168,8 @@ def opening_clusters(openings: DataFrame, similarity: float = 0.5, bands: int =
     signed = openings.select("opening").mapInPandas(sign, "opening string, band int, bucket long")
     buckets = signed.repartition("band", "bucket").sortWithinPartitions("band", "bucket", "opening")
     links = staged(buckets.mapInPandas(link, "opening string, head string").where("opening <> head").distinct(), "links")
-    return components(openings.select("opening"), links)
-
-
-def components(openings: DataFrame, links: DataFrame) -> DataFrame:
-    """(opening, cluster): the least opening of each connected component.
-
-    Labels are hung under the labels of neighbours' labels and shortened in each round, so chains of any length settle in
-    about the logarithm of their length; labels only ever fall, so the rounds end.
-    """
-    both = staged(links.select("opening", "head").unionByName(links.select(F.col("head").alias("opening"), F.col("opening").alias("head"))), "both")
-    # openings without a link are their own cluster and take no part in the rounds
-    labels = staged(both.groupBy("opening").agg(F.min("head").alias("head")).select("opening", F.least("opening", "head").alias("cluster")), "labels")
-    while True:
-        up = labels.select(F.col("opening").alias("cluster"), F.col("cluster").alias("top"))
-        tops = staged(labels.join(up, "cluster").select("opening", "cluster", "top"), "tops")
-        beside = both.join(tops.select(F.col("opening").alias("head"), F.col("top").alias("found")), "head").groupBy("opening").agg(F.min("found").alias("found"))
-        offers = tops.join(beside, "opening").select(
-            F.explode(F.array(F.struct("opening", F.least("top", "found").alias("c")), F.struct(F.col("cluster").alias("opening"), F.least("top", "found").alias("c")))).alias("x")
-        )
-        new = staged(offers.groupBy("x.opening").agg(F.min("x.c").alias("cluster")), "labels")
-        moved = new.join(labels, ["opening", "cluster"], "left_anti").limit(1).count()
-        labels = new
-        if not moved:
-            return openings.join(labels, "opening", "left").select("opening", F.coalesce("cluster", "opening").alias("cluster"))
+    parts = components(links, "opening", "head").select(F.col("node").alias("opening"), "component")
+    return openings.select("opening").join(parts, "opening", "left").select("opening", F.coalesce("component", "opening").alias("cluster"))
 
 
 def defects(answers: DataFrame, id_col: str = "example_id", query_col: str = "user_query", answer_col: str = "final_answer") -> DataFrame:

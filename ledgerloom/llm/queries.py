@@ -54,6 +54,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.expanded_pairs(linked, members).select(F.col("id_a").alias("chunk_a"), F.col("id_b").alias("chunk_b"))
 
 
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk with its class of equal texts, its group of chunks alike, and its number of links, at the thresholds of p7_found."""
+    linked, members = neardup.near_duplicates(table(spark, d, "chunk"), "global_chunk_id", n=3, similarity=0.6, min_words=50)
+    return neardup.groups(linked, members).withColumnRenamed("id", "global_chunk_id")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, d, "documents"))
 
@@ -70,7 +76,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_statistics(spark, d).where("outlier and kind <> 'prose'").select("doc_id", "kind")
 
 
-QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_statistics": p10_statistics}
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_statistics": p10_statistics}
 
 _TRIMMED = r"regexp_replace({0}, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')"
 _LONGEST = r"list_max(list_transform(regexp_split_to_array(t, '[ \t\r\n]+'), lambda x: length(x)))"
