@@ -8,49 +8,44 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-#: Arrays that one task of a merging round is meant to get, and rounds before the last: 32,768 input tasks stay within the fan-in.
+from ..session import staged
+
+#: Arrays that one task of a merging round gets: what a task reads doesn't grow with the number of input tasks.
 FAN_IN = 32
-ROUNDS = 2
 
 
-def _merged(df: DataFrame, update: Callable[[np.ndarray, pa.RecordBatch], None], join: Callable[[np.ndarray, np.ndarray], np.ndarray], slots: int, sent: type) -> np.ndarray:
-    def pack(own: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], ["b"])
+def packed(own: np.ndarray) -> bytes:
+    return zlib.compress(own.tobytes(), 1)
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(slots, dtype=np.int64)
-        for b in batches:
-            update(own, b)
-        yield pack(own.astype(sent))
+
+def merged(parts: DataFrame, join: Callable[[np.ndarray, np.ndarray], np.ndarray], slots: int, kind: type) -> np.ndarray:
+    """The arrays of ``parts`` (b binary, one row per task, ``packed``) joined to one, which alone reaches the driver."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
         for b in batches:
             for x in b.column(0):
-                got = np.frombuffer(zlib.decompress(x.as_buffer()), dtype=sent)
+                got = np.frombuffer(zlib.decompress(x.as_buffer()), dtype=kind)
                 own = got if own is None else join(own, got)
         if own is not None:
-            yield pack(own)
-
-    made = df.mapInArrow(make, "b binary")
-    for _ in range(ROUNDS):
-        # the tasks of a round are grouped by number, so that what one task reads doesn't grow with their count
-        made = made.select("b", F.floor(F.spark_partition_id() / FAN_IN).alias("g")).repartition("g").select("b").mapInArrow(merge, "b binary")
-    one = made.repartition(1).mapInArrow(merge, "b binary").collect()
-    return np.frombuffer(zlib.decompress(one[0]["b"]), dtype=sent) if one else np.zeros(slots, dtype=sent)
+            yield pa.RecordBatch.from_arrays([pa.array([packed(own)], pa.binary())], ["b"])
 
+    n = parts.count()
+    while n > FAN_IN:
+        n = -(-n // FAN_IN)
+        parts = parts.repartition(n).mapInArrow(merge, "b binary")
+    one = parts.repartition(1).mapInArrow(merge, "b binary").collect()
+    return np.frombuffer(zlib.decompress(one[0]["b"]), dtype=kind) if one else np.zeros(slots, dtype=kind)
 
-def summed(df: DataFrame, update: Callable[[np.ndarray, pa.RecordBatch], None], slots: int) -> np.ndarray:
-    """An array of ``slots`` counters: ``update`` adds each batch to its partition's array, then all are added.
 
-    The size is fixed, whatever the data: one array per task, then sums of at most FAN_IN of them a round, then one, which alone
-    reaches the driver. Sums are kept in single precision: exact up to 16 million, then to seven digits, and without overflow.
-    """
-    return _merged(df, update, np.add, slots, np.float32)
+def ored(df: DataFrame, update: Callable[[np.ndarray, pa.RecordBatch], None], slots: int) -> np.ndarray:
+    """A bit filter of ``slots`` int64 words: ``update`` marks each batch in its task's filter, then all are joined bit by bit."""
 
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(slots, dtype=np.int64)
+        for b in batches:
+            update(own, b)
+        yield pa.RecordBatch.from_arrays([pa.array([packed(own)], pa.binary())], ["b"])
 
-def ored(df: DataFrame, update: Callable[[np.ndarray, pa.RecordBatch], None], slots: int) -> np.ndarray:
-    """The same for bit filters, which are joined bit by bit."""
-    return _merged(df, update, np.bitwise_or, slots, np.int64)
+    return merged(staged(df.mapInArrow(make, "b binary"), "filters"), np.bitwise_or, slots, np.int64)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import small_side, staged
-from .blobs import ored, summed
+from .blobs import merged, ored, packed
 from .bytewords import mix, ngram_hashes, word_hashes
 from .components import components
 
@@ -35,6 +35,8 @@ SLAB = 8192
 PLACE = np.uint64(12)
 #: Rows whose bits are transposed into planes at once.
 PLANE_ROWS = 32_768
+#: Words of 64 rows whose differences are counted together.
+TOGETHER = 4096
 #: Members of a class whose pairs one task makes.
 SPLIT = 4096
 #: Larger groups are compared block against block, smaller ones all at once by offset.
@@ -76,8 +78,8 @@ def _classes(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(total[first[1:]] - total[first[:-1]])
 
 
-def _runs(texts: pa.Array, n: int, min_words: int, classes: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(rows with enough words, their class hashes if wanted, run hashes, place in the first array of each run's row)."""
+def _runs(texts: pa.Array, n: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows with enough words, their class hashes, run hashes, place in the first array of each run's row)."""
     words, first = word_hashes(texts)
     kept = np.flatnonzero(np.diff(first) >= max(min_words, n))
     runs, begin = ngram_hashes(words, first, n)
@@ -86,7 +88,7 @@ def _runs(texts: pa.Array, n: int, min_words: int, classes: bool = True) -> tupl
     row = np.repeat(place, np.diff(begin))
     if len(kept) < len(place):
         runs, row = runs[row >= 0], row[row >= 0]
-    return kept, _classes(words, first)[kept] if classes else kept, runs, row
+    return kept, _classes(words, first)[kept], runs, row
 
 
 def _ordered(runs: np.ndarray, row: np.ndarray, rows: int, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,45 +195,56 @@ def _fit(size: np.ndarray, place: np.ndarray, i: np.ndarray | slice, j: np.ndarr
     return (low >= similarity * high - 1e-9) & (np.minimum(size[i] - place[i], size[j] - place[j]) >= need)
 
 
-def _by_offset(sketch: np.ndarray, size: np.ndarray, place: np.ndarray, rest: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Every row against each of the ``rest`` rows after it: a shift of the planes compares all rows with those one offset on."""
+def _by_offset(sketch: np.ndarray, size: np.ndarray, place: np.ndarray, late: np.ndarray, length: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Every row that isn't ``late`` against the rows after it in its group: a shift of the planes compares all rows with those one offset on.
+
+    Groups come with the longest first, so the rows that an offset concerns are the first ones, and all steps work on plain slices.
+    Words with a row to compare are collected over offsets and counted together.
+    """
     n = len(sketch)
-    words = -(-n // 64)
-    planes = _planes(sketch, words + 10)
-    lanes = np.zeros(words * 64, dtype=bool)
-    most = np.zeros(words * 64, dtype=np.int64)
-    left, right = [], []
-    open_rows = np.arange(n)
-    for o in range(1, int(rest.max(initial=0)) + 1):
-        open_rows = open_rows[rest[open_rows] >= o]
-        fit = open_rows[_fit(size, place, open_rows, open_rows + o, similarity)]
-        lanes[:] = False
-        lanes[fit] = True
-        valid = np.packbits(lanes, bitorder="little").view(np.uint64)
-        at = np.flatnonzero(valid)
-        if not len(at):
-            continue
-        most[:] = 0
-        most[fit] = size[fit] + size[fit + o]
-        limit = radius(most.reshape(-1, 64)[at].max(axis=1).astype(float), similarity)
-        alive = valid[at]
+    planes = _planes(sketch, -(-n // 64) + 10)
+    rest = np.repeat(np.cumsum(length), length) - np.arange(n) - 1
+    rest[late] = 0
+    grown = -np.repeat(length, length)
+    left, right, held, waiting = [], [], [], 0
+
+    def count() -> None:
+        at, valid, limit, offset = (np.concatenate(x) for x in zip(*held, strict=True))
+        jump, shift = offset // 64, (offset % 64).astype(np.uint64)
+        alive = valid
         counters = [np.zeros(len(at), dtype=np.uint64) for _ in range(9)]
-        jump, shift = o // 64, np.uint64(o % 64)
         for k in range(0, BITS, 8):
-            moved = planes[k : k + 8, at + jump] >> shift
-            if shift:
-                moved |= planes[k : k + 8, at + jump + 1] << (np.uint64(64) - shift)
+            # a shift by 64 gives nothing
+            moved = planes[k : k + 8, at + jump] >> shift | planes[k : k + 8, at + jump + 1] << (np.uint64(64) - shift)
             _add8(counters, list(planes[k : k + 8, at] ^ moved))
             if k % 64 == 56:
-                alive = valid[at] & ~_above(counters, limit)
+                alive = valid & ~_above(counters, limit)
                 keep = alive != 0
-                at, alive, limit, counters = at[keep], alive[keep], limit[keep], [x[keep] for x in counters]
+                at, alive, valid, limit, offset, jump, shift, counters = at[keep], alive[keep], valid[keep], limit[keep], offset[keep], jump[keep], shift[keep], [x[keep] for x in counters]
                 if not len(at):
-                    break
-        if len(at):
-            w, lane = np.nonzero(np.unpackbits(alive.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-            left.append(at[w] * 64 + lane)
-            right.append(left[-1] + o)
+                    return
+        w, lane = np.nonzero(np.unpackbits(alive.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        left.append(at[w] * 64 + lane)
+        right.append(left[-1] + offset[w])
+
+    for o in range(1, int(length.max(initial=1))):
+        end = min(int(np.searchsorted(grown, -o)), n - o)
+        fit = (rest[:end] >= o) & _fit(size, place, slice(0, end), slice(o, end + o), similarity)
+        lanes = np.zeros(-(-end // 64) * 64, dtype=bool)
+        lanes[:end] = fit
+        valid = np.packbits(lanes, bitorder="little").view(np.uint64)
+        at = np.flatnonzero(valid)
+        if not len(at):
+            continue
+        most = np.zeros(len(lanes), dtype=np.int64)
+        np.multiply(size[:end] + size[o : end + o], fit, out=most[:end])
+        held.append((at, valid[at], radius(most.reshape(-1, 64)[at].max(axis=1).astype(float), similarity), np.full(len(at), o)))
+        waiting += len(at)
+        if waiting >= TOGETHER:
+            count()
+            held, waiting = [], 0
+    if held:
+        count()
     none = [np.zeros(0, dtype=np.int64)]
     return np.concatenate(left or none), np.concatenate(right or none)
 
@@ -288,22 +301,27 @@ def sliced_pairs(entry: np.ndarray, sketch: np.ndarray, size: np.ndarray, simila
     key, place = entry >> PLACE, (entry & ((np.uint64(1) << PLACE) - np.uint64(1))).astype(np.int64)
     # in a pair the smaller text has the run among its first n - 2t/(1+t) n + 1; rows with it later only answer
     late = place > size - np.ceil(2 * similarity / (1 + similarity) * size - 1e-9)
-    # like sizes stand together, so that one limit fits the rows of a word
-    group = np.cumsum(np.append(False, key[1:] != key[:-1]))
-    order = np.argsort(group.astype(np.uint64) << np.uint64(33) | late.astype(np.uint64) << np.uint64(32) | size.astype(np.uint64))
-    key, late, sketch, size, place = key[order], late[order], sketch[order], size[order], place[order]
-    n = len(key)
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if n else np.zeros(0, dtype=np.int64)
-    length = np.diff(np.append(first, n))
-    early = np.add.reduceat(~late, first) if n else length
-    rest = np.repeat(first + length, length) - np.arange(n) - 1
-    rest[late] = 0
-    rest[np.repeat(length > SMALL, length)] = 0
-    found = [_by_offset(sketch, size, place, rest, similarity)] if rest.any() else []
-    for g in np.flatnonzero((length > SMALL) & (early > 0)):
+    # the longest groups come first, late rows last in each, like sizes together, so that one limit fits the rows of a word
+    cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
+    length = np.diff(np.append(cuts, len(key)))
+    rank = np.empty(len(length), dtype=np.uint64)
+    rank[np.argsort(-length, kind="stable")] = np.arange(len(length), dtype=np.uint64)
+    order = np.argsort(np.repeat(rank, length) << np.uint64(33) | late.astype(np.uint64) << np.uint64(32) | size.astype(np.uint64))
+    late, sketch, size, place = late[order], sketch[order], size[order], place[order]
+    length = -np.sort(-length)
+    first = np.cumsum(length) - length
+    found = []
+    large = int(np.searchsorted(-length, -SMALL))
+    for g in range(large):
         part = slice(first[g], first[g] + length[g])
-        i, j = _by_block(sketch[part], size[part], int(early[g]), similarity)
-        found.append((i + first[g], j + first[g]))
+        early = int((~late[part]).sum())
+        if early:
+            i, j = _by_block(sketch[part], size[part], early, similarity)
+            found.append((i + first[g], j + first[g]))
+    if large < len(length):
+        from_row = int(first[large])
+        i, j = _by_offset(sketch[from_row:], size[from_row:], place[from_row:], late[from_row:], length[large:], similarity)
+        found.append((i + from_row, j + from_row))
     if not found:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     i, j = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
@@ -358,13 +376,20 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", n: int
     base = docs.select(F.col(id_col).cast("string").alias("id"), F.lower(F.col(text_col)).alias("text")).where("id is not null and text is not null")
     slots = slots_for(int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
 
-    def count(own: np.ndarray, b: pa.RecordBatch) -> None:
-        kept, _, runs, row = _runs(b.column(0), n, min_words, classes=False)
-        own[:slots] += np.bincount(_slot(runs, slots), minlength=slots)
-        size = np.bincount(row, minlength=len(kept))
-        own[slots] += int((size - np.ceil(similarity * size) + 1).sum())
-
-    tallied = summed(base.select("text"), count, slots + 1)
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each id with its class, and one row per task with the counts of its runs; sums in single precision never overflow."""
+        own = np.zeros(slots + 1, dtype=np.int64)
+        for b in batches:
+            kept, cls, runs, row = _runs(b.column(1), n, min_words)
+            own[:slots] += np.bincount(_slot(runs, slots), minlength=slots)
+            size = np.bincount(row, minlength=len(kept))
+            own[slots] += int((size - np.ceil(similarity * size) + 1).sum())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(kept)), pa.array(cls.view(np.int64)), pa.nulls(len(kept), pa.binary())], ["id", "class_id", "b"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([packed(own.astype(np.float32))], pa.binary())], ["id", "class_id", "b"])
+
+    described = staged(base.mapInArrow(describe, "id string, class_id long, b binary"), "described")
+    members = described.where("b is null").select("id", "class_id").distinct()
+    tallied = merged(described.where("b is not null").select("b"), np.add, slots + 1, np.float32)
     tasks = max(spark.sparkContext.defaultParallelism, -(-int(tallied[slots]) // TASK_KEYS))
     shared = spark.sparkContext.broadcast(leveled(tallied[:slots]))
 
@@ -415,17 +440,9 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", n: int
         for s in range(0, len(pairs), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[s : s + 100_000, 0]), pa.array(pairs[s : s + 100_000, 1])], ["class_a", "class_b"])
 
-    handed = base.select("text").mapInArrow(spread, "task int, heads binary, entries binary").repartition(tasks, "task")
+    handed = base.select("text").mapInArrow(spread, "task int, heads binary, entries binary").repartitionById(tasks, F.col("task"))
     candidates = staged(handed.mapInArrow(compare, "class_a long, class_b long").distinct(), "candidates")
 
-    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words, first = word_hashes(b.column(1))
-            kept = np.flatnonzero(np.diff(first) >= max(min_words, n))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(kept)), pa.array(_classes(words, first)[kept].view(np.int64))], ["id", "class_id"])
-
-    members = base.mapInArrow(classify, "id string, class_id long").distinct()
-
     low, high = FILTER_POWERS
     bits = 1 << min(high, max(low, (16 * candidates.count()).bit_length()))
 
