@@ -49,6 +49,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_pieces(spark, d).where("piece_no = 0 and n_pieces > 1").select("item_table", "item_key", "pos", "cut_kind")
 
 
+def p6_within(spark: SparkSession, d: str) -> DataFrame:
+    """Each item that was cut: whether all its pieces are within the limit."""
+    size = F.create_map(*(F.lit(x) for kind, (limit, _) in splitting.LIMITS.items() for x in (kind, limit)))
+    longest = p6_pieces(spark, d).groupBy("item_table", "item_key", "pos", "kind").agg(F.max(F.length("piece")).alias("n"))
+    return longest.select("item_table", "item_key", "pos", (F.col("n") <= F.element_at(size, F.col("kind"))).alias("within"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     linked, members = neardup.near_duplicates(table(spark, d, "chunk"), "global_chunk_id", n=3, similarity=0.6, min_words=50)
     return neardup.expanded_pairs(linked, members).select(F.col("id_a").alias("chunk_a"), F.col("id_b").alias("chunk_b"))
@@ -76,7 +83,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_statistics(spark, d).where("outlier and kind <> 'prose'").select("doc_id", "kind")
 
 
-QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_statistics": p10_statistics}
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_within": p6_within, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_statistics": p10_statistics}
 
 _TRIMMED = r"regexp_replace({0}, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')"
 _LONGEST = r"list_max(list_transform(regexp_split_to_array(t, '[ \t\r\n]+'), lambda x: length(x)))"
@@ -95,3 +102,4 @@ SQL: dict[str, str] = {
     ),
     "p9_found": f"SELECT DISTINCT doc_id, item_id FROM {_windows('documents', 'doc_id')} JOIN {_windows('eval_item', 'item_id')} USING (g)",
 }
+SQL["p6_within"] = f"SELECT item_table, item_key, pos, TRUE AS within FROM ({SQL['p6_found']})"

@@ -22,11 +22,27 @@ def piece_pattern(size: int) -> str:
     the second half of the room, except a blank, so that pieces don't become tiny; the rest of the text is one piece.
     """
     half = size // 2
-    strong = [r"\n[ \t\r]*\n", r"(?<=[.!?…])[\"”’')\]]?[ \t\r\n]", r"(?<=[;:])[ \t\r\n]", r"\n"]
-    alternatives = [rf".{{1,{size}}}\z", *(rf".{{{half},{size - 4}}}{b}" for b in strong), rf".{{1,{size - 1}}}[ \t\r\n]", rf".{{1,{size}}}"]
+    # every alternative has a bound of its own, so that no piece exceeds the size; a boundary is what stands before its end
+    strong = [rf"(?<=\n)(?<=\n[ \t\r]{{0,{size}}}\n)", r"(?<=[.!?…][\"”’')\]]?[ \t\r\n])", r"(?<=[;:][ \t\r\n])", r"(?<=\n)"]
+    alternatives = [rf".{{1,{size}}}\z", *(rf".{{{max(half, 1)},{size}}}{b}" for b in strong), rf".{{1,{size - 1}}}[ \t\r\n]", rf".{{1,{size}}}"]
     return "(?s)" + "|".join(f"(?:{a})" for a in alternatives)
 
 
+#: Numbers that one fold adds up: the array it makes is copied at each step, so folds stay short.
+FOLD = 256
+
+
+def running_starts(lengths: Column) -> Column:
+    """Where each of consecutive pieces begins, from their lengths: sums within blocks, then the blocks' offsets."""
+
+    def sums(xs: Column) -> Column:
+        return F.aggregate(xs, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / FOLD)), lambda b: sums(F.slice(lengths, (b * FOLD + 1).cast("int"), F.lit(FOLD))))
+    held = F.array(F.struct(blocks.alias("b"), sums(F.transform(blocks, lambda x: F.element_at(x, -1))).alias("o")))
+    return F.get(F.transform(held, lambda h: F.flatten(F.zip_with(h["b"], F.slice(h["o"], 1, F.size(h["b"])), lambda x, o: F.transform(F.slice(x, 1, F.size(x) - 1), lambda y: y + o)))), 0)
+
+
 def cut_kind(text: Column, size: int) -> Column:
     """``hard`` if a run without blanks is longer than ``size``, ``natural`` for other texts over the limit, else null."""
     t = trimmed(text)
@@ -63,9 +79,8 @@ def split_texts(items: DataFrame, size: int, overlap: int, text: str = "text") -
     rows = items.select(*kept, trimmed(F.col(text)).alias("_t"))
     whole = F.when(F.length("_t") <= size, F.array("_t")).otherwise(F.regexp_extract_all("_t", F.lit(piece_pattern(size - overlap)), F.lit(0)))
     rows = rows.where("_t <> ''").select(*kept, whole.alias("_c"))
-    ends = F.aggregate("_c", F.array(F.lit(0)), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(c))))
     none = F.array(F.lit(""))
-    zipped = F.arrays_zip(F.col("_c").alias("core"), ends.alias("begin"), F.concat(none, "_c").alias("last"), F.concat(none, none, "_c").alias("before"))
+    zipped = F.arrays_zip(F.col("_c").alias("core"), running_starts(F.transform("_c", lambda c: F.length(c))).alias("begin"), F.concat(none, "_c").alias("last"), F.concat(none, none, "_c").alias("before"))
     # zipping pads the shorter arrays; the entries past the last core carry no core
     rows = rows.select(*kept, F.size("_c").alias("n_pieces"), F.posexplode(zipped).alias("piece_no", "_z")).where("_z.core is not null")
     back = F.right(F.concat("_z.before", "_z.last"), F.lit(overlap))
@@ -83,6 +98,6 @@ def split_items(items: DataFrame) -> DataFrame:
     out = None
     for kind, (size, overlap) in LIMITS.items():
         own = items.where((F.col("kind") == kind) & (F.length("text") > size)).withColumn("cut_kind", cut_kind(F.col("text"), size))
-        own = split_texts(own.where("cut_kind is not null").select("item_table", "item_key", "pos", "cut_kind", "text"), size, overlap)
+        own = split_texts(own.where("cut_kind is not null").select("item_table", "item_key", "pos", "kind", "cut_kind", "text"), size, overlap)
         out = own if out is None else out.unionByName(own)
     return out
