@@ -71,6 +71,11 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, d, "documents"))
 
 
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's text from its ids alone."""
+    return encoding.decode_corpus(p8_ids(spark, d))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_windows(table(spark, d, "documents"), table(spark, d, "eval_item")).select("doc_id", "item_id")
 
@@ -83,7 +88,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_statistics(spark, d).where("outlier and kind <> 'prose'").select("doc_id", "kind")
 
 
-QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_within": p6_within, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_statistics": p10_statistics}
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_within": p6_within, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_found": p9_found, "p10_found": p10_found, "p10_statistics": p10_statistics}
 
 _TRIMMED = r"regexp_replace({0}, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')"
 _LONGEST = r"list_max(list_transform(regexp_split_to_array(t, '[ \t\r\n]+'), lambda x: length(x)))"
@@ -100,6 +105,7 @@ SQL: dict[str, str] = {
         f"SELECT 'sectioned_filing' AS item_table, CAST(filing_no AS VARCHAR) AS item_key, pos, {_TRIMMED.format('s.text')} AS t, 1000 AS size FROM (SELECT filing_no, unnest(sections) AS s, generate_subscripts(sections, 1) - 1 AS pos FROM sectioned_filing) "
         f"UNION ALL SELECT DISTINCT 'chunk', global_chunk_id, 0, {_TRIMMED.format('text')}, CASE source_type WHEN 'sec_filing' THEN 1000 ELSE 800 END FROM chunk WHERE source_type IN ('sec_filing', 'earnings_transcript')) WHERE length(t) > size"
     ),
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p9_found": f"SELECT DISTINCT doc_id, item_id FROM {_windows('documents', 'doc_id')} JOIN {_windows('eval_item', 'item_id')} USING (g)",
 }
 SQL["p6_within"] = f"SELECT item_table, item_key, pos, TRUE AS within FROM ({SQL['p6_found']})"
