@@ -110,15 +110,38 @@ def is_truncated(query: Column, answer: Column) -> Column:
     return ~whole
 
 
-def _opening(query: Column, answer: Column) -> Column:
-    """The first words of an answer, without a greeting or a topic before a colon, and with the query's own words masked."""
-    a = F.lower(F.regexp_replace(answer, "[’‘]", "'"))
-    a = F.regexp_replace(a, r"^\s*(?:(?:hello|hi|dear \p{L}+|hey)[!,.]?\s+)?(?:regarding [^:]{1,60}:\s+)?", "")
-    asked = F.regexp_extract_all(F.lower(query), F.lit(r"[\p{L}\p{N}']+"), F.lit(0))
-    words = F.slice(F.regexp_extract_all(a, F.lit(r"[\p{L}\p{N}']+"), F.lit(0)), 1, 14)
+#: A template recurs over at least so many prompts, of which no content word stands in more than half.
+PROMPTS = 5
+#: A word is a template's own if it stands in so large a part of its answers.
+CORE = 0.75
+#: The part of a template's words that may differ from answer to answer, the query's own words left aside.
+VARYING = 0.25
+#: The part of a template's answers that may hold a capitalised word, a name as a rule, that isn't the template's or the query's.
+NAMING = 0.1
+#: Words that one sentence at least of an answer made of templates has.
+SAID = 4
+
+
+def _sentences(query: Column, answer: Column) -> Column:
+    """The sentences of an answer as lower-case words joined by blanks; ``_`` stands for the query's own words, ``^`` before words with a capital inside a sentence.
+
+    A topic before a colon is left out.
+    """
+    a = F.regexp_replace(F.regexp_replace(answer, "[’‘]", "'"), r"(?i)^\s*(?:regarding [^:]{1,60}:\s+)?", "")
     common = [w for ws in FUNCTION_WORDS.values() for w in ws.split()] + ["i", "me", "my", "this", "answer", "question"]
-    masked = F.transform(words, lambda w: F.when(w.rlike(r"\d") | (F.array_contains(asked, w) & ~w.isin(*common)), F.lit("_")).otherwise(w))
-    return F.array_join(masked, " ")
+    # a possessive counts as its word
+    asked = F.regexp_extract_all(F.regexp_replace(F.lower(query), r"['’]s\b", ""), F.lit(r"[\p{L}\p{N}']+"), F.lit(0))
+    asked = F.array_except(asked, F.array(*(F.lit(w) for w in common)))
+    held = F.array(F.struct(asked.alias("asked"), F.split(a, r"(?<=[.!?])\s+|(?<=[。！？])").alias("s")))
+
+    def masked(x: Column) -> Column:
+        def form(w: Column, i: Column) -> Column:
+            low = F.lower(w)
+            return F.when(F.array_contains(x["asked"], low), F.lit("_")).when((i > 0) & w.rlike(r"^\p{Lu}") & ~w.rlike(r"^I(?:'\p{Ll}+)?$"), F.concat(F.lit("^"), low)).otherwise(low)
+
+        return F.transform(x["s"], lambda t: F.array_join(F.transform(F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}']+"), F.lit(0)), form), " "))
+
+    return F.filter(F.get(F.transform(held, masked), 0), lambda t: t != "")
 
 
 def opening_clusters(openings: DataFrame, similarity: float = 0.5, bands: int = 12) -> DataFrame:
@@ -172,31 +195,67 @@ def opening_clusters(openings: DataFrame, similarity: float = 0.5, bands: int =
     return openings.select("opening").join(parts, "opening", "left").select("opening", F.coalesce("component", "opening").alias("cluster"))
 
 
+def templates(said: DataFrame) -> DataFrame:
+    """(sentence, recurs, template) of distinct sentences in ``said`` (q, sentence): whether it recurs over unrelated prompts, and as a template.
+
+    Sentences are clustered. A cluster recurs if it answers at least PROMPTS different prompts and no content word stands in more than half
+    of them. It is a template if, the query's own words left aside, at most the part VARYING of its words differs from answer to
+    answer, and at most the part NAMING of its answers holds a name of its own: whatever is asked, it says the same. Words are counted per cluster, so no cluster is gathered in one task.
+    """
+    counted = staged(said.groupBy("sentence", "q").agg(F.count("*").alias("n")), "said")
+    forms = counted.groupBy("sentence").agg(F.sum("n").alias("n"))
+    clusters = staged(opening_clusters(forms.withColumnRenamed("sentence", "opening")).withColumnRenamed("opening", "sentence").join(forms, "sentence"), "clusters")
+    prompts = counted.join(clusters.select("sentence", "cluster"), "sentence").select("cluster", "q").distinct()
+    frequent = [w for ws in FUNCTION_WORDS.values() for w in ws.split()]
+    content = F.array_except(F.array_distinct(F.regexp_extract_all(F.lower("q"), F.lit(r"[\p{L}\p{N}']+"), F.lit(0))), F.array(*(F.lit(w) for w in frequent)))
+    shared = prompts.select("cluster", F.explode(content).alias("w")).groupBy("cluster", "w").count().groupBy("cluster").agg(F.max("count").alias("most"))
+    asked = prompts.groupBy("cluster").agg(F.count("*").alias("prompts")).join(shared, "cluster", "left")
+    recurring = asked.where((F.col("prompts") >= PROMPTS) & (F.coalesce("most", F.lit(0)) * 2 <= F.col("prompts"))).select("cluster")
+    clusters = staged(clusters.join(recurring, "cluster", "left_semi"), "recurring")
+    words = clusters.select("cluster", "n", F.explode(F.split("sentence", " ")).alias("w"), "sentence").where("w <> '_'")
+    size = clusters.groupBy("cluster").agg(F.sum("n").alias("size"))
+    # repeated words of a sentence count once for the core and each for its share
+    core = words.dropDuplicates(["sentence", "w"]).groupBy("cluster", "w").agg(F.sum("n").alias("held")).join(size, "cluster").where(F.col("held") >= F.lit(CORE) * F.col("size")).select("cluster", "w", F.lit(1).alias("core"))
+    other = words.join(core, ["cluster", "w"], "left").withColumn("varies", F.col("core").isNull()).groupBy("cluster", "sentence").agg(
+        F.first("n").alias("n"), F.count("*").alias("words"), F.sum(F.col("varies").cast("int")).alias("varying"), F.max((F.col("varies") & F.col("w").startswith("^")).cast("int")).alias("names")
+    )
+    same = other.groupBy("cluster").agg(
+        ((F.sum(F.col("n") * F.col("varying")) <= VARYING * F.sum(F.col("n") * F.col("words"))) & (F.sum(F.col("n") * F.col("names")) <= NAMING * F.sum("n"))).alias("template")
+    )
+    return clusters.join(same, "cluster", "left").select("sentence", F.lit(True).alias("recurs"), F.coalesce("template", F.lit(False)).alias("template"))
+
+
 def defects(answers: DataFrame, id_col: str = "example_id", query_col: str = "user_query", answer_col: str = "final_answer") -> DataFrame:
     """(id, defect): at most one defect of each row, in the order empty, copy, refusal, other_language, truncated.
 
-    Refusals: openings are clustered; a cluster is a refusal template if most of its answers speak of the writer and of
-    not answering, and all its members are refusals then, unless they go on to give figures. How often a template recurs over
-    unrelated prompts doesn't decide: sound answers recur as widely, and a refusal given once is one too. A null query leaves the checks
-    that need none. Repeated rows are judged each; rows with a null id are kept; other columns are ignored.
+    Refusals: the sentences of answers without any figure are clustered, and clusters that recur over unrelated prompts tell templates from
+    sentences that vary with what is asked. An answer of whole sentences that are all templates is a refusal, in whatever words; one
+    with a recurring sentence that varies is none, in whatever words. Where nothing recurs, cues of the writer speaking of
+    itself and of not answering decide. A null query leaves the checks that need none. Repeated rows are judged each; rows with a
+    null id are kept; other columns are ignored.
     """
     rows = answers.select(F.col(id_col).alias("id"), F.col(query_col).cast("string").alias("q"), F.col(answer_col).cast("string").alias("a"))
     q = F.coalesce("q", F.lit(""))
-    plain = F.lower(F.regexp_replace(F.col("a"), "[’‘]", "'"))
-    head = F.regexp_extract(plain, r"^(?s)\s*((?:[^.!?]|[.!?](?!\s)){1,400}(?:[.!?]\s+(?:[^.!?]|[.!?](?!\s)){1,200})?)", 1)
-    rows = rows.withColumn("empty", is_empty(F.col("a"))).withColumn("opening", F.when(~F.col("empty"), _opening(q, F.col("a"))))
-    rows = rows.withColumn("cue", F.coalesce(reduce(or_, (head.rlike(me) & head.rlike(no) for me, no in DECLINING)), F.lit(False)))
-    counted = rows.where("opening <> ''").groupBy("opening").agg(F.count("*").alias("n"), F.sum(F.col("cue").cast("int")).alias("cues"))
-    counted = staged(counted, "openings")
-    clusters = opening_clusters(counted)
-    judged = counted.join(clusters, "opening").groupBy("cluster").agg((F.sum("cues") * 2 > F.sum("n")).alias("refusal"))
-    refused = clusters.join(judged.where("refusal"), "cluster").select("opening", F.lit(True).alias("refusal"))
-    rows = rows.join(refused, "opening", "left")
+    rows = rows.withColumn("empty", is_empty(F.col("a")))
+    plain = ~F.col("empty") & ~F.col("a").rlike(r"\p{N}") & F.rtrim("a").rlike(r"""[.!?。！？]["”’'»)\]]*$""")
+    keyed = rows.where(plain & (q != "")).select(F.xxhash64("q", "a").alias("k"), F.xxhash64("a", F.lit(1), "q").alias("l"), "q", F.explode(_sentences(q, F.col("a"))).alias("sentence"))
+    said = staged(keyed, "sentences")
+    known = templates(said.select("q", "sentence"))
+    long = F.size(F.split("sentence", " ")) >= SAID
+    judged = said.join(known, "sentence", "left").groupBy("k", "l").agg(
+        (F.min(F.coalesce("template", F.lit(False))) & F.max(F.coalesce("template", F.lit(False)) & long)).alias("template"), F.max(F.coalesce("recurs", F.lit(False)) & ~F.coalesce("template", F.lit(False))).alias("varies")
+    )
+    judged = staged(judged, "judged").where("template or varies")
+    rows = rows.withColumn("k", F.xxhash64("q", "a")).withColumn("l", F.xxhash64("a", F.lit(1), "q")).join(judged, ["k", "l"], "left")
+    lower = F.lower(F.regexp_replace(F.col("a"), "[’‘]", "'"))
+    head = F.regexp_extract(lower, r"^(?s)\s*((?:[^.!?]|[.!?](?!\s))+(?:[.!?]\s+(?:[^.!?]|[.!?](?!\s))+)?)", 1)
+    cue = reduce(or_, (head.rlike(me) & head.rlike(no) for me, no in DECLINING)) & ~F.col("a").rlike(r"[$€£]\s?\d|\d\s?%")
+    refusal = F.coalesce("template", F.lit(False)) | (~F.coalesce("varies", F.lit(False)) & F.coalesce(cue, F.lit(False)))
     mine, theirs = language(q), language(F.col("a"))
     defect = (
         F.when(F.col("empty"), "empty")
         .when(is_copy(q, F.col("a")), "copy")
-        .when(F.coalesce("refusal", F.lit(False)) & ~F.col("a").rlike(r"[$€£]\s?\d|\d\s?%"), "refusal")
+        .when(refusal, "refusal")
         .when((q != "") & (mine != theirs), "other_language")
         .when(is_truncated(q, F.col("a")), "truncated")
     )
