@@ -25,8 +25,8 @@ def test_templates_without_any_listed_word_are_refusals(spark):
 
 def test_recurring_answers_that_vary_are_sound_whatever_their_words(spark):
     causes = "plant downtime,weaker demand,new permits,higher wages,late shipments,lower rates,scrap reduction,bad weather,price cuts,longer terms".split(",")
-    rows = [(_asked(i), f"Management declined to give me a range, citing {causes[i]} and {causes[-1 - i]}.") for i in range(10)]
-    rows += [(_asked(i), f"My note says that I cannot see {FIRMS[-1 - i]} Holdings buy it.") for i in range(10)]
+    rows = [(f"{_asked(i)} {FIRMS[-i]}", f"Management declined to give me a range, citing {causes[i]} and {causes[(i + k) % 10]}.") for i in range(10) for k in range(1, 6)]
+    rows += [(_asked(i), f"My view is that I cannot see {FIRMS[-1 - i]} Holdings buy it.") for i in range(10)]
     assert _defects(spark, rows) == {}
 
 
