@@ -6,12 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import small_side, staged
+from ..session import BROADCAST_ROWS, small_side, staged
 from .pairs import ENDINGS, FUNCTION_WORDS, language
 
-STATS = ["n_words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "digit_ratio", "mean_line_length", "repeated_lines"]
+#: The statistics, with the side on which a text falls out of prose: low, high, or both.
+SIDES = {
+    "prose_share": "low", "common_words": "low", "mean_line_length": "low", "punctuated_lines": "low", "distinct_words": "low",
+    "symbol_ratio": "high", "digit_ratio": "high", "repeated_lines": "high", "mean_word_length": "both",
+}
+STATS = list(SIDES)
 #: Values are ranked at this many decimal places; equal ones share a rank.
 PLACES = 4
+#: Texts of prose that a language needs for ranks of its own; those of rarer and unknown languages are ranked among the prose of all.
+OWN_RANKS = 100
+#: Standard deviations above the mean score of prose from which on a text is none.
+DEVIATIONS = 5.0
+#: Values that at least 1/HOT_SHARE of all values equal are joined by broadcast.
+HOT_SHARE = 4096
 
 # Words counted as common beside the function words of each language.
 COMMON = sorted({w for ws in FUNCTION_WORDS.values() for w in ws.split() if len(w) > 1} | set("de la un se a y e o its be has had this these or so but if i you me may with s'est she he they their".split()))
@@ -23,24 +34,27 @@ BORDER = r"^[+|][-=+|: ]{4,}$"
 
 def line_kind(line: Column) -> Column:
     """``prose``, ``table``, ``list`` or ``junk`` for one trimmed line."""
-    tokens = F.filter(F.transform(F.split(line, r"\s+"), lambda t: F.regexp_replace(F.lower(t), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")), lambda t: t != "")
-    return F.element_at(F.transform(F.array(F.struct(line.alias("s"), tokens.alias("t"))), _kind), 1)
+    # words without signs at their ends, joined again so that each kind of word is counted in one pass
+    tokens = F.regexp_extract_all(F.lower(line), F.lit(r"[\p{L}\p{N}](?:\S*[\p{L}\p{N}])?"), F.lit(0))
+    return F.element_at(F.transform(F.array(F.struct(line.alias("s"), tokens.alias("t"))), lambda x: F.element_at(F.transform(F.array(F.struct(x["s"], x["t"], F.concat(F.lit(" "), F.array_join(x["t"], " "), F.lit(" ")).alias("j"))), _kind), 1)), 1)
+
+
+def _count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern))
 
 
 def _kind(x: Column) -> Column:
-    s, t = x["s"], x["t"]
+    s, t, j = x["s"], x["t"], x["j"]
     n = F.size(t)
     length = F.length(s)
     common = F.size(F.filter(t, lambda w: w.isin(*COMMON)))
-    cjk = F.length(F.regexp_replace(s, r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsThai}]", "")) * 2 > length
-    words = F.size(F.filter(t, lambda w: w.rlike(r"^\p{L}[\p{L}'’.-]*$")))
-    mute = F.size(F.filter(t, lambda w: w.rlike(r"^[b-df-hj-np-tv-xz]{3,}$")))
-    odd = F.size(F.filter(t, lambda w: w.rlike(r"^(?=.*\d)(?=.*\p{L})[\p{L}\p{N}+/=_:.|-]{7,}$") | (F.length(w) > 30)))
-    symbols = F.length(F.regexp_replace(s, r"(?U)[\p{L}\p{M}\p{N}\s]", ""))
-    untagged = F.length(F.regexp_replace(s, r"<[^<>]{0,200}>", ""))
-    cells = F.greatest(
-        F.size(F.split(s, r"\|", -1)) - 1, F.size(F.split(s, r"\t", -1)) - 1, F.size(F.split(s, r";(?! \p{L})", -1)) - 1, F.size(F.split(s, r" {2,}", -1)) - 1
-    )
+    cjk = F.when(s.rlike(r"[\x{E00}-\x{FFFF}]"), _count(s, r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsThai}]") * 2 > length).otherwise(False)
+    words = _count(j, r"(?<= )\p{L}[\p{L}'’.-]*+(?= )")
+    mute = _count(j, r"(?<= )[b-df-hj-np-tv-xz]{3,}+(?= )")
+    odd = _count(j, r"(?<= )(?:(?=\S*\d)(?=\S*\p{L})[\p{L}\p{N}+/=_:.|-]{7,}+|\S{31,}+)(?= )")
+    symbols = _count(s, r"(?U)[^\p{L}\p{M}\p{N}\s]")
+    untagged = F.when(F.contains(s, F.lit("<")), F.length(F.regexp_replace(s, r"<[^<>]*>", ""))).otherwise(length)
+    cells = F.greatest(_count(s, r"\|"), _count(s, r"\t"), _count(s, r";(?! \p{L})"), _count(s, r" {2,}+"))
     flags = F.struct(
         s.alias("s"), n.alias("n"), length.alias("length"), common.alias("common"), words.alias("words"), mute.alias("mute"), odd.alias("odd"), symbols.alias("symbols"), untagged.alias("untagged"),
         cells.alias("cells"), cjk.alias("cjk"), s.rlike(ENDINGS).alias("ended"), s.rlike(BULLET).alias("bullet"),
@@ -69,11 +83,11 @@ def _decided(x: Column) -> Column:
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, id, language, the statistics, kind) of each row with a non-blank text; ``row`` keeps repeated rows apart.
+    """(row, id, language, n_words, the statistics, kind, other_kind) of each row with a non-blank text; ``row`` keeps repeated rows apart.
 
     ``kind`` is the class of most of the document's characters, line by line: prose in any language, short entries (list), rows
-    of cells (table), neither (junk); lines that repeat over and over and texts of very few different words are junk. Prose
-    wins over each other kind only with half of all characters.
+    of cells (table), neither (junk); lines that repeat over and over and texts of very few different words are junk.
+    ``other_kind`` is the largest class besides prose.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     lines = F.filter(F.transform(F.split("text", r"\R"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
@@ -82,85 +96,95 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kinds = F.transform("lines", lambda s: F.struct(line_kind(s).alias("k"), F.length(s).alias("n")))
     rows = rows.withColumn("kinds", kinds)
     n_lines, n_words, chars = F.size("lines"), F.size("words"), F.length("text")
-
-    def count(pattern: str) -> Column:
-        return F.length(F.regexp_replace("text", pattern, ""))
-
-    distinct = F.size(F.array_distinct("lines"))
-    stats = {
+    repeated = 1 - F.size(F.array_distinct("lines")) / n_lines
+    plain = {
         "n_words": n_words.cast("double"),
-        "mean_word_length": F.coalesce(F.aggregate("words", F.lit(0), lambda a, w: a + F.length(w)) / F.nullif(n_words, F.lit(0)), F.lit(0.0)),
-        "symbol_ratio": count(r"(?U)[\p{L}\p{M}\p{N}\s]") / chars,
+        "mean_word_length": F.coalesce(F.length(F.array_join("words", "")) / F.nullif(n_words, F.lit(0)), F.lit(0.0)),
+        "symbol_ratio": _count(F.col("text"), r"(?U)[^\p{L}\p{M}\p{N}\s]") / chars,
         "punctuated_lines": F.size(F.filter("lines", lambda s: s.rlike(ENDINGS))) / n_lines,
         "common_words": F.coalesce(F.size(F.filter("words", lambda w: w.isin(*COMMON))) / F.nullif(n_words, F.lit(0)), F.lit(0.0)),
-        "digit_ratio": count(r"[^\p{N}]") / chars,
-        "mean_line_length": F.aggregate("lines", F.lit(0), lambda a, s: a + F.length(s)) / n_lines,
-        "repeated_lines": 1 - distinct / n_lines,
+        "digit_ratio": _count(F.col("text"), r"\p{N}") / chars,
+        "mean_line_length": F.length(F.array_join("lines", "")) / n_lines,
+        "repeated_lines": repeated,
+        # short texts repeat no word
+        "distinct_words": F.when(n_words > 30, F.size(F.array_distinct("words")) / n_words).otherwise(1.0),
     }
-    rows = rows.select("row", "id", F.coalesce(language(F.col("text")), F.lit("und")).alias("language"), *(F.round(v, PLACES).alias(k) for k, v in stats.items()), "kinds", F.size(F.array_distinct("words")).alias("n_distinct"))
 
     def share(kind: str) -> Column:
         return F.aggregate("kinds", F.lit(0), lambda a, x: a + F.when(x["k"] == kind, x["n"]).otherwise(0))
 
-    rows = rows.select("*", *(share(k).alias(f"c_{k}") for k in ("prose", "list", "table", "junk"))).drop("kinds")
+    shares = [share(k).alias(f"c_{k}") for k in ("prose", "list", "table", "junk")]
+    rows = rows.select("row", "id", F.coalesce(language(F.col("text")), F.lit("und")).alias("language"), *(F.round(v, PLACES).alias(k) for k, v in plain.items()), *shares)
     total = F.col("c_prose") + F.col("c_list") + F.col("c_table") + F.col("c_junk")
     # one entry over and over, or few words in all
-    monotone = ((F.col("repeated_lines") > 0.6) & (F.col("c_table") * 2 < total)) | ((F.col("n_words") > 30) & (F.col("n_distinct") * 5 < F.col("n_words")))
-    kind = (
-        F.when(monotone, "junk").when(F.col("c_prose") * 2 >= total, "prose")
-        .when((F.col("c_table") >= F.col("c_list")) & (F.col("c_table") >= F.col("c_junk")), "table").when(F.col("c_list") >= F.col("c_junk"), "list").otherwise("junk")
-    )
-    return rows.select("row", "id", "language", *STATS, kind.alias("kind"))
+    monotone = ((F.col("repeated_lines") > 0.6) & (F.col("c_table") * 2 < total)) | (F.col("distinct_words") * 5 < 1)
+    other = F.when(monotone, "junk").when((F.col("c_table") >= F.col("c_list")) & (F.col("c_table") >= F.col("c_junk")), "table").when(F.col("c_list") >= F.col("c_junk"), "list").otherwise("junk")
+    # of a text that is prose throughout nothing else is known
+    other = F.when(~monotone & (F.col("c_prose") == total), "junk").otherwise(other)
+    kind = F.when(~monotone & (F.col("c_prose") * 2 >= total), "prose").otherwise(other)
+    return rows.select("row", "id", "language", "n_words", F.round(F.col("c_prose") / total, PLACES).alias("prose_share"), *(s for s in STATS if s != "prose_share"), kind.alias("kind"), other.alias("other_kind"))
 
 
 def tail_probabilities(rows: DataFrame) -> DataFrame:
-    """(language, stat, value, tail): for each value the smaller of the shares of its language's documents at or below, and at or above it.
+    """(group, stat, value, n, tail) from (group, reference, the statistics): for each value how rare it is among its group's reference rows.
 
-    Equal values are counted first; the distinct ones are then sorted by range partitioning over (language, stat, value), each
-    partition adds up its own counts, and offsets from the partitions before it make the ranks exact over all documents.
+    ``tail`` is the share of reference rows at or below the value (low), at or above it (high), or twice the smaller (both), the value
+    itself counted in. Equal values are counted first; the distinct ones are then sorted by range partitioning over (group, stat,
+    value), each partition adds up its own counts, and offsets from the partitions before it make the ranks exact over all rows.
     """
     pairs = F.explode(F.array(*(F.struct(F.lit(s).alias("stat"), F.col(s).alias("value")) for s in STATS))).alias("x")
-    counted = rows.select("language", pairs).groupBy("language", "x.stat", "x.value").agg(F.count("*").alias("n"))
+    counted = rows.select("group", "reference", pairs).groupBy("group", "x.stat", "x.value").agg(F.count("*").alias("n"), F.sum(F.col("reference").cast("int")).alias("refs"))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = staged(counted.repartitionByRange(parts, "language", "stat", "value").withColumn("part", F.spark_partition_id()), "ordered")
-
-    within = W.partitionBy("part", "language", "stat").orderBy("value")
-    local = ordered.withColumn("upto", F.sum("n").over(within))
-    sums = ordered.groupBy("language", "stat", "part").agg(F.sum("n").alias("s"))
-    before = W.partitionBy("language", "stat").orderBy("part")
-    offsets = sums.withColumn("offset", F.sum("s").over(before) - F.col("s")).withColumn("all", F.sum("s").over(W.partitionBy("language", "stat")))
-    joined = local.join(small_side(offsets.select("language", "stat", "part", "offset", "all")), ["language", "stat", "part"])
-    below = (F.col("offset") + F.col("upto")) / F.col("all")
-    above = (F.col("all") - F.col("offset") - F.col("upto") + F.col("n")) / F.col("all")
-    return joined.select("language", "stat", "value", F.least(below, above).alias("tail"))
+    # written with their partition's number, so that ranges are drawn once
+    ordered = staged(counted.repartitionByRange(parts, "group", "stat", "value").withColumn("part", F.spark_partition_id()), "ordered")
+
+    within = W.partitionBy("part", "group", "stat").orderBy("value")
+    local = ordered.withColumn("upto", F.sum("refs").over(within))
+    sums = ordered.groupBy("group", "stat", "part").agg(F.sum("refs").alias("s"))
+    before = W.partitionBy("group", "stat").orderBy("part")
+    offsets = sums.withColumn("offset", F.sum("s").over(before) - F.col("s")).withColumn("all", F.sum("s").over(W.partitionBy("group", "stat")))
+    joined = local.join(small_side(offsets.select("group", "stat", "part", "offset", "all")), ["group", "stat", "part"])
+    low = (F.col("offset") + F.col("upto") + 1) / (F.col("all") + 1)
+    high = (F.col("all") - F.col("offset") - F.col("upto") + F.col("refs") + 1) / (F.col("all") + 1)
+    low, high = F.least(low, F.lit(1.0)), F.least(high, F.lit(1.0))
+    side = F.create_map(*(F.lit(x) for pair in SIDES.items() for x in pair))[F.col("stat")]
+    return joined.select("group", "stat", "value", "n", F.when(side == "low", low).when(side == "high", high).otherwise(F.least(2 * low, 2 * high, F.lit(1.0))).alias("tail"))
 
 
 def outlier_scores(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``score``: the sum over all statistics of the negative logarithm of the tail probability.
+    """``rows`` with ``score``: the sum over all statistics of the negative logarithm of the tail probability among the language's prose.
 
-    Rows equal in language and all statistics are ranked as one, so that copies of a text can't make each other usual.
+    Prose by its lines is what values are ranked among, so that pages of other kinds can't make themselves usual, however often
+    they are repeated. Languages with fewer than OWN_RANKS such texts, and texts of unknown language, are ranked among the prose of all.
     """
-    tails = small_side(staged(tail_probabilities(rows.dropDuplicates(["language", *STATS])), "tails"))
-    values = rows.select("row", "language", F.explode(F.array(*(F.struct(F.lit(s).alias("stat"), F.col(s).alias("value")) for s in STATS))).alias("x"))
-    scored = values.select("row", "language", "x.stat", "x.value").join(tails, ["language", "stat", "value"]).groupBy("row").agg(F.sum(-F.log("tail")).alias("score"))
-    return rows.join(scored, "row")
-
-
-#: A language's median tells outliers only if at least this share of its texts is prose by its lines.
-PROSE_SHARE = 0.6
+    prose = F.col("kind") == "prose"
+    own = rows.where(prose & (F.col("language") != "und")).groupBy("language").count().where(F.col("count") >= OWN_RANKS).select("language", F.col("language").alias("group"))
+    # one row per language code, a fixed list
+    placed = rows.join(F.broadcast(own), "language", "left").withColumn("group", F.coalesce("group", F.lit("all")))
+    ranked = placed.select("group", (prose & (F.col("group") != "all")).alias("reference"), *STATS).unionByName(rows.where(prose).select(F.lit("all").alias("group"), F.lit(True).alias("reference"), *STATS))
+    tails = staged(tail_probabilities(ranked), "tails")
+    values = placed.select("row", "group", F.explode(F.array(*(F.struct(F.lit(s).alias("stat"), F.col(s).alias("value")) for s in STATS))).alias("x")).select("row", "group", "x.stat", "x.value")
+    keys = ["group", "stat", "value"]
+    total = tails.agg(F.sum("n").alias("n")).first()["n"] or 0
+    if total and tails.count() > BROADCAST_ROWS:
+        # values that many rows share go by broadcast, at most HOT_SHARE of them, the others by shuffle
+        common = tails.where(F.col("n") * HOT_SHARE >= total).select(*keys, "tail")
+        marked = values.join(F.broadcast(common), keys, "left")
+        rest = marked.where("tail is null").drop("tail").join(tails.where(F.col("n") * HOT_SHARE < total).select(*keys, "tail"), keys)
+        found = marked.where("tail is not null").select("row", "tail").unionByName(rest.select("row", "tail"))
+    else:
+        found = values.join(F.broadcast(tails.select(*keys, "tail")), keys).select("row", "tail")
+    return rows.join(found.groupBy("row").agg(F.sum(-F.log("tail")).alias("score")), "row")
 
 
 def assessed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, language, statistics, kind, score, outlier): every row with a non-blank text, outliers being the upper half by score.
+    """(id, language, n_words, statistics, kind, score, outlier): every row with a non-blank text, and whether its score sets it apart from prose.
 
-    ``kind`` comes from the lines alone; the score adds how unusual the statistics are in the language: outliers are above the
-    median of its distinct rows. Where most of them are no prose the median can't tell, so all of those, and texts of which no
-    language is known, count as outliers. Null and blank texts give no row.
+    A text is an outlier if its score lies more than DEVIATIONS standard deviations above the mean score of what is prose by its lines; its
+    ``kind`` then is its largest class besides prose, else ``prose``. Null and blank texts give no row; without any prose
+    to compare with, the lines decide.
     """
-    rows = outlier_scores(staged(measured(docs, id_col, text_col), "measured"))
-    share = F.avg((F.col("kind") == "prose").cast("double"))
-    medians = staged(rows.dropDuplicates(["language", *STATS]).groupBy("language").agg(F.percentile_approx("score", 0.5, 10_000).alias("median"), share.alias("share")), "medians")
-    # one row per language code, a fixed list
-    joined = rows.join(F.broadcast(medians), "language")
-    outlier = (F.col("score") > F.col("median")) | (F.col("share") < PROSE_SHARE) | (F.col("language") == "und")
-    return joined.select("id", "language", *STATS, "kind", "score", outlier.alias("outlier"))
+    rows = staged(outlier_scores(staged(measured(docs, id_col, text_col), "measured")), "scored")
+    cut = rows.where("kind = 'prose'").agg(F.avg("score") + DEVIATIONS * F.coalesce(F.stddev_pop("score"), F.lit(0.0))).first()[0]
+    outlier = F.col("kind") != "prose" if cut is None else F.col("score") > F.lit(cut)
+    return rows.select("id", "language", "n_words", *STATS, F.when(outlier, F.col("other_kind")).otherwise("prose").alias("kind"), "score", outlier.alias("outlier"))

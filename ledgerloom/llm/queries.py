@@ -85,7 +85,7 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return p10_statistics(spark, d).where("outlier and kind <> 'prose'").select("doc_id", "kind")
+    return p10_statistics(spark, d).where("outlier").select("doc_id", "kind")
 
 
 QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_within": p6_within, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_found": p9_found, "p10_found": p10_found, "p10_statistics": p10_statistics}

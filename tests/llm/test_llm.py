@@ -309,9 +309,11 @@ def test_kinds(spark):
 
 def test_tail_ranks_are_exact(spark):
     values = [random.choice([0.0, 1.0, 2.5, round(random.random(), 3)]) for _ in range(500)]
-    rows = [(i, "en" if i % 3 else "de", *[v] * len(quality.STATS)) for i, v in enumerate(values)]
-    df = spark.createDataFrame(rows, "row long, language string, " + ", ".join(f"{s} double" for s in quality.STATS))
-    tails = {(r["language"], r["value"]): r["tail"] for r in quality.tail_probabilities(df).where("stat = 'n_words'").collect()}
-    for (lang, v), t in tails.items():
-        own = [x for i, x in enumerate(values) if ("en" if i % 3 else "de") == lang]
-        assert t == pytest.approx(min(sum(x <= v for x in own), sum(x >= v for x in own)) / len(own))
+    rows = [("en" if i % 3 else "de", i % 5 > 0, *[v] * len(quality.STATS)) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "group string, reference boolean, " + ", ".join(f"{s} double" for s in quality.STATS))
+    tails = {(r["group"], r["stat"], r["value"]): r["tail"] for r in quality.tail_probabilities(df).collect()}
+    for (group, stat, v), t in tails.items():
+        own = [x for (g, ref, *_), x in zip(rows, values, strict=True) if g == group and ref]
+        low, high = (sum(x <= v for x in own) + 1) / (len(own) + 1), (sum(x >= v for x in own) + 1) / (len(own) + 1)
+        low, high = min(low, 1), min(high, 1)
+        assert t == pytest.approx({"low": low, "high": high, "both": min(1, 2 * low, 2 * high)}[quality.SIDES[stat]])
