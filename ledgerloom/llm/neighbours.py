@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,15 +14,19 @@ from ..session import staged
 
 #: Vectors that a cell of the index is meant to hold.
 CELL = 256
-#: Cells at most: the centres are a sample of that size, the only part of the index that is fitted, kept by every worker.
-MAX_CELLS = 8192
+#: Cells at most: the centres are a sample of that size, the only part of the index that is fitted, kept by every worker (16 MB at 64 dimensions).
+MAX_CELLS = 65_536
+#: Stored vectors of a cell that one task looks through; those of larger cells are dealt out by hash.
+SUBCELL = 4096
 #: Cells that each vector is looked for in.
 PROBES = 24
 #: Standard errors that the bound of an estimated inner product spans.
 SIGMAS = 3.0
-#: Cosines from which on the cells are searched; neighbours below lie in any cell, so all vectors are compared.
+#: Cosines from which on the cells are searched; neighbours below lie in any cell, so the codes of all vectors are looked through.
 CELLS_FROM = 0.85
-#: Vectors that ask at once where all are compared.
+#: Codes of each vector, by rotations of their own, where all are looked through: their mean estimates with half the error of one.
+CODES = 4
+#: Vectors that ask at once where all are looked through.
 ASKERS = 8192
 #: Rows of a cell that are compared at once with as many others.
 SLAB = 2048
@@ -49,42 +53,80 @@ def estimates(bits: np.ndarray, align: np.ndarray, queries: np.ndarray, dim: int
     """
     code = np.unpackbits(bits, axis=1)[:, :dim].astype(np.float32) * 2 - 1
     scale = (1 / (np.sqrt(dim) * align)).astype(np.float32)
-    error = SIGMAS * np.sqrt(np.maximum(1 - align**2, 0)) / align / np.sqrt(max(dim - 1, 1))
-    error = error.astype(np.float32)
-    return (queries @ code.T) * scale, error
+    return (queries @ code.T) * scale, error_of(align, dim)
+
+
+def error_of(align: np.ndarray, dim: int) -> np.ndarray:
+    """What SIGMAS standard errors of an estimate from one code come to."""
+    return (SIGMAS * np.sqrt(np.maximum(1 - align**2, 0)) / align / np.sqrt(max(dim - 1, 1))).astype(np.float32)
 
 
 def valid_vectors(points: DataFrame, id_col: str, vector_col: str, dim: int) -> DataFrame:
-    """(id, v array<float>): rows with an id and a vector of ``dim`` numbers, none NaN or infinite, not all zero."""
+    """(id, v array<float>, asks): rows with an id and a vector of ``dim`` numbers, none NaN or infinite, not all zero."""
     v = F.transform(F.col(vector_col), lambda x: x.cast("float"))
     good = (F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
-    return points.select(F.col(id_col).cast("string").alias("id"), v.alias("v")).where("id is not null and v is not null").where(F.coalesce(good, F.lit(False)))
+    asks = F.col("_asks") if "_asks" in points.columns else F.lit(True)
+    return points.select(F.col(id_col).cast("string").alias("id"), v.alias("v"), asks.alias("asks")).where("id is not null and v is not null").where(F.coalesce(good, F.lit(False)))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float32)
 
 
-def compared(reps: DataFrame, total: int, k: int, dim: int) -> DataFrame:
-    """(a, b) from (rep, v): for every vector its ``k`` best others of each part of the vectors, by comparing all with all.
+def looked_through(reps: DataFrame, total: int, askers: int, k: int, min_cosine: float, dim: int) -> DataFrame:
+    """(a, b) from (rep, v, asks): for every asking vector its ``k`` best others of each part of the vectors, chosen by one-bit codes.
 
-    The vectors are dealt into parts and blocks of askers; a task holds one block's vectors and their best so far, and a
-    part's vectors pass it in slabs.
+    The vectors are dealt into parts and the asking ones into blocks; a task holds one block's vectors and their best so far, and a
+    part's vectors pass it in slabs. Of each slab, inner products are estimated from CODES one-bit codes a vector; vectors whose upper
+    bound reaches the asking one's k-th best so far are ranked by the exact inner product, all others are dropped unseen.
     """
-    blocks = max(1, -(-total // ASKERS))
-    parts = max(1, -(-total // (8 * ASKERS)))
-    dealt = reps.select("rep", "v", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(blocks)).cast("int").alias("own"), F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(parts)).cast("int").alias("mine"))
-    asking = dealt.select(F.col("own").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).cast("byte").alias("role"), "rep", "v")
+    blocks = max(1, -(-askers // ASKERS))
+    parts = max(1, -(-total // ASKERS))
+    dealt = reps.select("rep", "v", "asks", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(blocks)).cast("int").alias("own"), F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(parts)).cast("int").alias("mine"))
+    asking = dealt.where("asks").select(F.col("own").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).cast("byte").alias("role"), "rep", "v")
     passing = dealt.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("mine").alias("part"), F.lit(1).cast("byte").alias("role"), "rep", "v")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, asked, owners, q, owner, score, found = None, [], [], None, None, None, None
+        turns = [rotation(dim, 7 + c) for c in range(CODES)]
+        at, asked, owners, q, turned, owner, score, found = None, [], [], None, None, None, None, None
 
         def done() -> Iterator[pa.RecordBatch]:
             if score is not None:
                 i, j = np.nonzero(score > -2)
                 yield pa.RecordBatch.from_arrays([pa.array(owner[i]), pa.array(found[i, j])], ["a", "b"])
 
+        def rank(rows: np.ndarray, i: np.ndarray, j: np.ndarray, x: np.ndarray, ids: np.ndarray) -> None:
+            """The exact inner products of the pairs (i, j), i in order, into the best of the rows."""
+            exact = np.einsum("ij,ij->i", q[rows[i]], x[j])
+            cuts = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+            for lo, hi in zip(cuts, np.append(cuts[1:], len(i)), strict=True):
+                r = rows[i[lo]]
+                near, who = np.concatenate([score[r], exact[lo:hi]]), np.concatenate([found[r], ids[j[lo:hi]]])
+                top = np.argpartition(-near, k - 1)[:k]
+                score[r], found[r] = near[top], who[top]
+
+        def look(x: np.ndarray, ids: np.ndarray) -> None:
+            coded = [one_bit(x @ t.T) for t in turns]
+            error = np.sqrt(sum(error_of(align, dim) ** 2 for _, align in coded)) / CODES
+            for s in range(0, len(q), SLAB):
+                rows = np.arange(s, min(s + SLAB, len(q)))
+                est = sum(estimates(bits, align, turned[c][rows], dim)[0] for c, (bits, align) in enumerate(coded)) / CODES
+                est[owner[rows][:, None] == ids[None, :]] = -9
+                new = np.flatnonzero(score[rows].min(axis=1) <= -2)
+                if len(new):
+                    # a first bound for rows that have none yet: the best by estimate
+                    take = min(k, est.shape[1])
+                    best = np.sort(np.argpartition(-est[new], take - 1, axis=1)[:, :take], axis=1)
+                    keep = np.take_along_axis(est[new], best, axis=1) > -9
+                    i, j = np.repeat(new, take)[keep.ravel()], best.ravel()[keep.ravel()]
+                    if len(i):
+                        rank(rows, i, j, x, ids)
+                        est[i, j] = -9
+                bound = np.maximum(score[rows].min(axis=1), min_cosine - 1e-6)
+                i, j = np.nonzero((est + error[None, :] >= bound[:, None]) & (est > -9))
+                if len(i):
+                    rank(rows, i, j, x, ids)
+
         for b in batches:
             key = b.column(0).to_numpy().astype(np.int64) << 32 | b.column(1).to_numpy()
             roles, ids = b.column(2).to_numpy(), b.column(3).to_numpy()
@@ -102,51 +144,60 @@ def compared(reps: DataFrame, total: int, k: int, dim: int) -> DataFrame:
                     continue
                 if score is None:
                     q, owner = np.concatenate(asked), np.concatenate(owners)
+                    turned = [q @ t.T for t in turns]
                     score, found = np.full((len(q), k), -2, np.float32), np.zeros((len(q), k), np.int64)
-                for s in range(0, len(q), SLAB):
-                    mine, best = owner[s : s + SLAB], score[s : s + SLAB]
-                    cos = q[s : s + SLAB] @ x.T
-                    cos[mine[:, None] == ids[None, lo:hi]] = -2
-                    for i in np.flatnonzero(cos.max(axis=1) > best.min(axis=1)):
-                        all_scores = np.concatenate([best[i], cos[i]])
-                        top = np.argpartition(-all_scores, k - 1)[:k]
-                        found[s + i] = np.concatenate([found[s + i], ids[lo:hi]])[top]
-                        best[i] = all_scores[top]
+                for t in range(0, hi - lo, SLAB):
+                    look(x[t : t + SLAB], ids[lo:hi][t : t + SLAB])
         yield from done()
 
     dealt_rows = asking.unionByName(passing).repartition("block", "part").sortWithinPartitions("block", "part", "role")
     return dealt_rows.mapInArrow(compare, "a long, b long")
 
 
-def nearest(points: DataFrame, k: int = 10, min_cosine: float = -1.0, id_col: str = "id", vector_col: str = "vector", dim: int = 64, probes: int = PROBES) -> DataFrame:
-    """(id, neighbour, cosine, rank): for every vector the ``k`` most similar others of cosine ``min_cosine`` or more.
+def nearest(points: DataFrame, k: int = 10, min_cosine: float = -1.0, id_col: str = "id", vector_col: str = "vector", dim: int = 64, probes: int = PROBES, asking: Column | None = None) -> DataFrame:
+    """(id, neighbour, cosine, rank): for every vector, or every ``asking`` one, the ``k`` most similar others of cosine ``min_cosine`` or more.
 
     Equal vectors are one representative through the search; afterwards each id gets neighbours of its own, with ties
     in cosine broken by id. The index has cells around a sample of the vectors (a bounded one, ordered by hash, so
     dense regions get cells in proportion); every vector is coded and stored in the cell of its best centre, and looked for in
-    the cells of its best ``probes`` centres. In a cell inner products are estimated from the codes; what an upper bound
+    the cells of its best ``probes`` centres. Large cells are dealt out over tasks. In a cell inner products are estimated from the codes; what an upper bound
     can't bring to ``min_cosine`` is dropped, and the rest is ranked by the exact cosine. Below ``CELLS_FROM`` a
-    neighbour may lie in any cell, so every vector is compared with all, which is exact and takes quadratic time. Null, short, long, zero, NaN or infinite vectors take no part; an id given twice is one vector of each of its
-    values; an empty table gives no row.
+    neighbour may lie in any cell, so the codes of all vectors are looked through for each asking one, in blocks. Null, short, long, zero, NaN
+    or infinite vectors take no part; an id given twice is one vector of each of its values; an empty table gives no row.
     """
     spark = points.sparkSession
-    unit = valid_vectors(points, id_col, vector_col, dim)
+    asks = F.lit(True) if asking is None else F.coalesce(asking, F.lit(False))
+    unit = valid_vectors(points.withColumn("_asks", asks), id_col, vector_col, dim)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    rows = unit.select("id", F.xxhash64("v").alias("rep"), "v", norm.alias("n"))
-    members = staged(rows.select("id", "rep").distinct(), "members")
-    reps = staged(rows.groupBy("rep").agg(F.first(F.transform("v", lambda x: (x.cast("double") / F.col("n")).cast("float"))).alias("v")), "vectors")
+    rows = unit.select("id", "asks", F.xxhash64("v").alias("rep"), "v", norm.alias("n"))
+    members = staged(rows.groupBy("id", "rep").agg(F.max("asks").alias("asks")), "members")
+    reps = staged(rows.groupBy("rep").agg(F.first(F.transform("v", lambda x: (x.cast("double") / F.col("n")).cast("float"))).alias("v"), F.max("asks").alias("asks")), "vectors")
     total = reps.count()
     if min_cosine < CELLS_FROM:
-        return _ranked(compared(reps, total, k, dim), reps, members, k, min_cosine, False)
+        return _ranked(looked_through(reps, total, reps.where("asks").count(), k, min_cosine, dim), reps, members, k, min_cosine, False)
     cells = int(min(MAX_CELLS, max(1, total // CELL)))
-    sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(cells).toArrow()
+    sample = reps.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(cells).toArrow()
     turn = rotation(dim)
     centres = (_matrix(sample.column("v").combine_chunks(), dim) if total else np.zeros((0, dim), np.float32)) @ turn.T
-    shared = spark.sparkContext.broadcast((turn, centres))
+    placing = spark.sparkContext.broadcast((turn, centres))
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn, centres = placing.value
+        for b in batches:
+            x = _matrix(b.column(0), dim) @ turn.T
+            best = np.concatenate([(x[s : s + SLAB] @ centres.T).argmax(axis=1) for s in range(0, len(x), SLAB)] or [np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(best.astype(np.int32))], ["cell"])
+
+    # at most as many rows as there are cells reach the driver
+    crowded = reps.select("v").mapInArrow(home, "cell int").groupBy("cell").count().where(F.col("count") > SUBCELL).collect() if total else []
+    split = np.ones(max(cells, 1), dtype=np.int64)
+    for r in crowded:
+        split[r["cell"]] = -(-r["count"] // SUBCELL)
+    shared = spark.sparkContext.broadcast((turn, centres, split))
     take = min(probes, max(len(centres), 1))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn, centres = shared.value
+        turn, centres, split = shared.value
         for whole in batches:
             for s in range(0, len(whole), SLAB):
                 b = whole.slice(s, SLAB)
@@ -160,24 +211,30 @@ def nearest(points: DataFrame, k: int = 10, min_cosine: float = -1.0, id_col: st
                 fine = np.rint(x / top[:, None] * 127).astype(np.int8)
                 rep = b.column(0)
                 stored = pa.array([r.tobytes() for r in bits], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array(np.zeros(len(x), np.int8)), rep, pa.array(align), stored], ["cell", "role", "rep", "scale", "code"])
+                sub = rep.to_numpy(zero_copy_only=False) % split[home]
+                yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array(sub.astype(np.int32)), pa.array(np.zeros(len(x), np.int8)), rep, pa.array(align), stored], names)
                 asked = pa.array([r.tobytes() for r in fine], pa.binary())
-                at = np.repeat(np.arange(len(x)), best.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(best.ravel().astype(np.int32)), pa.array(np.ones(len(at), np.int8)), rep.take(pa.array(at)), pa.array((top / 127).astype(np.float32)[at]), asked.take(pa.array(at))], ["cell", "role", "rep", "scale", "code"])
+                # a cell that is dealt out is asked in each of its parts
+                at, cell = np.repeat(np.arange(len(x)), best.shape[1]), best.ravel()
+                again = split[cell]
+                at, cell = np.repeat(at, again), np.repeat(cell, again)
+                part = np.arange(len(cell)) - np.repeat(np.cumsum(again) - again, again)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(np.ones(len(at), np.int8)), rep.take(pa.array(at)), pa.array((top / 127).astype(np.float32)[at]), asked.take(pa.array(at))], names)
 
-    placed = reps.select("rep", "v").mapInArrow(assign, "cell int, role byte, rep long, scale float, code binary")
+    names = ["cell", "sub", "role", "rep", "scale", "code"]
+    placed = reps.select("rep", "v").mapInArrow(assign, "cell int, sub int, role byte, rep long, scale float, code binary")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by cell, stored ones first; of a cell the codes are held (8 bytes each), queries pass in slabs."""
         cell, codes, owners, aligns = None, [], [], []
         for b in batches:
-            cs, roles = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            reps_, scales = b.column(2).to_numpy(zero_copy_only=False), b.column(3).to_numpy(zero_copy_only=False)
+            cs, roles = b.column(0).to_numpy().astype(np.int64) << 32 | b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)
+            reps_, scales = b.column(3).to_numpy(zero_copy_only=False), b.column(4).to_numpy(zero_copy_only=False)
             cuts = np.flatnonzero(np.append(True, (cs[1:] != cs[:-1]) | (roles[1:] != roles[:-1])))
             for lo, hi in zip(cuts, np.append(cuts[1:], len(cs)), strict=True):
                 if cs[lo] != cell:
                     cell, codes, owners, aligns = cs[lo], [], [], []
-                raw = np.frombuffer(b"".join(b.column(4).slice(lo, hi - lo).to_pylist()), dtype=np.uint8)
+                raw = np.frombuffer(b"".join(b.column(5).slice(lo, hi - lo).to_pylist()), dtype=np.uint8)
                 if roles[lo] == 0:
                     codes.append(raw.reshape(hi - lo, -1))
                     owners.append(reps_[lo:hi])
@@ -198,7 +255,7 @@ def nearest(points: DataFrame, k: int = 10, min_cosine: float = -1.0, id_col: st
                             if len(i):
                                 yield pa.RecordBatch.from_arrays([pa.array(asker[i]), pa.array(target[j]), pa.array(low[i, j].astype(np.float32))], ["a", "b", "low"])
 
-    sorted_cells = placed.repartition("cell").sortWithinPartitions("cell", "role")
+    sorted_cells = placed.repartition("cell", "sub").sortWithinPartitions("cell", "sub", "role")
     hits = sorted_cells.mapInArrow(search, "a long, b long, low float")
     # either of a pair may have found the other; the pair serves both
     hits = hits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -218,7 +275,7 @@ def _ranked(hits: DataFrame, reps: DataFrame, members: DataFrame, k: int, min_co
     foreign = shortlist.join(offered.withColumnRenamed("rep", "b"), "b").select("a", F.explode(F.slice("ids", 1, k)).alias("neighbour"), "cosine")
     ranked = foreign.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.desc("cosine"), "neighbour"))).where(F.col("r") <= k)
     options = ranked.groupBy(F.col("a").alias("rep")).agg(F.collect_list(F.struct("cosine", "neighbour")).alias("other"))
-    joined = members.join(offered, "rep").join(options, "rep", "left")
+    joined = members.where("asks").join(offered, "rep").join(options, "rep", "left")
     mine = F.transform(F.filter("ids", lambda x: x != F.col("id")), lambda x: F.struct(F.lit(1.0).alias("cosine"), x.alias("neighbour")))
     ordered = F.sort_array(F.transform(F.concat(mine, F.coalesce("other", F.array().cast("array<struct<cosine:double,neighbour:string>>"))), lambda x: F.struct((-x["cosine"]).alias("d"), x["neighbour"].alias("n"))))
     top = joined.select("id", F.posexplode(F.slice(ordered, 1, k)).alias("r", "x"))

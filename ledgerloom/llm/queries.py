@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
@@ -34,9 +34,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("point_a"), F.greatest("id", "neighbour").alias("point_b")).distinct()
 
 
+def hexadecimal_multiple(c: Column, n: int) -> Column:
+    """Whether a text's hexadecimal digits, read as one number, are divisible by ``n``."""
+    digits = F.split(F.regexp_replace(F.lower(c), "[^0-9a-f]", ""), "")
+    return F.aggregate(digits, F.lit(0), lambda a, x: (a * 16 + F.coalesce(F.conv(F.nullif(x, F.lit("")), 16, 10).cast("int"), F.lit(0))) % n) == 0
+
+
 def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
-    """The 10 most similar other points of every point, whatever their cosine."""
-    return neighbours.nearest(table(spark, d, "point"), k=10)
+    """The 10 most similar other points, whatever their cosine, of every point whose id, a hexadecimal number, is divisible by 20."""
+    return neighbours.nearest(table(spark, d, "point"), k=10, asking=hexadecimal_multiple(F.col("id"), 20))
 
 
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
