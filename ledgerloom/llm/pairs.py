@@ -45,29 +45,40 @@ DECLINING = [
 ENDINGS = r"""[.!?。！？…]["”’'»)\]]*$|[)\]"”»]$"""
 
 
+def ends_whole(text: Column) -> Column:
+    """Whether a text ends in a stop, quotes and brackets after it left aside, or in a closing bracket or quote."""
+    last = F.right(F.rtrim(text, F.lit("\"”’'»)]")), F.lit(1))
+    return last.isin(*".!?。！？…") | F.right(text, F.lit(1)).isin(*")]\"”»")
+
+
 def language(text: Column) -> Column:
     """Language code of a text from its scripts or at least two different function words, null where neither tells."""
-    # the words are computed once and looked at from inside a lambda
-    held = F.array(F.struct(text.alias("t"), F.length(F.regexp_replace(text, r"[^\p{L}]", "")).alias("n"), F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))).alias("w"), text.rlike(r"[^\x00-\x{24F}]").alias("far")))
+    # the words are computed once and looked at from inside a lambda; only those that are function words somewhere are kept
+    every = sorted({w for ws in FUNCTION_WORDS.values() for w in ws.split()})
+    words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0)), lambda w: w.isin(*every)))
+    held = F.array(F.struct(text.alias("t"), words.alias("w"), text.rlike(r"[^\x00-\x{24F}]").alias("far")))
     return F.get(F.transform(held, _language), 0)
 
 
 def _language(x: Column) -> Column:
-    def of(chars: str) -> Column:
-        return F.length(F.regexp_replace(x["t"], rf"[^{chars}]", ""))
+    def script(n: Column) -> Column:
+        def of(chars: str) -> Column:
+            return F.regexp_count(x["t"], F.lit(f"[{chars}]"))
 
-    script = F.when(of(r"\p{IsHiragana}\p{IsKatakana}") * 10 > x["n"], "ja").when(of(r"\p{IsHan}") * 3 > x["n"], "zh")
-    for code, name in (("ru", "Cyrillic"), ("el", "Greek"), ("ar", "Arabic"), ("he", "Hebrew"), ("ko", "Hangul"), ("hi", "Devanagari"), ("th", "Thai")):
-        script = script.when(of(rf"\p{{Is{name}}}") * 2 > x["n"], code)
+        out = F.when(of(r"\p{IsHiragana}\p{IsKatakana}") * 10 > n, "ja").when(of(r"\p{IsHan}") * 3 > n, "zh")
+        for code, name in (("ru", "Cyrillic"), ("el", "Greek"), ("ar", "Arabic"), ("he", "Hebrew"), ("ko", "Hangul"), ("hi", "Devanagari"), ("th", "Thai")):
+            out = out.when(of(rf"\p{{Is{name}}}") * 2 > n, code)
+        return out.otherwise(None)
 
     def hits(frequent: list[str]) -> Column:
-        return F.size(F.array_intersect(x["w"], F.array(*(F.lit(w) for w in frequent))))
+        return F.size(F.filter(x["w"], lambda w: w.isin(*frequent)))
 
     scores = [F.struct(hits(ws.split()).alias("n"), F.lit(code).alias("code")) for code, ws in FUNCTION_WORDS.items()]
     ranked = F.array(F.slice(F.sort_array(F.array(*scores), asc=False), 1, 2))
     by_words = F.get(F.transform(ranked, lambda r: F.when((r[0]["n"] >= 2) & (r[0]["n"] > r[1]["n"]), r[0]["code"])), 0)
     # texts of Latin letters only need no look at other scripts
-    return F.coalesce(F.when(x["far"], script.otherwise(None)), by_words)
+    far = F.when(x["far"], F.get(F.transform(F.array(F.regexp_count(x["t"], F.lit(r"\p{L}"))), script), 0))
+    return F.coalesce(far, by_words)
 
 
 def is_empty(answer: Column) -> Column:
