@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import BROADCAST_ROWS, small_side, staged
-from .pairs import ENDINGS, FUNCTION_WORDS, language
+from .pairs import FUNCTION_WORDS, ends_whole, language
 
 #: The statistics, with the side on which a text falls out of prose: low, high, or both.
 SIDES = {
@@ -32,32 +32,52 @@ LEADERS = r"\.{3,}\s*\d{1,4}$"
 BORDER = r"^[+|][-=+|: ]{4,}$"
 
 
-def line_kind(line: Column) -> Column:
-    """``prose``, ``table``, ``list`` or ``junk`` for one trimmed line."""
-    # words without signs at their ends, joined again so that each kind of word is counted in one pass
-    tokens = F.regexp_extract_all(F.lower(line), F.lit(r"[\p{L}\p{N}](?:\S*[\p{L}\p{N}])?"), F.lit(0))
-    return F.element_at(F.transform(F.array(F.struct(line.alias("s"), tokens.alias("t"))), lambda x: F.element_at(F.transform(F.array(F.struct(x["s"], x["t"], F.concat(F.lit(" "), F.array_join(x["t"], " "), F.lit(" ")).alias("j"))), _kind), 1)), 1)
+#: Unicode's white space.
+WHITE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def _ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
+def symbols(text: Column) -> Column:
+    """Characters that are neither letters, marks, digits nor white space; for ASCII a plain class says the same, faster."""
+    return F.when(_ascii(text), _count(text, r"[^A-Za-z0-9\s]")).otherwise(_count(text, r"(?U)[^\p{L}\p{M}\p{N}\s]"))
+
+
+def line_kind(line: Column) -> Column:
+    """``prose``, ``table``, ``list`` or ``junk`` for one trimmed line."""
+    low = F.lower(line)
+    # words without signs at their ends, joined again so that each kind of word is counted in one pass
+    plain = F.regexp_extract_all(low, F.lit(r"[a-z0-9](?:\S*[a-z0-9])?"), F.lit(0))
+    tokens = F.when(_ascii(line), plain).otherwise(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}](?:\S*[\p{L}\p{N}])?"), F.lit(0)))
+    held = F.transform(F.array(F.struct(line.alias("s"), tokens.alias("t"))), lambda x: F.struct(x["s"], x["t"], F.concat(F.lit(" "), F.array_join(x["t"], " "), F.lit(" ")).alias("j")))
+    return F.get(F.transform(held, _kind), 0)
+
+
 def _kind(x: Column) -> Column:
     s, t, j = x["s"], x["t"], x["j"]
     n = F.size(t)
     length = F.length(s)
     common = F.size(F.filter(t, lambda w: w.isin(*COMMON)))
-    cjk = F.when(s.rlike(r"[\x{E00}-\x{FFFF}]"), _count(s, r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsThai}]") * 2 > length).otherwise(False)
-    words = _count(j, r"(?<= )\p{L}[\p{L}'’.-]*+(?= )")
-    mute = _count(j, r"(?<= )[b-df-hj-np-tv-xz]{3,}+(?= )")
-    odd = _count(j, r"(?<= )(?:(?=\S*\d)(?=\S*\p{L})[\p{L}\p{N}+/=_:.|-]{7,}+|\S{31,}+)(?= )")
-    symbols = _count(s, r"(?U)[^\p{L}\p{M}\p{N}\s]")
+    cjk = F.when(_ascii(s), False).otherwise(_count(s, r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsThai}]") * 2 > length)
+    # words are parted by single blanks, so each match takes the blank before it and leaves the one after it
+    words = F.when(_ascii(s), _count(j, r" [a-z][a-z'.-]*+(?= )")).otherwise(_count(j, r" \p{L}[\p{L}'’.-]*+(?= )"))
+    mute = _count(j, r" [b-df-hj-np-tv-xz]{3,}+(?= )")
+    odd = _count(j, r" (?=[^ ]{7})(?:(?=[^ ]*\d)(?=[^ ]*\p{L})[\p{L}\p{N}+/=_:.|-]{7,}+|[^ ]{31,}+)(?= )")
     untagged = F.when(F.contains(s, F.lit("<")), F.length(F.regexp_replace(s, r"<[^<>]*>", ""))).otherwise(length)
-    cells = F.greatest(_count(s, r"\|"), _count(s, r"\t"), _count(s, r";(?! \p{L})"), _count(s, r" {2,}+"))
+
+    def signs(sign: str, pattern: str) -> Column:
+        return F.when(F.contains(s, F.lit(sign)), _count(s, pattern)).otherwise(0)
+
+    cells = F.greatest(signs("|", r"\|"), signs("\t", r"\t"), signs(";", r";(?! \p{L})"), signs("  ", r" {2,}+"))
     flags = F.struct(
-        s.alias("s"), n.alias("n"), length.alias("length"), common.alias("common"), words.alias("words"), mute.alias("mute"), odd.alias("odd"), symbols.alias("symbols"), untagged.alias("untagged"),
-        cells.alias("cells"), cjk.alias("cjk"), s.rlike(ENDINGS).alias("ended"), s.rlike(BULLET).alias("bullet"),
+        s.alias("s"), n.alias("n"), length.alias("length"), common.alias("common"), words.alias("words"), mute.alias("mute"), odd.alias("odd"), symbols(s).alias("symbols"), untagged.alias("untagged"),
+        cells.alias("cells"), cjk.alias("cjk"), ends_whole(s).alias("ended"), s.rlike(BULLET).alias("bullet"),
     )
     return F.get(F.transform(F.array(flags), _decided), 0)
 
@@ -90,7 +110,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ``other_kind`` is the largest class besides prose.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    lines = F.filter(F.transform(F.split("text", r"\R"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
+    lines = F.filter(F.transform(F.split("text", r"\R"), lambda s: F.trim(s, F.lit(WHITE))), lambda s: s != "")
     rows = rows.withColumn("lines", lines).where(F.size("lines") > 0)
     rows = rows.withColumn("words", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}\p{N}]+(?:['’.,-][\p{L}\p{N}]+)*"), F.lit(0)))
     kinds = F.transform("lines", lambda s: F.struct(line_kind(s).alias("k"), F.length(s).alias("n")))
@@ -100,8 +120,8 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     plain = {
         "n_words": n_words.cast("double"),
         "mean_word_length": F.coalesce(F.length(F.array_join("words", "")) / F.nullif(n_words, F.lit(0)), F.lit(0.0)),
-        "symbol_ratio": _count(F.col("text"), r"(?U)[^\p{L}\p{M}\p{N}\s]") / chars,
-        "punctuated_lines": F.size(F.filter("lines", lambda s: s.rlike(ENDINGS))) / n_lines,
+        "symbol_ratio": symbols(F.col("text")) / chars,
+        "punctuated_lines": F.size(F.filter("lines", ends_whole)) / n_lines,
         "common_words": F.coalesce(F.size(F.filter("words", lambda w: w.isin(*COMMON))) / F.nullif(n_words, F.lit(0)), F.lit(0.0)),
         "digit_ratio": _count(F.col("text"), r"\p{N}") / chars,
         "mean_line_length": F.length(F.array_join("lines", "")) / n_lines,
