@@ -82,8 +82,14 @@ def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
     return encoding.decode_corpus(p8_ids(spark, d))
 
 
+def p9_edited(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with 13 words of an item, up to two word edits apart."""
+    return leakage.leaked_windows(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaked_windows(table(spark, d, "documents"), table(spark, d, "eval_item")).select("doc_id", "item_id")
+    """Of what the edit-tolerant search finds, the passages without an edit."""
+    return p9_edited(spark, d).where("edits = 0").select("doc_id", "item_id")
 
 
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -94,7 +100,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_statistics(spark, d).where("outlier").select("doc_id", "kind")
 
 
-QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_within": p6_within, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_found": p9_found, "p10_found": p10_found, "p10_statistics": p10_statistics}
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_turns": p2_turns, "p3_found": p3_found, "p5_found": p5_found, "p5_nearest": p5_nearest, "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_within": p6_within, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_found": p9_found, "p9_edited": p9_edited, "p10_found": p10_found, "p10_statistics": p10_statistics}
 
 _TRIMMED = r"regexp_replace({0}, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')"
 _LONGEST = r"list_max(list_transform(regexp_split_to_array(t, '[ \t\r\n]+'), lambda x: length(x)))"

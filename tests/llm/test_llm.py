@@ -73,16 +73,30 @@ def test_leaks_against_brute_force(spark):
 
 
 def test_leaks_with_edits(spark):
-    item = random.choices(VOCAB, k=30)
+    items = [(i, random.choices(VOCAB, k=13)) for i in range(60)]
     rows = []
-    for i in range(60):
-        w = list(item)
-        w[random.randrange(5, 25)] = "changed"
-        rows.append((i, " ".join(random.choices(VOCAB, k=10) + w)))
-    d, e = spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id int, text string")
-    found = leakage.leaked_windows(d, e, size=20, max_edits=1, repeats=6, sampled=12).collect()
-    # of single edits nearly all are within reach of some repeat
-    assert len(found) >= 54 and all(r["edits"] <= 1 for r in found)
+    for i, words in items:
+        for kind in range(3):
+            w, at = list(words), random.randrange(13)
+            if kind == 0:
+                w[at] = "changed"
+            elif kind == 1:
+                w[at:at] = ["added"]
+            else:
+                w[at], w[(at + 5) % 13] = "changed", "too"
+            rows.append((10 * i + kind, " ".join([*random.choices(VOCAB, k=20), *w, *random.choices(VOCAB, k=20)])))
+    d, e = spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id int, text string")
+    found = {(r["doc_id"], r["item_id"]): r["edits"] for r in leakage.leaked_windows(d, e).collect()}
+    assert all(doc // 10 == item and n == (1, 1, 2)[doc % 10] or n == 2 for (doc, item), n in found.items())
+    for kind, least in ((0, 0.95), (1, 0.9), (2, 0.8)):
+        assert sum((10 * i + kind, i) in found for i in range(60)) >= least * 60
+    assert not leakage.leaked_windows(d, e, max_edits=0).collect()
+
+
+def test_edit_distances():
+    a = np.array([[1, 2, 3, 4], [1, 2, 3, 4], [1, 2, 3, 4], [1, 1, 1, 1]], dtype=np.uint64)
+    b = np.array([[1, 2, 3, 4], [1, 9, 3, 4], [2, 3, 4, 5], [5, 6, 7, 8]], dtype=np.uint64)
+    assert leakage.edits(a, b).tolist() == [0, 1, 2, 4]
 
 
 # -- near duplicates -------------------------------------------------------------------------------------------------
