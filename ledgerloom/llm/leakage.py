@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from ..session import staged
 from .bytewords import mix, word_hashes
 
-#: Item windows whose keys are held as one sorted array in each worker (8 bytes each); items beyond it go in further blocks.
-ITEM_BLOCK = 1_000_000
+#: Item keys that each worker holds at once, with the words of their windows (112 bytes each); items beyond it go in further blocks.
+ITEM_BLOCK = 250_000
+#: Pairs of windows whose edit distances are counted together.
+PAIRS = 200_000
 #: Windows that take their walk together, few enough to stay in a core's cache.
 TOGETHER = 1 << 16
 #: Walks of their own and positions sampled of each: what the recall stated in the README was measured with.
@@ -110,13 +112,18 @@ def leaked_windows(docs: DataFrame, items: DataFrame, size: int = 13, max_edits:
 
     item_keys = staged(item_rows.mapInArrow(keyed, f"key long, item_id {item_kind}, iw binary").distinct(), "itemkeys")
     blocks = max(1, -(-item_keys.count() // ITEM_BLOCK))
-    hits = None
+    found = None
     for block in range(blocks):
-        own = item_keys.where(F.pmod("key", F.lit(blocks)) == block).select("key").distinct()
-        wanted = spark.sparkContext.broadcast(np.sort(own.toArrow().column(0).to_numpy().astype(np.int64)))
+        own = item_keys.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block).toArrow().sort_by("key").combine_chunks()
+        held = np.frombuffer(b"".join(own.column("iw").to_pylist()), dtype=np.uint64).reshape(-1, size)
+        wanted = spark.sparkContext.broadcast((own.column("key").to_numpy(), held))
 
         def probe(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
-            table = wanted.value
+            table, held = wanted.value
+            if not len(table):
+                return
+            # equal windows of items stand under many keys; each is compared once
+            _, of = np.unique(held, axis=0, return_inverse=True)
             # a small bit filter drops almost all windows before the search
             shift = np.uint64(64 - 22)
             seen = np.zeros(1 << 22, dtype=bool)
@@ -124,25 +131,36 @@ def leaked_windows(docs: DataFrame, items: DataFrame, size: int = 13, max_edits:
             for b in batches:
                 words, first = word_hashes(b.column(1))
                 starts, row = _windows(first, size)
-                if not len(table) or not len(starts):
+                if not len(starts):
                     continue
+                met = []
                 for key in cgk_keys(words, starts, size, repeats, sampled):
                     maybe = np.flatnonzero(seen[(mix(key) >> shift).astype(np.int64)])
                     k = key[maybe].view(np.int64)
-                    ok = table[np.minimum(np.searchsorted(table, k), len(table) - 1)] == k
-                    maybe, k = maybe[ok], k[ok]
-                    yield pa.RecordBatch.from_arrays([pa.array(k), b.column(0).take(pa.array(row[maybe])), _held(words, starts[maybe], size)], ["key", "doc_id", "dw"])
-
-        part = docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.col(text)).alias("text")).where("text is not null").mapInArrow(probe, f"key long, doc_id {kind}, dw binary")
-        hits = part if hits is None else hits.unionByName(part)
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a, c = (np.frombuffer(b"".join(b.column(k).to_pylist()), dtype=np.uint64).reshape(-1, size) for k in (2, 3))
-            n = edits(a, c)
-            keep = np.flatnonzero(n <= max_edits)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), b.column(1).take(pa.array(keep)), pa.array(n[keep].astype(np.int32))], ["doc_id", "item_id", "edits"])
-
-    # a pair of windows that several repeats bring together is verified once
-    pairs = staged(hits.distinct(), "hits").join(item_keys, "key").select("doc_id", "item_id", "dw", "iw").distinct()
-    return pairs.mapInArrow(verify, f"doc_id {kind}, item_id {item_kind}, edits int").groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
+                    low, high = np.searchsorted(table, k), np.searchsorted(table, k, side="right")
+                    n = high - low
+                    at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                    met.append(np.unique(np.repeat(maybe, n) * np.int64(len(table)) + at))
+                pairs = np.unique(np.concatenate(met))
+                window, item = pairs // len(table), pairs % len(table)
+                # an item's window stands under several keys, its words count once for each window of the document
+                _, once = np.unique(window * np.int64(len(table)) + of.ravel()[item], return_index=True)
+                distance = np.empty(len(once), dtype=np.int16)
+                for s in range(0, len(once), PAIRS):
+                    w, i = window[once[s : s + PAIRS]], item[once[s : s + PAIRS]]
+                    distance[s : s + PAIRS] = edits(words[starts[w][:, None] + np.arange(size)], held[i])
+                near = np.flatnonzero(distance <= max_edits)
+                by = {}
+                for w, c, n in zip(window[once[near]].tolist(), of.ravel()[item[once[near]]].tolist(), distance[near].tolist(), strict=True):
+                    by[(row[w], c)] = min(n, by.get((row[w], c), n))
+                rows = [(d, c, n) for (d, c), n in by.items()]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32())], ["doc_id", "w", "edits"])
+
+        part = docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.col(text)).alias("text")).where("text is not null").mapInArrow(probe, f"doc_id {kind}, w long, edits int")
+        # the items of each distinct window, by its number
+        _, of = np.unique(held, axis=0, return_inverse=True)
+        owners = sorted(set(zip(of.ravel().tolist(), own.column("item_id").to_pylist(), strict=True)), key=str)
+        bearers = spark.createDataFrame(owners, f"w long, item_id {item_kind}")
+        part = part.join(F.broadcast(bearers), "w").select("doc_id", "item_id", "edits")
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
