@@ -210,7 +210,9 @@ def nearest(points: DataFrame, k: int = 10, min_cosine: float = -1.0, id_col: st
                 top = np.abs(x).max(axis=1)
                 fine = np.rint(x / top[:, None] * 127).astype(np.int8)
                 rep = b.column(0)
-                stored = pa.array([r.tobytes() for r in bits], pa.binary())
+                # stored ones keep their bits, 8 bits a coordinate and the step of those
+                steps = (top / 127).astype(np.float32)
+                stored = pa.array([r.tobytes() for r in np.concatenate([bits, fine.view(np.uint8), steps.view(np.uint8).reshape(-1, 4)], axis=1)], pa.binary())
                 sub = rep.to_numpy(zero_copy_only=False) % split[home]
                 yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array(sub.astype(np.int32)), pa.array(np.zeros(len(x), np.int8)), rep, pa.array(align), stored], names)
                 asked = pa.array([r.tobytes() for r in fine], pa.binary())
@@ -219,14 +221,19 @@ def nearest(points: DataFrame, k: int = 10, min_cosine: float = -1.0, id_col: st
                 again = split[cell]
                 at, cell = np.repeat(at, again), np.repeat(cell, again)
                 part = np.arange(len(cell)) - np.repeat(np.cumsum(again) - again, again)
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(np.ones(len(at), np.int8)), rep.take(pa.array(at)), pa.array((top / 127).astype(np.float32)[at]), asked.take(pa.array(at))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(np.ones(len(at), np.int8)), rep.take(pa.array(at)), pa.array(steps[at]), asked.take(pa.array(at))], names)
 
     names = ["cell", "sub", "role", "rep", "scale", "code"]
     placed = reps.select("rep", "v").mapInArrow(assign, "cell int, sub int, role byte, rep long, scale float, code binary")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by cell, stored ones first; of a cell the codes are held (8 bytes each), queries pass in slabs."""
+        """Rows come sorted by cell, stored ones first; of a cell the codes are held, queries pass in slabs.
+
+        What the bits leave is looked at with 8 bits a coordinate; rounding moves an inner product by no more than half the steps
+        times the root of the dimension, so what falls below by that much is dropped as well.
+        """
         cell, codes, owners, aligns = None, [], [], []
+        width = -(-dim // 8)
         for b in batches:
             cs, roles = b.column(0).to_numpy().astype(np.int64) << 32 | b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)
             reps_, scales = b.column(3).to_numpy(zero_copy_only=False), b.column(4).to_numpy(zero_copy_only=False)
@@ -240,23 +247,24 @@ def nearest(points: DataFrame, k: int = 10, min_cosine: float = -1.0, id_col: st
                     owners.append(reps_[lo:hi])
                     aligns.append(scales[lo:hi])
                 elif owners:
-                    bits, owner, align = np.concatenate(codes), np.concatenate(owners), np.concatenate(aligns)
-                    codes, owners, aligns = [bits], [owner], [align]
+                    packed, owner, align = np.concatenate(codes), np.concatenate(owners), np.concatenate(aligns)
+                    codes, owners, aligns = [packed], [owner], [align]
+                    bits, fine = packed[:, :width], packed[:, width : width + dim].view(np.int8)
+                    steps = np.ascontiguousarray(packed[:, width + dim :]).view(np.float32).ravel()
                     q = raw.view(np.int8).reshape(hi - lo, dim).astype(np.float32) * scales[lo:hi, None]
                     for s in range(0, hi - lo, SLAB):
                         for t in range(0, len(owner), SLAB):
                             est, err = estimates(bits[t : t + SLAB], align[t : t + SLAB], q[s : s + SLAB], dim)
                             asker, target = reps_[lo + s : min(hi, lo + s + SLAB)], owner[t : t + SLAB]
-                            high, low = est + err, est - err
-                            own = asker[:, None] == target[None, :]
-                            low[own] = -2
-                            floor = np.full(len(asker), min_cosine, dtype=np.float32)
-                            i, j = np.nonzero((high >= floor[:, None]) & ~own)
+                            i, j = np.nonzero((est + err >= min_cosine) & (asker[:, None] != target[None, :]))
+                            near = np.einsum("ij,ij->i", q[s + i], fine[t + j].astype(np.float32)) * steps[t + j]
+                            keep = near + (scales[lo + s + i] + steps[t + j]) * (0.51 * np.sqrt(dim)) >= min_cosine
+                            i, j = i[keep], j[keep]
                             if len(i):
-                                yield pa.RecordBatch.from_arrays([pa.array(asker[i]), pa.array(target[j]), pa.array(low[i, j].astype(np.float32))], ["a", "b", "low"])
+                                yield pa.RecordBatch.from_arrays([pa.array(asker[i]), pa.array(target[j])], ["a", "b"])
 
     sorted_cells = placed.repartition("cell", "sub").sortWithinPartitions("cell", "sub", "role")
-    hits = sorted_cells.mapInArrow(search, "a long, b long, low float")
+    hits = sorted_cells.mapInArrow(search, "a long, b long")
     # either of a pair may have found the other; the pair serves both
     hits = hits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return _ranked(hits, reps, members, k, min_cosine, True)

@@ -87,7 +87,8 @@ def test_leaks_with_edits(spark):
             rows.append((10 * i + kind, " ".join([*random.choices(VOCAB, k=20), *w, *random.choices(VOCAB, k=20)])))
     d, e = spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id int, text string")
     found = {(r["doc_id"], r["item_id"]): r["edits"] for r in leakage.leaked_windows(d, e).collect()}
-    assert all(doc // 10 == item and n == (1, 2, 2)[doc % 10] for (doc, item), n in found.items())
+    # a word put in next to an end is one edit of the window that leaves the end out
+    assert all(doc // 10 == item and n in ((1,), (1, 2), (2,))[doc % 10] for (doc, item), n in found.items())
     for kind, least in ((0, 0.95), (1, 0.9), (2, 0.8)):
         assert sum((10 * i + kind, i) in found for i in range(60)) >= least * 60
     assert not leakage.leaked_windows(d, e, max_edits=0).collect()
