@@ -76,16 +76,14 @@ def sentence_key(sentence: Column) -> Column:
 def first_by_key(items: Column, min_words: int = 0) -> Column:
     """Items with the first of each sentence key kept, in order; blank ones and those of fewer words than ``min_words`` are dropped.
 
-    Sorted by key and position, an item is the first of its key if the one before has another key: no item is compared with all.
+    Sorted by key and position, an item is the first of its key if the one before has another key: each is compared with its neighbour
+    only, so the work grows with the number of items and no faster than their sorting.
     """
     rows = F.transform(items, lambda s, i: F.struct(sentence_key(s).alias("k"), i.alias("i"), s.alias("s")))
-    rows = F.filter(rows, lambda r: (r["k"] != "") & (F.size(F.split(r["k"], " ")) >= min_words))
-    none = F.lit(None).cast("string")
-    firsts = F.aggregate(
-        F.array_sort(rows), F.struct(none.alias("k"), F.array().cast("array<struct<i:int,s:string>>").alias("out")),
-        lambda acc, r: F.when(acc["k"] == r["k"], acc).otherwise(F.struct(r["k"].alias("k"), F.concat(acc["out"], F.array(F.struct(r["i"].alias("i"), r["s"].alias("s")))).alias("out"))),
-    )
-    return F.transform(F.array_sort(firsts["out"]), lambda r: r["s"])
+    rows = F.array_sort(F.filter(rows, lambda r: (r["k"] != "") & (F.size(F.split(r["k"], " ")) >= min_words)))
+    # held once, so that the neighbours don't sort again
+    firsts = F.get(F.transform(F.array(rows), lambda all_: F.filter(all_, lambda r, i: (i == 0) | (r["k"] != F.get(all_, i - 1)["k"]))), 0)
+    return F.transform(F.array_sort(F.transform(firsts, lambda r: F.struct(r["i"].alias("i"), r["s"].alias("s")))), lambda r: r["s"])
 
 
 def kept_first(items: Column, min_words: int = 0) -> Column:
@@ -198,3 +196,42 @@ def calendar_quarter(date: Column) -> Column:
 
 def digit_ratio(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"[^0-9]", "")) / F.length(text)
+
+
+#: Numbers that one fold adds up: the array it makes is copied at each step, so folds stay short.
+FOLD = 256
+
+
+def running_starts(lengths: Column) -> Column:
+    """Where each of consecutive pieces begins, from their lengths: sums within blocks, then the blocks' offsets."""
+
+    def sums(xs: Column) -> Column:
+        return F.aggregate(xs, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / FOLD)), lambda b: sums(F.slice(lengths, (b * FOLD + 1).cast("int"), F.lit(FOLD))))
+    held = F.array(F.struct(blocks.alias("b"), sums(F.transform(blocks, lambda x: F.element_at(x, -1))).alias("o")))
+    return F.get(F.transform(held, lambda h: F.flatten(F.zip_with(h["b"], F.slice(h["o"], 1, F.size(h["b"])), lambda x, o: F.transform(F.slice(x, 1, F.size(x) - 1), lambda y: y + o)))), 0)
+
+
+#: Characters that mark where a match begins and ends; they are dropped from texts that hold them.
+BEGIN, END = "\u0001", "\u0002"
+
+
+def unmarked(text: Column) -> Column:
+    return F.translate(text, BEGIN + END, "")
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """array<struct<start, end, word>> of a pattern's matches in an ``unmarked`` text, in order; offsets count characters from 0."""
+    pieces = F.split(F.regexp_replace(text, pattern, f"{BEGIN}$0{END}"), BEGIN)
+    held = F.array(F.struct(pieces.alias("p"), running_starts(F.transform(pieces, lambda p, i: F.length(p) - F.when(i > 0, 1).otherwise(0))).alias("s")))
+
+    def found(h: Column) -> Column:
+        def one(z: Column) -> Column:
+            word = F.split_part(z["p"], F.lit(END), F.lit(1))
+            return F.struct(z["s"].alias("start"), (z["s"] + F.length(word)).alias("end"), word.alias("word"))
+
+        # the first piece is what stands before the first match
+        return F.transform(F.slice(F.arrays_zip(h["p"].alias("p"), h["s"].alias("s")), F.lit(2), F.size(h["p"])), one)
+
+    return F.get(F.transform(held, found), 0)
