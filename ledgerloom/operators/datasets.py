@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+BRACKETS = re.compile(r"[{}\[\]]")
 FOCUS = "struct<ticker:string,year:int,quarter:string,raw_quarter:string,normalized_doc_type:string,source_id:int,exchange:string,date:string,time:string,company_name:string>"
 
 # The three training prompts.
@@ -124,39 +126,44 @@ def outermost_list(answer: Column) -> Column:
     return F.when(F.try_parse_json(span).isNotNull(), span)
 
 
+def closings(text: str) -> dict[int, int]:
+    """Where each balanced bracket of a text opens and, one past it, closes, each kind on its own; one pass with a stack for each kind."""
+    open_at: dict[str, list[int]] = {"}": [], "]": []}
+    kinds = {"{": "}", "[": "]"}
+    out = {}
+    for m in BRACKETS.finditer(text):
+        sign = m[0]
+        if sign in kinds:
+            open_at[kinds[sign]].append(m.start())
+        elif open_at[sign]:
+            out[open_at[sign].pop()] = m.end()
+    return out
+
+
 def objects_in_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, object_no, json): the JSON objects anywhere in noisy text, also inside lists; unbalanced and unreadable parts are skipped.
 
-    Scanning starts at each opening bracket; a bracket balanced in its own kind is tried as JSON, and scanning goes on after it.
+    The outermost balanced stretches are read as JSON; what is inside a stretch that can't be read isn't looked at again, so each
+    character is read a fixed number of times. Null texts give no row; repeated rows give theirs each.
     """
 
-    def found(text: str) -> Iterator[str]:
-        at = 0
-        closing = {"{": "}", "[": "]"}
-        while at < len(text):
-            starts = [i for i in (text.find("{", at), text.find("[", at)) if i >= 0]
-            if not starts:
-                return
-            begin = min(starts)
-            opener, depth, end = text[begin], 0, -1
-            for i in range(begin, len(text)):
-                depth += (text[i] == opener) - (text[i] == closing[opener])
-                if depth == 0:
-                    end = i + 1
-                    break
-            if end < 0:
-                at = begin + 1
-                continue
-            try:
-                got = json.loads(text[begin:end])
-                yield from (json.dumps(x) for x in (got if isinstance(got, list) else [got]) if isinstance(x, dict))
-            except (ValueError, RecursionError):
-                pass
-            at = end
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, n, j) for i, t in zip(b["id"], b["text"], strict=True) if t for n, j in enumerate(found(t))]
+            rows = []
+            for i, text in zip(b["id"], b["text"], strict=True):
+                end, n = 0, 0
+                for begin, stop in sorted(closings(text or "").items()):
+                    if begin < end:
+                        continue
+                    end = stop
+                    try:
+                        got = json.loads(text[begin:stop])
+                    except (ValueError, RecursionError):
+                        continue
+                    for x in got if isinstance(got, list) else [got]:
+                        if isinstance(x, dict):
+                            rows.append((i, n, json.dumps(x)))
+                            n += 1
             yield pd.DataFrame(rows, columns=["id", "object_no", "json"])
 
     kind = dict(df.dtypes)[id_col]
@@ -190,16 +197,37 @@ def tiled_groups(df: DataFrame, file_col: str, order_col: str, size: int = 5, pe
     return joined_items(kept.select("file", "group_no", numbers.alias("numbers")), df, file_col, order_col, "group_no")
 
 
+def permuted(i: int, n: int, seed: int) -> int:
+    """The ``i``-th number of a random order of 0 to ``n`` - 1, computed alone: a keyed four-round network, walked until inside the range."""
+    half = max(1, ((n - 1).bit_length() + 1) // 2)
+    mask = (1 << half) - 1
+    while True:
+        left, right = i >> half, i & mask
+        for r in range(4):
+            digest = hashlib.blake2b(f"{seed}|{r}|{right}".encode(), digest_size=8).digest()
+            left, right = right, left ^ (int.from_bytes(digest, "big") & mask)
+        i = left << half | right
+        if i < n:
+            return i
+
+
 def random_starts(n: int, size: int, most: int, seed: int) -> list[int]:
-    """Starts of groups of ``size`` among ``n`` rows that don't overlap: all starts in random order, each taken if it is free."""
-    used = np.zeros(n, dtype=bool)
-    out = []
-    for s in np.random.default_rng(seed).permutation(max(n - size + 1, 0)):
+    """Starts of groups of ``size`` among ``n`` rows that don't overlap: starts in random order, each taken if it is free, up to ``most``.
+
+    The order is computed number by number, so the work grows with the groups drawn and not with the rows of a large file.
+    """
+    starts = n - size + 1
+    taken: dict[int, int] = {}
+    out: list[int] = []
+    for i in range(max(starts, 0)):
         if len(out) == most:
             break
-        if not used[s : s + size].any():
-            used[s : s + size] = True
-            out.append(int(s))
+        s = permuted(i, starts, seed)
+        # at most one start lies in a stretch of ``size`` rows, so only the neighbouring stretches can hold an overlap
+        cell = s // size
+        if all(abs(taken[c] - s) >= size for c in (cell - 1, cell, cell + 1) if c in taken):
+            taken[cell] = s
+            out.append(s)
     return out
 
 
