@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import small_side, staged
+
 
 @dataclass(frozen=True)
 class Chunker:
@@ -114,16 +118,26 @@ def for_tickers(chunks: DataFrame, universe: DataFrame) -> DataFrame:
     return chunks.join(universe.select("ticker").distinct(), "ticker", "left_semi")
 
 
-def batch_numbers(df: DataFrame, order: list[str], size: int) -> DataFrame:
-    """Fixed-size batches in a given order: offsets of range partitions make the row numbers, so no single task sorts all.
+def row_numbers(df: DataFrame, order: list[str], within: list[str] | None = None) -> DataFrame:
+    """``df`` with ``row_no`` from 1 in a given order, over all rows or ``within`` each value of some columns.
 
-    Empty tables give no row; rows equal in ``order`` are numbered in any order among themselves.
+    Rows are range-partitioned and written with their partition's number, so that bounds are drawn once; each partition numbers its own
+    rows, and the counts of the partitions before it are added. No task sorts a whole group, however large. Empty tables give no
+    row; rows equal in ``order`` are numbered in any order among themselves.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id())
-    own = ranged.withColumn("_n", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
-    sums = own.groupBy("_p").count()
-    before = sums.withColumn("_o", F.sum("count").over(W.orderBy("_p")) - F.col("count")).select("_p", "_o")
-    # as many rows as partitions, so the broadcast is bounded
-    return own.join(F.broadcast(before), "_p").withColumn("row_no", F.col("_o") + F.col("_n")).withColumn("batch", F.floor((F.col("row_no") - 1) / size)).drop("_p", "_n", "_o")
+    within = within or []
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = staged(df.repartitionByRange(parts, *within, *order).withColumn("_p", F.spark_partition_id()), "ranged")
+    own = ranged.withColumn("_n", F.row_number().over(W.partitionBy("_p", *within).orderBy(*order)))
+    sums = ranged.groupBy("_p", *within).count()
+    over = W.partitionBy(*within).orderBy("_p") if within else W.orderBy("_p")
+    before = sums.withColumn("_o", F.sum("count").over(over) - F.col("count")).drop("count")
+    keys = {c: f"_k{i}" for i, c in enumerate(["_p", *within])}
+    before = small_side(before.withColumnsRenamed(keys))
+    same = reduce(and_, (own[c].eqNullSafe(before[k]) for c, k in keys.items()))
+    return own.join(before, same).withColumn("row_no", F.col("_o") + F.col("_n")).drop("_p", "_n", "_o", *keys.values())
+
+
+def batch_numbers(df: DataFrame, order: list[str], size: int) -> DataFrame:
+    """Fixed-size batches in a given order, numbered from 0."""
+    return row_numbers(df, order).withColumn("batch", F.floor((F.col("row_no") - 1) / size))

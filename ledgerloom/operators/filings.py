@@ -37,7 +37,7 @@ def clean_text(text: Column) -> Column:
 
 def kept_chunks(chunks: Column, filing_type: Column, from_text: Column) -> Column:
     """Chunks that are neither blank nor taxonomy residue; an annual report's first one is skipped unless it came as one text."""
-    body = F.when((filing_type == "10-K") & ~from_text, F.slice(chunks, 2, 1_000_000)).otherwise(chunks)
+    body = F.when((filing_type == "10-K") & ~from_text, F.slice(chunks, F.lit(2), F.greatest(F.size(chunks), F.lit(0)))).otherwise(chunks)
     return F.filter(body, lambda c: (F.trim(c) != "") & ~F.contains(F.lower(c), F.lit("us-gaap")))
 
 

@@ -748,7 +748,8 @@ def json_chunks(spark, d):
 
 
 def numbered(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).where("source is not null").withColumn("n", F.row_number().over(W.partitionBy("source").orderBy("doc_id"))).select("source", "n", "doc_id", "text")
+    rows = chunking.row_numbers(docs(spark, d).where("source is not null").select("source", "doc_id", "text"), ["doc_id"], within=["source"])
+    return rows.select("source", F.col("row_no").cast("int").alias("n"), "doc_id", "text")
 
 
 @query("sample_groups_tiled", "WITH n AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE source IS NOT NULL), g AS (SELECT source AS file, CAST(floor((n - 1) / 5) AS BIGINT) AS group_no, count(*) AS c, min(n) AS first FROM n GROUP BY ALL HAVING count(*) = 5) SELECT file, group_no, CAST(first AS INTEGER) AS first FROM g QUALIFY row_number() OVER (PARTITION BY file ORDER BY md5('42|' || file || '|' || group_no), group_no) <= 250")

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import small_side
 
 NASDAQ = "Symbol STRING, Security_Name STRING, Market_Category STRING, Test_Issue STRING, Financial_Status STRING, Round_Lot_Size STRING, ETF STRING, NextShares STRING"
 OTHER = "ACT_Symbol STRING, Security_Name STRING, Exchange STRING, CQS_Symbol STRING, ETF STRING, Round_Lot_Size STRING, Test_Issue STRING, NASDAQ_Symbol STRING"
@@ -81,7 +82,7 @@ def index_members(pages: DataFrame, id_col: str = "path", html_col: str = "html"
     """Tickers of an index page: the ``Symbol`` column of the table named ``constituents``."""
     rows = html_tables(pages, id_col, html_col).where("table_name = 'constituents'")
     head = rows.where("row_no = 0").select("id", F.array_position("cells", "Symbol").cast("int").alias("at"))
-    return rows.where("row_no > 0").join(F.broadcast(head.limit(1000)), "id").where("at > 0").select(F.get("cells", F.col("at") - 1).alias("ticker"), F.lit("index").alias("source"))
+    return rows.where("row_no > 0").join(small_side(head), "id").where("at > 0").select(F.get("cells", F.col("at") - 1).alias("ticker"), F.lit("index").alias("source"))
 
 
 def _listing(spark: SparkSession, path: str, schema: str, symbol: str) -> DataFrame:
@@ -152,9 +153,22 @@ def document_text(html: Column) -> Column:
     return F.coalesce(X.scrubbed_filing(X.html_text(html)), F.lit(""))
 
 
-def json_documents(spark: SparkSession, path: str, schema: str = RAW_FILING) -> DataFrame:
-    """One document per file in any folder below ``path``, with its path."""
-    return spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path).select("*", F.col("_metadata.file_path").alias("path"))
+def existing(spark: SparkSession, *paths: str) -> list[str]:
+    """Those of the paths that there are."""
+    out = []
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+            out.append(path)
+    return out
+
+
+def json_documents(spark: SparkSession, *paths: str, schema: str = RAW_FILING) -> DataFrame:
+    """One document per file in any folder below the ``paths``, with its path; folders that there aren't give none."""
+    found = existing(spark, *paths)
+    if not found:
+        return spark.createDataFrame([], schema + ", path STRING")
+    return spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(found).select("*", F.col("_metadata.file_path").alias("path"))
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
