@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import asks_price, date_in_query
+from ..session import staged
 from . import market, questions, retrieval
 from .providers import ContextAnswer, HashingEmbedder, LexicalScorer, RuleIntent
 
@@ -19,7 +20,8 @@ def answered(asked: DataFrame, chunks: DataFrame, gazetteer: DataFrame, prices:
     intent, embedder, scorer, generator = intent or RuleIntent(), embedder or HashingEmbedder(), scorer or LexicalScorer(), generator or ContextAnswer()
     routed = asked.withColumn("intent", intent.intent(F.col("query")))
     parsed = questions.parsed_questions(routed, gazetteer)
-    focuses = questions.focus_rows(parsed).join(routed.select("question_id", "query", "intent"), "question_id").withColumn("query_vector", embedder.embed(F.col("modified_query")))
+    # read by the search, the reranker, the prices and the labels, so computed once
+    focuses = staged(questions.focus_rows(parsed).join(routed.select("question_id", "query", "intent"), "question_id").withColumn("query_vector", embedder.embed(F.col("modified_query"))), "asked")
     searched = retrieval.retrieve(focuses.where("intent <> 'MARKET_DATA_ONLY'").select("focus_idx", "ticker", "year", "quarter", "doc_type", "query_vector"), chunks, k)
     scored = searched.join(focuses.select("focus_idx", "query"), "focus_idx").withColumn("rerank_score", scorer.score(F.col("query"), F.col("chunk_text"))).drop("query")
     top = retrieval.reranked(scored, "rerank_score")

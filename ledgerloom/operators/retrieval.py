@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..session import small_side, staged
 
 TOP_K = 70
@@ -82,31 +87,35 @@ def augmentation_levels(base: DataFrame) -> DataFrame:
     )
 
 
-def search_levels(levels: DataFrame, chunks: DataFrame, k: Column | int) -> DataFrame:
-    """(focus_idx, level, tier, point_id, score, …): of each level the ``k`` most similar matching chunks, then the post-filter.
+def search_levels(levels: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """(focus_idx, level, tier, point_id, score, ...): of each level the ``k`` most similar matching chunks, then the post-filter.
 
-    Levels join chunks on the ticker with the rest of the filter as residual condition; the small side is broadcast once its
-    count proves it small. Ties in score break by point id. The ranking runs in parts first and over their winners last.
+    A focus meets the chunks of its ticker once, with all its levels: a chunk that some level matches is scored once and ranked in each
+    of those. The side of the focuses is broadcast once its count proves it small. Ties in score break by point id. Neither vectors
+    nor texts go into the ranking, which runs in parts first and over their winners last.
     """
-    f = {c: F.col(f"f_{c}") for c in ("year", "quarter", "doc_type")}
     c = {n: F.col(f"c_{n}") for n in ("year", "quarter", "source_type", "filing_category")}
-    named = chunks.select("point_id", F.col("ticker").alias("c_ticker"), *(F.col(n).alias(f"c_{n}") for n in c), "date_quarter", "vector", "chunk_text")
+    named = chunks.select("point_id", F.col("ticker").alias("c_ticker"), *(F.col(n).alias(f"c_{n}") for n in c), "date_quarter", "vector")
     levels = levels.withColumn("f_doc_type", canonical_doc_type(F.col("f_doc_type")))
-    joined = named.join(small_side(levels), (F.col("c_ticker") == F.col("ticker")) & focus_matches(f, c))
-    scored = joined.withColumn("score", inner_product("query_vector", "vector")).where("score is not null").drop("vector", "query_vector")
+    grouped = levels.groupBy("focus_idx", "ticker").agg(F.first("query_vector").alias("query_vector"), F.collect_list(F.struct("level", "tier", "f_year", "f_quarter", "f_doc_type")).alias("levels"))
+    joined = named.join(small_side(grouped), F.col("c_ticker") == F.col("ticker"))
+    fitting = F.filter("levels", lambda x: focus_matches({n: x[f"f_{n}"] for n in ("year", "quarter", "doc_type")}, c))
+    scored = joined.withColumn("levels", fitting).where(F.size("levels") > 0).withColumn("score", inner_product("query_vector", "vector")).where("score is not null")
+    rows = scored.select("focus_idx", "ticker", "point_id", "score", *c.values(), "date_quarter", F.explode("levels").alias("x")).select("*", "x.*").drop("x")
     best = (F.desc("score"), "point_id")
-    parts = scored.withColumn("_s", F.pmod(F.xxhash64("point_id"), F.lit(SALTS)))
+    parts = rows.withColumn("_s", F.pmod(F.xxhash64("point_id"), F.lit(SALTS)))
     local = parts.withColumn("_r", F.row_number().over(W.partitionBy("focus_idx", "level", "_s").orderBy(*best))).where(F.col("_r") <= k)
     ranked = local.withColumn("_r", F.row_number().over(W.partitionBy("focus_idx", "level").orderBy(*best))).where(F.col("_r") <= k)
-    return ranked.where(post_filter(f, F.col("date_quarter"))).drop("_r", "_s", "c_ticker")
+    f = {n: F.col(f"f_{n}") for n in ("year", "quarter", "doc_type")}
+    return ranked.where(post_filter(f, F.col("date_quarter"))).drop("_r", "_s")
 
 
 def retrieve(focuses: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame:
-    """(focus_idx, rank, tier, point_id, score, chunk_text, …): base level with results first, filled up to ``k`` by augmentation.
+    """(focus_idx, rank, tier, point_id, score, chunk_text, ...): base level with results first, filled up to ``k`` by augmentation.
 
     Of the relaxation levels the first with a result after the post-filter is the base. Augmentation starts from it, fetches twice
     ``k`` a level, and adds points not held yet, earlier levels first. Focuses without any result give no row; null filter
-    fields don't restrict.
+    fields don't restrict. Texts are joined to the final rows only.
     """
     # read several times below, so computed once; the chunks are scanned once for the levels and once for the augmentation
     focuses = staged(focuses.select("focus_idx", "ticker", "year", "quarter", "doc_type", "query_vector"), "focuses")
@@ -120,12 +129,66 @@ def retrieve(focuses: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame
     both = base.unionByName(more)
     first = both.withColumn("_d", F.row_number().over(W.partitionBy("focus_idx", "point_id").orderBy("level"))).where("_d = 1").drop("_d")
     order = W.partitionBy("focus_idx").orderBy("level", F.desc("score"), "point_id")
-    return first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
+    top = staged(first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "top")
+    texts = chunks.select("point_id", "chunk_text").join(small_side(top.select("point_id").distinct()), "point_id", "left_semi")
+    return top.join(texts, "point_id").select(
         "focus_idx", "ticker", "rank", "tier", "level", "point_id", "score", "chunk_text", F.col("c_source_type").alias("source_type"), F.col("c_filing_category").alias("filing_category"),
         F.col("c_year").alias("year"), F.col("c_quarter").alias("quarter"),
     )
 
 
+#: Query vectors that are held by each worker at once.
+ASKING = 8192
+#: Decimal places at which scores count as equal, ties breaking by id.
+SCORE_PLACES = 9
+
+
+def top_similar(queries: DataFrame, vectors: DataFrame, k: int, dim: int, group: str | None = None) -> DataFrame:
+    """(query_id, [group,] id, score, rank): for every query (query_id, q) its ``k`` most similar vectors (id, v), or so many of each group.
+
+    Queries go to the workers in blocks of ASKING; every batch of vectors is scored as one matrix product and only its own best leave
+    the task, to be ranked once more. Ranks go by the inner product at nine decimals, then by id. Null vectors and those of another
+    length take no part; ids must be unique; empty tables give no row.
+    """
+    spark = vectors.sparkSession
+    n = queries.count()
+    blocks = max(1, -(-n // ASKING))
+    kinds = dict(vectors.dtypes) | dict(queries.dtypes)
+    keys = ["query_id", *([group] if group else [])]
+    schema = f"query_id {kinds['query_id']}, " + (f"{group} {kinds[group]}, " if group else "") + f"id {kinds['id']}, score double"
+    good = F.coalesce((F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)), F.lit(False))
+    stored = vectors.where(good).select(*([group] if group else []), "id", F.transform("v", lambda x: x.cast("double")).alias("v"))
+    fit = F.coalesce((F.size("q") == dim) & ~F.exists("q", lambda x: x.isNull() | F.isnan(x)), F.lit(False))
+    asked = queries.where(fit).select("query_id", F.transform("q", lambda x: x.cast("double")).alias("q"))
+    out = None
+    for block in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow().combine_chunks()
+        sent = spark.sparkContext.broadcast((own.column("query_id").to_pylist(), np.array(own.column("q").to_pylist(), dtype=np.float64).reshape(-1, dim)))
+
+        def score(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            names, q = sent.value
+            for b in batches:
+                if not len(b) or not len(q):
+                    continue
+                scores = np.round(q @ np.stack(b["v"].to_numpy()).T, SCORE_PLACES)
+                groups = b.groupby(group, dropna=False).indices.values() if group else [np.arange(len(b))]
+                for members in groups:
+                    part, ids = scores[:, members], b["id"].to_numpy()[members]
+                    # ids sorted first, so that a stable sort leaves ties in their order
+                    order = np.argsort(ids, kind="stable")
+                    top = np.argsort(-part[:, order], axis=1, kind="stable")[:, :k]
+                    at = members[order[top]]
+                    rows = {"query_id": np.repeat(np.array(names, dtype=object), top.shape[1]), "id": b["id"].to_numpy()[at.ravel()], "score": np.take_along_axis(scores, at, axis=1).ravel()}
+                    if group:
+                        rows[group] = b[group].to_numpy()[at.ravel()]
+                    yield pd.DataFrame(rows)[[*keys, "id", "score"]]
+
+        part = stored.mapInPandas(score, schema)
+        out = part if out is None else out.unionByName(part)
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), "id"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def tier_priority(tier: Column) -> Column:
     return F.when(tier == "Exact Match", 0).when(tier.startswith("Relaxed:"), 1).when(tier.startswith("Augmented:"), 2).otherwise(99)
 
@@ -183,12 +246,19 @@ def prepended(results: DataFrame, first: DataFrame) -> DataFrame:
     return first.withColumn("rank", F.lit(0)).unionByName(results, allowMissingColumns=True)
 
 
-def point_chunks(points: DataFrame, dim: int = 64) -> DataFrame:
-    """The chunk side of a search from points with a payload: id, ticker, metadata, unit vector; vectors not of ``dim`` fit numbers are left out."""
+def point_chunks(points: DataFrame, chunks: DataFrame, dim: int = 64) -> DataFrame:
+    """The chunk side of a search from points with a payload: id, ticker, metadata, unit vector; vectors not of ``dim`` fit numbers are left out.
+
+    A payload has no date; the quarter that a quarterly report is dated in comes from its row in ``chunks``, and is null where that has
+    no date that can be read. Chunks delivered twice count once.
+    """
     p = "payload"
     kind = F.lower(F.regexp_replace(F.col(f"{p}.filing_type"), "-", ""))
     good = F.coalesce((F.size("vector") == dim) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x)), F.lit(False))
-    return points.where(good).select(
+    dated = chunks.where("source_type = 'sec_filing' and global_chunk_id is not null").groupBy("global_chunk_id").agg(F.min("date").alias("date"))
+    dated = dated.select(F.col("global_chunk_id").alias("_g"), X.calendar_quarter(F.col("date")).alias("date_quarter"))
+    rows = points.where(good).select(
         F.col("id").alias("point_id"), F.col(f"{p}.ticker").alias("ticker"), F.col(f"{p}.year").cast("int").alias("year"), F.col(f"{p}.quarter").alias("quarter"), F.col(f"{p}.source_type").alias("source_type"),
-        kind.alias("filing_category"), F.lit(None).cast("int").alias("date_quarter"), unit_vector(F.col("vector")).alias("vector"), F.col(f"{p}.chunk_text").alias("chunk_text"),
+        kind.alias("filing_category"), unit_vector(F.col("vector")).alias("vector"), F.col(f"{p}.chunk_text").alias("chunk_text"), F.col(f"{p}.global_chunk_id").alias("_g"),
     ).where("vector is not null")
+    return rows.join(dated, "_g", "left").drop("_g")

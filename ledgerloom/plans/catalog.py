@@ -408,27 +408,35 @@ def vector_normalize(spark, d):
 _SCORE = "round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
 
 
-@query("vector_topk", f"SELECT e.vec_id, {_SCORE} AS score FROM embeddings e, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q ORDER BY list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id LIMIT 70")
-def vector_topk(spark, d):
+def _similar_sql(k: int, group: str) -> str:
+    over = "round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) DESC, e.vec_id"
+    return (
+        f"SELECT q.vec_id AS query_id, {f'e.{group}, ' if group else ''}e.vec_id, {_SCORE} AS score, CAST(row_number() OVER (PARTITION BY q.vec_id{f', e.{group}' if group else ''} ORDER BY {over}) AS INTEGER) AS rank "
+        f"FROM embeddings e JOIN embeddings q ON q.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id{f', e.{group}' if group else ''} ORDER BY {over}) <= {k}"
+    )
+
+
+def _similar(spark: SparkSession, d: str, k: int, group: str | None) -> DataFrame:
     e = table(spark, d, "embeddings")
-    q = e.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"))
-    scored = e.join(F.broadcast(q)).select("vec_id", retrieval.inner_product("embedding", "q").alias("score"))
-    return scored.orderBy(F.desc("score"), "vec_id").limit(70).select("vec_id", F.round("score", 6).alias("score"))
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    dim = e.agg(F.max(F.size("embedding"))).first()[0] or 1
+    found = retrieval.top_similar(asked, e.select(*([group] if group else []), F.col("vec_id").alias("id"), F.col("embedding").alias("v")), k, dim, group)
+    return found.withColumnRenamed("id", "vec_id").withColumn("score", F.round("score", 6))
 
 
-@query("vector_topk_per_label", f"SELECT e.label, e.vec_id, {_SCORE} AS score FROM embeddings e, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q QUALIFY row_number() OVER (PARTITION BY e.label ORDER BY list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) <= 7")
+@query("vector_topk", _similar_sql(70, ""))
+def vector_topk(spark, d):
+    return _similar(spark, d, 70, None)
+
+
+@query("vector_topk_per_label", _similar_sql(7, "label"))
 def vector_topk_per_label(spark, d):
-    e = table(spark, d, "embeddings")
-    q = e.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"))
-    scored = e.join(F.broadcast(q)).select("label", "vec_id", retrieval.inner_product("embedding", "q").alias("score"))
-    r = F.row_number().over(W.partitionBy("label").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("r", r).where("r <= 7").select("label", "vec_id", F.round("score", 6).alias("score"))
+    return _similar(spark, d, 7, "label")
 
 
 def search_side(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(a focus per ticker of the points, the points): the year and type vary with the ticker, the vector is its first point's."""
-    points = retrieval.point_chunks(table(spark, d, "point"))
-    points = points.withColumn("date_quarter", F.pmod(F.length("chunk_text"), F.lit(4)) + 1)
+    points = retrieval.point_chunks(table(spark, d, "point"), table(spark, d, "chunk"))
     first = points.groupBy("ticker").agg(F.min_by("vector", "point_id").alias("query_vector"), F.min("point_id").alias("p")).where("ticker is not null")
     n = F.pmod(F.ascii(F.substring("ticker", 2, 1)), F.lit(4))
     kind = F.when(n == 0, "10-K").when(n == 1, "10-Q").when(n == 2, "Earnings Transcript")
@@ -438,7 +446,7 @@ def search_side(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     focuses, points = search_side(spark, d)
-    found = retrieval.retrieve(focuses, points, 20)
+    found = retrieval.retrieve(focuses, points)
     top = retrieval.reranked(found.withColumn("rerank_score", F.col("score")), "rerank_score")
     return top.select("focus_idx", "rank", "tier", "point_id", F.round("score", 6).alias("score"), "chunk_text")
 
@@ -446,7 +454,8 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 _GOOD = "len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0"
 _POINTS = (
     f"pts AS (SELECT id AS point_id, payload.ticker AS ticker, CAST(payload.year AS INTEGER) AS year, payload.quarter AS quarter, payload.source_type AS source_type, lower(replace(payload.filing_type, '-', '')) AS filing_category, "
-    f"length(payload.chunk_text) % 4 + 1 AS date_quarter, {_UNIT.format('vector')} AS v, payload.chunk_text AS chunk_text FROM point WHERE vector IS NOT NULL AND {_GOOD})"
+    f"dq AS date_quarter, {_UNIT.format('vector')} AS v, payload.chunk_text AS chunk_text FROM point LEFT JOIN "
+    f"(SELECT global_chunk_id AS gid, quarter({s_date('min(date)')}) AS dq FROM chunk WHERE source_type = 'sec_filing' AND global_chunk_id IS NOT NULL GROUP BY 1) ON gid = payload.global_chunk_id WHERE vector IS NOT NULL AND {_GOOD})"
 )
 _FOCI = (
     "foc AS (SELECT ticker AS focus_idx, ticker, 2018 + ascii(substr(ticker, 3, 1)) % 4 AS year, CASE WHEN ascii(substr(ticker, 2, 1)) % 4 > 0 THEN 2 END AS quarter, "
@@ -487,15 +496,15 @@ def _retrieve_sql(k: int) -> str:
 _PRIORITY = "CASE WHEN tier = 'Exact Match' THEN 0 WHEN tier LIKE 'Relaxed:%' THEN 1 WHEN tier LIKE 'Augmented:%' THEN 2 ELSE 99 END"
 
 
-@query("retrieve_rerank", _retrieve_sql(20) + f"SELECT focus_idx, CAST(n AS INTEGER) AS rank, tier, point_id, round(score, 6) AS score, chunk_text FROM (SELECT *, row_number() OVER (PARTITION BY focus_idx ORDER BY {_PRIORITY}, score DESC, rank) AS n FROM r) WHERE n <= 7")
+@query("retrieve_rerank", _retrieve_sql(70) + f"SELECT focus_idx, CAST(n AS INTEGER) AS rank, tier, point_id, round(score, 6) AS score, chunk_text FROM (SELECT *, row_number() OVER (PARTITION BY focus_idx ORDER BY {_PRIORITY}, score DESC, rank) AS n FROM r) WHERE n <= 7")
 def retrieve_rerank(spark, d):
     return flagship(spark, d)
 
 
-@query("relax_augment", _retrieve_sql(20) + "SELECT focus_idx, CAST(rank AS INTEGER) AS rank, tier, point_id, round(score, 6) AS score FROM r")
+@query("relax_augment", _retrieve_sql(70) + "SELECT focus_idx, CAST(rank AS INTEGER) AS rank, tier, point_id, round(score, 6) AS score FROM r")
 def relax_augment(spark, d):
     focuses, points = search_side(spark, d)
-    return retrieval.retrieve(focuses, points, 20).select("focus_idx", "rank", "tier", "point_id", F.round("score", 6).alias("score"))
+    return retrieval.retrieve(focuses, points).select("focus_idx", "rank", "tier", "point_id", F.round("score", 6).alias("score"))
 
 
 @query("focus_filter", f"WITH {_POINTS}, {_FOCI} SELECT f.focus_idx, count(*) AS n FROM foc f JOIN pts p ON {_match('f')} GROUP BY f.focus_idx")
@@ -638,7 +647,7 @@ def date_in_query(spark, d):
 def answer_batch(spark, d):
     """All questions through parse, search, rerank, prices and context."""
     ask = asked(spark, d).select(F.col("example_id").cast("string").alias("question_id"), F.col("user_query").alias("query"))
-    points = retrieval.point_chunks(table(spark, d, "point"))
+    points = retrieval.point_chunks(table(spark, d, "point"), table(spark, d, "chunk"))
     return answer.answered(ask, points, table(spark, d, "cik_lookup"), prices(spark, d), "2024-12-31")
 
 
