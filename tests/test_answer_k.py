@@ -12,6 +12,6 @@ def test_answer_batch_takes_the_whole_k(spark, monkeypatch):
     monkeypatch.setattr(catalog.answer, "answered", answered)
     for name in ("asked", "table", "prices"):
         monkeypatch.setattr(catalog, name, lambda *a: rows)
-    monkeypatch.setattr(catalog.retrieval, "point_chunks", lambda points: points)
+    monkeypatch.setattr(catalog.retrieval, "point_chunks", lambda points, chunks: points)
     catalog.answer_batch(spark, "")
     assert seen == {"k": 70}
