@@ -6,30 +6,24 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import BROADCAST_ROWS, small_side, staged
+
 #: A file has a field that at least this share of its records carries.
 FIELD_SHARE = 0.1
 #: Two fields have the same content if their values' shapes agree in at least this share.
 SAME_CONTENT = 0.5
 
-#: The standard focus and the names its fields go by in the layouts.
-STANDARD = {
-    "ticker": ["ticker", "symbol", "ticker_symbol"],
-    "year": ["year", "fiscal_year", "doc_year"],
-    "quarter": ["quarter", "qtr", "fiscal_quarter"],
-    "raw_quarter": ["raw_quarter"],
-    "normalized_doc_type": ["normalized_doc_type", "doc_type", "source_type", "filing_type"],
-    "source_id": ["source_id", "src_no", "src_id"],
-    "exchange": ["exchange", "listing_venue"],
-    "date": ["date", "event_date", "filing_date"],
-    "time": ["time", "call_time"],
-    "company_name": ["company_name", "company", "issuer"],
-}
+#: The fields of a standard focus, and what the document's type is called in the source data.
+STANDARD = ["ticker", "year", "quarter", "raw_quarter", "normalized_doc_type", "source_id", "exchange", "date", "time", "company_name"]
+SAME_FIELD = {"doc_type": "normalized_doc_type", "source_type": "normalized_doc_type", "filing_type": "normalized_doc_type"}
 
 
 def json_type(value: object) -> str:
@@ -87,18 +81,25 @@ def shape(value: object) -> str:
         return "boolean"
     text = str(value)
     if len(text) > 60:
-        return "text"
+        return f"text {len(text).bit_length()}"
     if re.fullmatch(r"-?\d+\.\d+(e-?\d+)?", text):
         return "decimal"
     text = re.sub(r"\d+", lambda m: f"9{min(len(m[0]), 9)}", text)
     text = re.sub(r"[A-Z]+", lambda m: f"A{min(len(m[0]), 9)}", text)
-    return re.sub(r"[^\W\d_A]+", "a", re.sub(r"(?<=A\d)[a-z]+", "a", text))[:60]
+    return re.sub(r"[^\W\d_A]+", "a", re.sub(r"(?<=A\d)[a-z]+", "a", text))
 
 
 def _deduplicated(lines: DataFrame) -> DataFrame:
-    """One row per line of a file; a line delivered twice counts once (of different contents, the least)."""
+    """One row per line of a file; a line delivered twice counts once (of different contents, the least).
+
+    Only the keys of all lines are shuffled; the lines themselves only where there are several of a key.
+    """
     keys = ["stream_name", "file_name", "line_no"]
-    return lines.where("file_name is not null").groupBy(*keys).agg(F.min("written_at").alias("written_at"), F.min("raw_line").alias("raw_line"))
+    rows = lines.where("file_name is not null").select(*keys, "written_at", "raw_line")
+    again = small_side(staged(rows.groupBy(*keys).count().where("count > 1").select(*(F.col(c).alias(f"_{c}") for c in keys)), "again"))
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys))
+    several = rows.join(again, same, "left_semi").groupBy(*keys).agg(F.min("written_at").alias("written_at"), F.min("raw_line").alias("raw_line"))
+    return rows.join(again, same, "left_anti").unionByName(several)
 
 
 def file_schemas(lines: DataFrame) -> DataFrame:
@@ -147,9 +148,14 @@ def file_schemas(lines: DataFrame) -> DataFrame:
 
 
 def same_content(a: dict[str, int], b: dict[str, int]) -> float:
-    """The share in which two histograms of shapes agree."""
+    """The share in which two histograms of shapes agree; long texts agree if their lengths, by powers of two, are no more than one apart on average."""
     m, n = sum(a.values()) or 1, sum(b.values()) or 1
-    return sum(min(c / m, b.get(s, 0) / n) for s, c in a.items())
+    agree = sum(min(c / m, b.get(s, 0) / n) for s, c in a.items() if not s.startswith("text "))
+    long = [[(int(s[5:]), c) for s, c in h.items() if s.startswith("text ")] for h in (a, b)]
+    if all(long):
+        (p, x), (q, y) = ((sum(c for _, c in h), sum(k * c for k, c in h)) for h in long)
+        agree += min(p / m, q / n) if abs(x / p - y / q) <= 1 else 0
+    return agree
 
 
 def file_changes(schemas: DataFrame) -> DataFrame:
@@ -160,6 +166,8 @@ def file_changes(schemas: DataFrame) -> DataFrame:
     null throughout has no type and can't be retyped. The first file of a stream has no change; equal times order by name.
     """
     keys = ["stream_name", "file_name"]
+    # read by three branches
+    schemas = staged(schemas, "schemas")
     main = F.struct(F.when(F.col("type") != "null", F.col("n_type")).otherwise(F.lit(-1)).alias("n"), "type")
     listed = F.collect_list(F.struct("type", F.coalesce("shapes", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))).alias("shapes")))
     fields = schemas.where(F.col("n_carry") >= F.col("n_records") * FIELD_SHARE).groupBy(*keys, "field").agg(F.max(main)["type"].alias("type"), listed.alias("alternatives"))
@@ -200,17 +208,42 @@ def file_changes(schemas: DataFrame) -> DataFrame:
     return current.unionByName(before).groupBy(*keys).applyInPandas(compare, schema)
 
 
-def standard_focuses(lines: DataFrame) -> DataFrame:
+def standard_names(changes: DataFrame) -> DataFrame:
+    """(name, standard): every name that a standard field goes by, found by following the renames of all files from the standard names.
+
+    In each round, names that a rename links with known ones take the standard field that most renames speak for (ties by name); names
+    once known stay. Rounds end when a name is no longer found, so chains of renames of any length are followed.
+    """
+    spark = changes.sparkSession
+    renames = changes.where("change_type = 'renamed'").select(F.col("old_field").alias("a"), F.col("new_field").alias("b"))
+    links = staged(renames.unionByName(renames.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a", "b").agg(F.count("*").alias("n")), "renames")
+    known = spark.createDataFrame([(s, s) for s in STANDARD] + list(SAME_FIELD.items()), "name string, standard string")
+    while True:
+        offers = links.join(known.withColumnRenamed("name", "a"), "a").join(known.select(F.col("name").alias("b")), "b", "left_anti").groupBy("b", "standard").agg(F.sum("n").alias("n"))
+        new = staged(offers.groupBy(F.col("b").alias("name")).agg(F.min(F.struct((-F.col("n")).alias("n"), "standard"))["standard"].alias("standard")), "names")
+        if not new.limit(1).count():
+            return known
+        known = staged(known.unionByName(new), "known")
+
+
+def standard_focuses(lines: DataFrame, changes: DataFrame | None = None) -> DataFrame:
     """One row per focus of each record: file and line, focus_no, the ten standard fields as strings or numbers, and ``branches``.
 
-    ``branches`` keeps for each standard field the name and JSON type that it came with (a typed branch of the union), the columns
+    Fields are known by the names that the renames in ``changes`` (by default those of the lines' own files) lead to. ``branches`` keeps for each
+    standard field the name, JSON type and JSON value that it came with, a typed branch of the union; the columns
     hold its canonical conversion: wrappers of one value opened, year and source_id as integers where the whole text is
-    one, quarters as ``Q`` and a digit, document types upper case. What can't be converted is null. Records without a focus
-    give no row; of several names for one standard field the first in the list that is not null counts.
+    one, quarters as ``Q`` and a digit, document types upper case. What can't be converted is null there and kept in its branch. Records without a focus
+    give no row; of several names for one standard field the first in the record that is not null counts.
     """
-    names = list(STANDARD)
+    names = standard_names(file_changes(file_schemas(lines)) if changes is None else changes)
+    rows = names.limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) > BROADCAST_ROWS:
+        raise ValueError(f"more than {BROADCAST_ROWS} field names")
+    standard = lines.sparkSession.sparkContext.broadcast({r["name"]: r["standard"] for r in rows})
 
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = standard.value
+
         def plain(v: object) -> str | None:
             while isinstance(v, list | dict):
                 inner = v if isinstance(v, list) else list(v.values())
@@ -224,16 +257,16 @@ def standard_focuses(lines: DataFrame) -> DataFrame:
                 if rec is None:
                     continue
                 meta, focuses = focus_parts(rec)
-                known = {x for xs in STANDARD.values() for x in xs}
-                if not focuses and known & meta.keys():
+                if not focuses and known.keys() & meta.keys():
                     focuses = [meta]
                 for i, f in enumerate(focuses):
-                    values, branches = {}, {}
-                    for standard, aliases in STANDARD.items():
-                        got = next((a for a in aliases if f.get(a) is not None), None)
-                        values[standard] = plain(f.get(got)) if got else None
-                        if got:
-                            branches[standard] = f"{got}:{json_type(f[got])}"
+                    values, branches = dict.fromkeys(STANDARD), {}
+                    # a standard name goes before the others
+                    for field in sorted(f, key=lambda k: k not in values):
+                        c = known.get(field)
+                        if c and f[field] is not None and c not in branches:
+                            values[c] = plain(f[field])
+                            branches[c] = {"field": field, "type": json_type(f[field]), "value": json.dumps(f[field], ensure_ascii=False)}
                     for c in ("year", "source_id"):
                         v = values[c]
                         values[c] = int(v) if v and re.fullmatch(r"[-+]?\d{1,18}", v) else None
@@ -243,12 +276,12 @@ def standard_focuses(lines: DataFrame) -> DataFrame:
                     values["quarter"] = values["quarter"] or values["raw_quarter"]
                     if values["normalized_doc_type"]:
                         values["normalized_doc_type"] = values["normalized_doc_type"].upper().replace("_", " ").strip()
-                    rows.append((stream, name, no, i, *(values[c] for c in names), branches))
-            frame = pd.DataFrame(rows, columns=["stream_name", "file_name", "line_no", "focus_no", *names, "branches"])
+                    rows.append((stream, name, no, i, *(values[c] for c in STANDARD), branches))
+            frame = pd.DataFrame(rows, columns=["stream_name", "file_name", "line_no", "focus_no", *STANDARD, "branches"])
             for c in ("year", "source_id", "line_no"):
                 frame[c] = frame[c].astype("Int64")
             yield frame
 
     types = {"year": "int", "source_id": "long"}
-    schema = "stream_name string, file_name string, line_no int, focus_no int, " + ", ".join(f"{c} {types.get(c, 'string')}" for c in names) + ", branches map<string,string>"
+    schema = "stream_name string, file_name string, line_no int, focus_no int, " + ", ".join(f"{c} {types.get(c, 'string')}" for c in STANDARD) + ", branches map<string,struct<field:string,type:string,value:string>>"
     return _deduplicated(lines).select("stream_name", "file_name", "line_no", "raw_line").mapInPandas(convert, schema)
