@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import small_side, staged
@@ -19,8 +19,9 @@ AGAIN = ["cp1252", "latin-1", "mac_roman", "cp1251"]
 #: A garbled no-break space whose second half has become a plain blank; in Cyrillic only after an ASCII word, as the letter is a word too.
 STRAY = r"(?:(?:(?<=Â)|(?<=[A-Za-z0-9]В)) )"
 #: A word with a character outside ASCII, and a run of such characters alone; both with the blank of such a no-break space.
-WORD = rf"[A-Za-z0-9]*(?:[^\x00-\x7F]+[A-Za-z0-9]*)+{STRAY}?"
-RUN = rf"[^\x00-\x7F]+{STRAY}?"
+# a word begins where no letter or digit stands before it, and gives nothing back, so that plain words are passed over at once
+WORD = rf"(?<![A-Za-z0-9])[A-Za-z0-9]*+(?:[^\x00-\x7F]++[A-Za-z0-9]*+)++{STRAY}?"
+RUN = rf"[^\x00-\x7F]++{STRAY}?"
 
 
 def decoded(data: bytes, codec: str, undefined: str) -> str:
@@ -82,10 +83,18 @@ def unstrayed(word: str) -> str | None:
     return (undone(word[:-2]) or word[:-2]) + "\u00a0"
 
 
-def _usual(c: str) -> bool:
-    """Letters of European scripts, currency and typographic signs."""
-    o = ord(c)
-    return o < 0x80 or 0xA0 <= o <= 0x17F or 0x370 <= o <= 0x52F or 0x2010 <= o <= 0x2044 or o in (0x20AC, 0x2122, 0x266A)
+def _script(c: str) -> str:
+    """The script of a letter by the first word of its name; Japanese is written in several that go together."""
+    name = unicodedata.name(c, "?").split()[0]
+    return "CJK" if name in ("HIRAGANA", "KATAKANA", "CJK", "KATAKANA-HIRAGANA") else name
+
+
+def _usual(text: str) -> bool:
+    """Whether a text holds letters of one script besides ASCII, and signs that texts hold: no controls, no private or unassigned characters."""
+    if any(unicodedata.category(c) in ("Cc", "Co", "Cn", "Cs", "Sk") or _script(c) == "MODIFIER" for c in text if ord(c) > 127):
+        return False
+    scripts = {_script(c) for c in text if ord(c) > 127 and unicodedata.category(c)[0] == "L"}
+    return len(scripts) <= 1 or scripts <= {"LATIN", "MASCULINE", "FEMININE"}
 
 
 def repairs(words: DataFrame) -> DataFrame:
@@ -125,12 +134,13 @@ def repairs(words: DataFrame) -> DataFrame:
     # only forms that occur matter, as whole words or as runs
     seen_runs = sorted_out.select("word", F.posexplode(F.regexp_extract_all("word", F.lit(RUN), F.lit(0))).alias("i", "run"))
     seen = sorted_out.select(F.col("word").alias("form")).unionByName(seen_runs.select(F.col("run").alias("form"))).distinct()
-    best = W.partitionBy("form").orderBy("lossy", F.desc("n"), "original")
     table = forms.join(seen, "form", "left_semi").groupBy("form", "original").agg(F.min("lossy").alias("lossy"), F.max("n").alias("n"), F.min("chain").alias("chain"))
-    table = table.withColumn("r", F.row_number().over(best)).withColumn("many", F.count("*").over(W.partitionBy("form")))
+    # a form's originals are never gathered: their least and their number are aggregates, taken before the shuffle
+    best = table.groupBy("form").agg(F.min(F.struct("lossy", (-F.col("n")).alias("m"), "original", "chain")).alias("x"), F.count("*").alias("many"))
+    table = best.select("form", "x.original", (-F.col("x.m")).alias("n"), "x.chain", "many")
     # a clean word that happens to be a form of a rarer one stays as it is
     counts = sorted_out.where("clean").select(F.col("word").alias("form"), F.col("n").alias("own"))
-    table = table.where("r = 1 and not (chain like 'lost%' and many > 1)").join(counts, "form", "left").where("own is null or n > 3 * own")
+    table = table.where("not (chain like 'lost%' and many > 1)").join(counts, "form", "left").where("own is null or n > 3 * own")
     table = staged(table.select("form", "original", "chain"), "forms")
     whole = sorted_out.join(table.withColumnRenamed("form", "word"), "word", "left")
     open_words = whole.where("original is null").select("word", "clean")
@@ -141,7 +151,7 @@ def repairs(words: DataFrame) -> DataFrame:
             back = unstrayed(r) or r
             while (nxt := undone(back)) is not None:
                 back = nxt
-            return back if back != r and all(map(_usual, back)) else None
+            return back if back != r and _usual(back) else None
 
         return runs.map(one)
 
@@ -158,23 +168,26 @@ def repairs(words: DataFrame) -> DataFrame:
 
 
 def repaired(docs: DataFrame, id_col: str = "df_index", text_col: str = "transcript") -> DataFrame:
-    """(row, id, text, n_repaired, n_lost) of every row: the text with damaged words replaced by their originals.
+    """(id, text, n_repaired, n_lost) of every row: the text with damaged words replaced by their originals.
 
     ``n_repaired`` counts replaced words, ``n_lost`` words with characters that can't be recovered (they stay as they are).
-    Null texts stay null with zero counts; undamaged texts come out unchanged; repeated rows are kept apart by ``row``.
+    Null texts stay null with zero counts; undamaged texts come out unchanged; each of several equal rows comes out. A row is known by
+    a 128-bit hash of its text, which is the same however often Spark computes it.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("k"), F.xxhash64(F.lit(1), text_col).alias("l"))
     found = rows.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word"))
     fixes = small_side(staged(repairs(found.groupBy("word").agg(F.count("*").alias("n"))), "repairs"))
-    words = rows.select("row", F.posexplode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("i", "word"))
-    hits = words.join(fixes, "word").groupBy("row").agg(
-        F.map_from_entries(F.collect_set(F.struct("word", F.coalesce("original", "word").alias("fixed")))).alias("fixes"),
-        F.sum(F.col("original").isNotNull().cast("int")).alias("n_repaired"), F.sum(F.col("lost").cast("int")).alias("n_lost"),
+    words = rows.select("k", "l", F.posexplode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("i", "word"))
+    # places keep the words of equal texts from counting twice
+    hits = words.join(fixes, "word").groupBy("k", "l").agg(F.collect_set(F.struct("i", "word", "original", "lost")).alias("h"))
+    hits = hits.select(
+        "k", "l", F.map_from_entries(F.array_distinct(F.transform("h", lambda x: F.struct(x["word"], F.coalesce(x["original"], x["word"]))))).alias("fixes"),
+        F.size(F.filter("h", lambda x: x["original"].isNotNull())).cast("long").alias("n_repaired"), F.size(F.filter("h", lambda x: x["lost"])).cast("long").alias("n_lost"),
     )
-    joined = rows.join(hits, "row", "left")
+    joined = rows.join(hits, ["k", "l"], "left")
     between, damaged = F.split("text", WORD, -1), F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     zipped = F.arrays_zip(between.alias("a"), damaged.alias("w"))
     text = F.when(F.col("fixes").isNull(), F.col("text")).otherwise(
         F.array_join(F.transform(zipped, lambda x: F.concat(x["a"], F.coalesce(F.element_at("fixes", x["w"]), x["w"], F.lit("")))), "")
     )
-    return joined.select("row", "id", text.alias("text"), F.coalesce("n_repaired", F.lit(0)).alias("n_repaired"), F.coalesce("n_lost", F.lit(0)).alias("n_lost"))
+    return joined.select("id", text.alias("text"), F.coalesce("n_repaired", F.lit(0)).alias("n_repaired"), F.coalesce("n_lost", F.lit(0)).alias("n_lost"))
