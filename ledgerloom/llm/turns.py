@@ -218,8 +218,13 @@ def repaired_clock(times: list[float | None], drop: float = 90.0) -> list[float
     return out
 
 
-def parse(text: str | None) -> list[tuple[int, str, str, float | None]]:
-    """(turn_no, speaker, text, start in seconds or None) of one transcript whose characters are repaired."""
+def parse(text: str | None) -> list[tuple[int, str, str, float | None, float | None]]:
+    """(turn_no, speaker, text, start, end in seconds or None) of one transcript whose characters are repaired.
+
+    All time marks are repaired together. A stretch begins at the mark on or before its label, else where the marks before it end; it
+    ends where the next one begins, the last one at its last mark. Stretches of one speaker that follow each other are one turn with one
+    interval.
+    """
     if not text:
         return []
     lines = [" ".join(x.split()) for x in re.split(r"\r\n|[\r\n\v\f\u0085  ]", text)]
@@ -258,34 +263,44 @@ def parse(text: str | None) -> list[tuple[int, str, str, float | None]]:
             roster.add(found[0])
     roster.join_forms()
     stretches: list[list] = []
-    speaker, clock = None, None
+    speaker, marks, waiting = None, [], []
     for at, rest, found in marked:
-        clock = at if at is not None else clock
+        if at is not None:
+            waiting.append(len(marks))
+            marks.append(at)
         if found:
             who = "Operator" if _operator(found[0]) else (roster.names[i] if (i := roster.find(found[0])) is not None else None)
             alone = len(_tokens(found[0])) == 1 and not found[1] and not found[2] and not rest.endswith(":")
             if who and not (alone and who != "Operator"):
                 speaker, rest = who, found[1]
-                stretches.append([who, [], clock])
-                clock = None
+                # the mark next to the label is where the stretch begins; -1 before any mark
+                stretches.append([who, [], waiting[-1] if waiting else None, len(marks) - 1])
+                waiting = []
         if rest and speaker:
             stretches[-1][1].append(rest)
-            clock = None
+            stretches[-1][3] = len(marks) - 1
+            waiting = []
+    times = repaired_clock(marks)
     turns: list[list] = []
-    for who, parts, at in stretches:
+    for who, parts, first, last in stretches:
         raw = " ".join(parts)
         if not spoken(raw):
             continue
+        begin = times[first] if first is not None else (turns[-1][3] if turns else None)
+        end = times[last] if last >= 0 else None
+        if turns and first is not None:
+            # what was said before ends here
+            turns[-1][3] = times[first]
         if turns and turns[-1][0] == who:
             turns[-1][1] += " " + cleaned(raw)
+            turns[-1][3] = end
         else:
-            turns.append([who, cleaned(raw), at])
-    times = repaired_clock([t[2] for t in turns])
-    return [(n, who, said.strip(), at) for n, ((who, said, _), at) in enumerate(zip(turns, times, strict=True), 1)]
+            turns.append([who, cleaned(raw), begin, end])
+    return [(n, who, said.strip(), begin, end) for n, (who, said, begin, end) in enumerate(turns, 1)]
 
 
 def speaker_turns(transcripts: DataFrame, id_col: str = "df_index", text_col: str = "transcript") -> DataFrame:
-    """(id, turn_no, speaker, text, start_s): the turns of every transcript in order, characters repaired first.
+    """(id, turn_no, speaker, text, start_s, end_s): the turns of every transcript in order, characters repaired first.
 
     A turn is what one person says until another speaks; a label repeated for the same person starts no new one. A stretch of
     marks, notes and hesitation sounds only is no turn and doesn't part the speech around it. Speakers go by their name in
@@ -299,8 +314,7 @@ def speaker_turns(transcripts: DataFrame, id_col: str = "df_index", text_col: st
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(i, *turn) for i, text in zip(b["id"], b["text"], strict=True) for turn in parse(text)]
-            frame = pd.DataFrame(rows, columns=["id", "turn_no", "speaker", "text", "start_s"])
-            frame["start_s"] = frame["start_s"].astype("float64")
-            yield frame
+            frame = pd.DataFrame(rows, columns=["id", "turn_no", "speaker", "text", "start_s", "end_s"])
+            yield frame.astype({"start_s": "float64", "end_s": "float64"})
 
-    return fixed.select("id", "text").mapInPandas(read, f"id {kind}, turn_no int, speaker string, text string, start_s double")
+    return fixed.select("id", "text").mapInPandas(read, f"id {kind}, turn_no int, speaker string, text string, start_s double, end_s double")

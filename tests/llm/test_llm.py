@@ -266,13 +266,21 @@ Duration: 20 minutes"""
 
 def test_turns():
     rows = turns.parse(CALL)
-    assert [(n, who) for n, who, _, _ in rows] == [(1, "Operator"), (2, "Jane Q. Roe"), (3, "John Doe"), (4, "Jane Q. Roe")]
+    assert [(n, who) for n, who, *_ in rows] == [(1, "Operator"), (2, "Jane Q. Roe"), (3, "John Doe"), (4, "Jane Q. Roe")]
     assert rows[1][2] == "we did, well. Fiscal 2018: the plan held. It goes on. And on." and rows[2][2] == "Why? Again why?"
-    times = [t for *_, t in rows if t is not None]
+    times = [t for *_, begin, end in rows for t in (begin, end) if t is not None]
     assert times == sorted(times)
+    # marks 20, 15 and 1 stand in the wrong order and are evened out together
+    assert rows[0][3:] == (10.0, 12.0) and all(r[3:] == (12.0, 12.0) for r in rows[1:])
     assert turns.parse(None) == turns.parse("") == turns.parse("no label\nat all") == []
 
 
+def test_intervals():
+    said = "Title\n[00:00:05] Ann Roe: One.\n[00:00:20] Ann Roe: Two.\n[00:00:30] Bob Doe: Three.\n[00:00:40] Four.\nAnn Roe: Five."
+    assert [(who, begin, end) for _, who, _, begin, end in turns.parse(said)] == [("Ann Roe", 5.0, 30.0), ("Bob Doe", 30.0, 40.0), ("Ann Roe", 40.0, 40.0)]
+    assert turns.parse("Title\nAnn Roe: One.\nBob Doe: Two.")[0][3:] == (None, None)
+
+
 def test_clock():
     assert turns.repaired_clock([1.0, None, 5.0, 4.0, 9.0]) == [1.0, None, 4.5, 4.5, 9.0]
     assert turns.repaired_clock([100.0, 200.0, 5.0, 50.0]) == [100.0, 200.0, 205.0, 250.0]
