@@ -178,12 +178,12 @@ _RAW = (
 _META = "r.ticker, r.date, CAST(left(r.date, 4) AS INTEGER) AS year, r.cik, r.filing_type"
 
 
-def _clean_filings_sql() -> str:
+def _clean_filings_sql(more: str = "") -> str:
     kept = f"(SELECT *, {CHUNKS_SQL} AS k FROM {_RAW})"
     unique = f"(SELECT doc_id, string_agg(c, ' ' ORDER BY i) AS t FROM (SELECT doc_id, arg_min(c, i) AS c, min(i) AS i FROM (SELECT doc_id, unnest(k) AS c, generate_subscripts(k, 1) AS i FROM {kept}) GROUP BY doc_id, {s_key('c')}) GROUP BY doc_id)"
     first = _FIRST.format("t")
     body = f"(SELECT doc_id, {s_lines(f"CASE WHEN {first} <> '' THEN {first} ELSE t END", X.HEADER_LINES)} AS t FROM {unique})"
-    return f"SELECT clean AS cleaned_text, {_META} FROM {s_clean(body, 'doc_id', 't')} c JOIN {_RAW} r USING (doc_id) WHERE {s_words('clean')} >= 50"
+    return f"SELECT clean AS cleaned_text, {_META}{', ' * bool(more) + more} FROM {s_clean(body, 'doc_id', 't')} c JOIN {_RAW} r USING (doc_id) WHERE {s_words('clean')} >= 50"
 
 
 @query("clean_filings", _clean_filings_sql())
@@ -191,12 +191,12 @@ def clean_filings(spark, d):
     return filings.clean_filings(raw_filings(spark, d))
 
 
-def _apple_sql() -> str:
+def _apple_sql(more: str = "") -> str:
     joined = f"(SELECT doc_id, filing_type, array_to_string({CHUNKS_SQL}, ' ') AS t FROM {_RAW} WHERE len({CHUNKS_SQL}) > 0)"
     first, last = _FIRST.format("t"), _LAST.format("t")
     start = f"CASE WHEN filing_type = '10-K' AND {last} <> '' THEN {last} WHEN {first} <> '' THEN {first} ELSE t END"
     clean = s_single(s_camel(s_quotes(s_lines(f"({start})", X.APPLE_HEADER_LINES))))
-    return f"SELECT clean AS cleaned_text, 'AAPL' AS ticker, r.date, CAST(left(r.date, 4) AS INTEGER) AS year, r.cik, r.filing_type FROM (SELECT doc_id, {clean} AS clean FROM {joined}) c JOIN {_RAW} r USING (doc_id) WHERE {s_words('clean')} >= 50"
+    return f"SELECT clean AS cleaned_text, 'AAPL' AS ticker, r.date, CAST(left(r.date, 4) AS INTEGER) AS year, r.cik, r.filing_type{', ' * bool(more) + more} FROM (SELECT doc_id, {clean} AS clean FROM {joined}) c JOIN {_RAW} r USING (doc_id) WHERE {s_words('clean')} >= 50"
 
 
 @query("clean_filings_apple", _apple_sql())
@@ -206,7 +206,8 @@ def clean_filings_apple(spark, d):
 
 @query("clean_filings_routed")
 def clean_filings_routed(spark, d):
-    return filings.routed_clean(raw_filings(spark, d))
+    """Every fifth document as one of the company with a profile of its own."""
+    return filings.routed_clean(raw_filings(spark, d, F.when(F.pmod("doc_id", F.lit(5)) == 0, "AAPL")))
 
 
 # -- sections --------------------------------------------------------------------------------------------------------
@@ -798,6 +799,12 @@ def prompt_answer(spark, d):
     return asked(spark, d).select("example_id", datasets.prompt(datasets.ANSWER_PROMPT, F.col("user_query"), F.col("final_answer")).alias("prompt"))
 
 
+@query("group_context")
+def group_context(spark, d):
+    """The JSON of each sampled group of chunks, as it stands in the instruction."""
+    return datasets.tiled_groups(numbered(spark, d), "source", "n").select("file", "group_no", F.to_json("items").alias("context"))
+
+
 @query("prompt_synthesis")
 def prompt_synthesis(spark, d):
     return datasets.tiled_groups(numbered(spark, d), "source", "n").select("file", "group_no", datasets.synthesis_prompt(F.col("items")).alias("prompt"))
