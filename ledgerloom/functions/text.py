@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -181,13 +184,16 @@ def scrubbed_filing(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(t, F.lit(" "), F.lit(" ")), r"\n+", "\n"))
 
 
-def html_text(html: Column) -> Column:
-    """Visible text of a page: comments, scripts and styles out, tags dropped, the common entities resolved."""
-    t = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
-    t = F.regexp_replace(t, r"<[^<>]*>", "")
-    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(name), F.lit(sign))
-    return t
+@F.pandas_udf("string")
+def unescaped(texts: pd.Series) -> pd.Series:
+    """Character references resolved, by name and number; the table of names is the standard library's."""
+    return texts.map(html.unescape, na_action="ignore")
+
+
+def html_text(page: Column) -> Column:
+    """Visible text of a page: comments, scripts and styles out, tags dropped, character references resolved."""
+    t = F.regexp_replace(page, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
+    return unescaped(F.regexp_replace(t, r"<[^<>]*>", ""))
 
 
 def calendar_quarter(date: Column) -> Column:

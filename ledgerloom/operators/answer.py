@@ -11,7 +11,7 @@ from . import market, questions, retrieval
 from .providers import ContextAnswer, HashingEmbedder, LexicalScorer, RuleIntent
 
 
-def answered(asked: DataFrame, chunks: DataFrame, gazetteer: DataFrame, prices: DataFrame, today: str, intent=None, embedder=None, scorer=None, generator=None, k: int = retrieval.TOP_K) -> DataFrame:
+def answered(asked: DataFrame, chunks: DataFrame, gazetteer: DataFrame, prices: DataFrame, today: str, intent=None, embedder=None, scorer=None, generator=None, refiner=None, k: int = retrieval.TOP_K) -> DataFrame:
     """(question_id, intent, context, answer) for asked (question_id, query).
 
     Market questions get price lines, document questions the reranked chunks, hybrid ones also the price at the end of the focus's
@@ -20,6 +20,9 @@ def answered(asked: DataFrame, chunks: DataFrame, gazetteer: DataFrame, prices:
     intent, embedder, scorer, generator = intent or RuleIntent(), embedder or HashingEmbedder(), scorer or LexicalScorer(), generator or ContextAnswer()
     routed = asked.withColumn("intent", intent.intent(F.col("query")))
     parsed = questions.parsed_questions(routed, gazetteer)
+    if refiner is not None:
+        read = parsed.join(routed.select("question_id", "query"), "question_id")
+        parsed = read.select("question_id", "modified_query", refiner.refine(F.col("query"), F.col("focuses")).alias("focuses"))
     # read by the search, the reranker, the prices and the labels, so computed once
     focuses = staged(questions.focus_rows(parsed).join(routed.select("question_id", "query", "intent"), "question_id").withColumn("query_vector", embedder.embed(F.col("modified_query"))), "asked")
     searched = retrieval.retrieve(focuses.where("intent <> 'MARKET_DATA_ONLY'").select("focus_idx", "ticker", "year", "quarter", "doc_type", "query_vector"), chunks, k)

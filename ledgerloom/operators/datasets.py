@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.prompts import SYNTHESIS
+
 BRACKETS = re.compile(r"[{}\[\]]")
 FOCUS = "struct<ticker:string,year:int,quarter:string,raw_quarter:string,normalized_doc_type:string,source_id:int,exchange:string,date:string,time:string,company_name:string>"
 
@@ -19,9 +21,6 @@ FOCUS = "struct<ticker:string,year:int,quarter:string,raw_quarter:string,normali
 INTENT_PROMPT = "### Instruction:\nClassify the following user query.\n\n### User Query:\n{q}\n\n### Classification:\n{a}"
 METADATA_PROMPT = "### Instruction:\nExtract the key financial entities and document specifications from the user query into a structured JSON format.\n\n### User Query:\n{q}\n\n### Structured Metadata:\n{a}"
 ANSWER_PROMPT = "### User Query:\n    {q}\n    \n    ### Final Answer:\n    {a}"
-#: Fixed value: the outline of the instruction that asks a model for examples from a group of chunks.
-SYNTHESIS_PROMPT = "Write question and answer examples from the following context, as a JSON list of objects.\n\nCONTEXT:\n{context_group}"
-
 
 def blank_to(c: Column, default: str = "") -> Column:
     return F.coalesce(c, F.lit(default))
@@ -256,7 +255,7 @@ def prompt(template: str, query: Column, answer: Column) -> Column:
 
 
 def synthesis_prompt(group: Column) -> Column:
-    before, after = SYNTHESIS_PROMPT.split("{context_group}")
+    before, after = SYNTHESIS.split("{context_group}")
     return F.concat(F.lit(before), F.to_json(group), F.lit(after))
 
 
@@ -266,3 +265,23 @@ PROMPTS = {"intent": INTENT_PROMPT, "metadata": METADATA_PROMPT, "answer": ANSWE
 def with_context(examples: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     """Examples with the group of chunks that they were made from."""
     return examples.join(groups.select(key, F.col("items").alias("context")), key, "left")
+
+
+def flattened_groups(files: DataFrame) -> DataFrame:
+    """(file, group_no, items) from one row per file with its ``groups``, numbered from 0; files without groups give no row."""
+    return files.select("file", F.posexplode("groups").alias("group_no", "items"))
+
+
+def generated_examples(groups: DataFrame, completer, seed: int = 42, limit: int | None = None) -> DataFrame:
+    """(file, group_no, example_no, example, context) from groups (file, group_no, items): what a model makes of each group.
+
+    Groups are taken in a seeded random order, only the first ``limit`` of them if a trial run asks for that. The list in each answer is read
+    wherever it stands; an answer without a list, or items that are no objects, give no row. ``context`` is the group's JSON.
+    """
+    drawn = shuffled(groups, seed, "file", "group_no")
+    if limit is not None:
+        drawn = drawn.limit(limit)
+    answered = drawn.select("file", "group_no", F.to_json("items").alias("context"), completer.complete(synthesis_prompt(F.col("items"))).alias("answer"))
+    listed = F.try_variant_get(F.try_parse_json(outermost_list(F.col("answer"))), "$", "array<variant>")
+    rows = answered.select("file", "group_no", "context", F.posexplode(F.transform(listed, lambda x: F.to_json(x))).alias("example_no", "example"))
+    return rows.where(F.col("example").startswith("{")).select("file", "group_no", "example_no", "example", "context")

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .questions import DOC_WORDS
+from .questions import DOC_WORDS, focuses_from_answer
 from .retrieval import lexical_score, unit_vector
 
 
@@ -28,6 +28,48 @@ class Generator(Protocol):
     def answer(self, query: Column, context: Column) -> Column: ...
 
 
+class Completer(Protocol):
+    """A model's answer to a prompt; implementations call their service from an Arrow-batched function and pace themselves."""
+
+    def complete(self, prompt: Column) -> Column: ...
+
+
+class Refiner(Protocol):
+    """Focuses set right by a model that sees the question and what the rules found in it."""
+
+    def refine(self, query: Column, focuses: Column) -> Column: ...
+
+
+class FixedCompleter:
+    """The same answer to every prompt, with its length for ``{n}``: stands in for a model in tests."""
+
+    def __init__(self, answer: str) -> None:
+        self.said = answer
+
+    def complete(self, prompt: Column) -> Column:
+        return F.replace(F.lit(self.said), F.lit("{n}"), F.length(prompt).cast("string"))
+
+
+class RuleRefiner:
+    """What the rules found, unchanged."""
+
+    def refine(self, query: Column, focuses: Column) -> Column:
+        return focuses
+
+
+class ModelRefiner:
+    """A completer's JSON read as focuses; the rules' own where the answer can't be read."""
+
+    def __init__(self, completer: Completer, instruction: str = "Question: {query}\nFound: {focuses}") -> None:
+        self.completer, self.instruction = completer, instruction
+
+    def refine(self, query: Column, focuses: Column) -> Column:
+        before, rest = self.instruction.split("{query}")
+        middle, after = rest.split("{focuses}")
+        prompt = F.concat(F.lit(before), F.coalesce(query, F.lit("")), F.lit(middle), F.coalesce(F.to_json(focuses), F.lit("[]")), F.lit(after))
+        return focuses_from_answer(self.completer.complete(prompt), focuses)
+
+
 class RuleIntent:
     """Prices only: market; documents only: search; both or neither: hybrid."""
 

@@ -18,8 +18,10 @@ BLOCKS = [
     (r"Our next question comes from the line of .*?\.\s*Your line is now open\.", None),
     (r"And that concludes the question-and-answer session\.", r"Have a great day\."),
     (r"Duration: \d+ minutes", r"All earnings call transcripts|Copyright © \d{4}|Thomson Reuters .*? transcript"),
+    (r"(?:Call Participants|Participants|Conference Call Participants|Executives|Analysts|Speakers):.*?(?=\n\n|\n[A-ZÀ-ÖØ-Þ][\w\s,&'\.-]+:|Prepared Remarks:|Questions and Answers:|\n?\z)", None),
 ]
 TO_THE_END = r"Duration: \d+ minutes"
+# Fixed patterns: where the participants are listed, what looks like a speaker and is none, and how the head names the company.
 LIST_BLOCK = r"(?is)(?:Call Participants|Participants|Conference Call Participants|Executives|Analysts|Speakers):\s*\n(.*?)(?:\n\n|\n\p{Lu}[\w\s,&'\.-]+:|Prepared Remarks:|Questions and Answers:)"
 NOT_SPEAKERS = ["thank you", "good morning", "good afternoon", "good evening", "questions and answers", "prepared remarks"]
 COMPANY = [
@@ -48,10 +50,10 @@ def without_blocks(text: Column) -> Column:
     out = text
     for start, end in BLOCKS:
         if end is None:
-            out = F.regexp_replace(out, f"(?is){start}", "")
+            out = F.regexp_replace(out, f"(?isu){start}", "")
         else:
             rest = r".*\z" if start == TO_THE_END else r"[^\n]*"
-            out = F.regexp_replace(out, f"(?is)(?:{start})(?:.*?(?:{end})|{rest})", "")
+            out = F.regexp_replace(out, f"(?isu)(?:{start})(?:.*?(?:{end})|{rest})", "")
     return out
 
 

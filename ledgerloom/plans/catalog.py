@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import answer, chunking, datasets, drift, filings, market, questions, retrieval, transcripts
-from ..operators.providers import RuleIntent
+from ..operators.providers import FixedCompleter, ModelRefiner, RuleIntent
 from ..session import table
 from ..sources import readers
 
@@ -677,16 +677,7 @@ def turn_ids(spark, d):
     return table(spark, d, "raw_transcript").select("df_index", transcripts.turn_id(F.col("ticker"), F.col("q"), F.lit("Q1"), F.pmod("df_index", F.lit(1000)).cast("int")).alias("turn_id"))
 
 
-def _blocks_sql() -> str:
-    x = "'Thank you, operator. [Operator Instructions] ' || transcript"
-    for start, end in transcripts.BLOCKS:
-        rest = r".*\z" if start == transcripts.TO_THE_END else r"[^\n]*"
-        p = f"(?is){start}" if end is None else f"(?is)(?:{start})(?:.*?(?:{end})|{rest})"
-        x = f"regexp_replace({x}, '{p.replace(chr(39), chr(39) * 2)}', '', 'g')"
-    return f"SELECT df_index, {x} AS text FROM raw_transcript"
-
-
-@query("boilerplate_remove", _blocks_sql())
+@query("boilerplate_remove")
 def boilerplate_remove(spark, d):
     return table(spark, d, "raw_transcript").select("df_index", transcripts.without_blocks(F.concat(F.lit("Thank you, operator. [Operator Instructions] "), "transcript")).alias("text"))
 
@@ -810,6 +801,31 @@ def prompt_synthesis(spark, d):
     return datasets.tiled_groups(numbered(spark, d), "source", "n").select("file", "group_no", datasets.synthesis_prompt(F.col("items")).alias("prompt"))
 
 
+@query("generate_examples")
+def generate_examples(spark, d):
+    """Examples from every group, with a fixed answer in place of a model's."""
+    said = 'Sure: [{"user_query": "q {n}", "final_response": "r"}, 5, {"user_query": "again"}] as asked'
+    made = datasets.generated_examples(datasets.tiled_groups(numbered(spark, d), "source", "n"), FixedCompleter(said))
+    return made.select("file", "group_no", "example_no", F.get_json_object("example", "$.user_query").alias("user_query"))
+
+
+@query("refine_focuses", "SELECT example_id, 'XMODJ' AS ticker, 2020 AS year FROM qa_answer")
+def refine_focuses(spark, d):
+    """A model's focuses in place of the rules'."""
+    model = ModelRefiner(FixedCompleter('```json\n{"metadata": {"focuses": [{"ticker": "XMODJ", "year": "2020"}]}}\n```'))
+    empty = F.array().cast("array<struct<ticker:string,year:int,quarter:int,doc_type:string>>")
+    rows = asked(spark, d).select("example_id", F.explode(model.refine(F.col("user_query"), empty)).alias("f"))
+    return rows.select("example_id", "f.ticker", "f.year")
+
+
+@query("flat_groups", "SELECT source AS file, CAST(g AS INTEGER) AS group_no FROM (SELECT source, unnest(range(0, count(*) // 5)) AS g FROM documents WHERE source IS NOT NULL GROUP BY source)")
+def flat_groups(spark, d):
+    """Groups of a file each, flattened to one row a group."""
+    cut = numbered(spark, d).select(F.col("source").alias("file"), F.floor((F.col("n") - 1) / 5).alias("g")).groupBy("file", "g").count().where("count = 5")
+    files = cut.groupBy("file").agg(F.sort_array(F.collect_list("g")).alias("groups"))
+    return datasets.flattened_groups(files).select("file", "group_no")
+
+
 # -- prices ----------------------------------------------------------------------------------------------------------
 
 

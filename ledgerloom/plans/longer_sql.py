@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .catalog import SQL, s_date, s_split, s_strip  # noqa: F401
-from .catalog import _ASKS, _DAILY, _apple_sql, _clean_filings_sql
+from ..functions.prompts import SYNTHESIS
+from .catalog import _ASKS, _DAILY, SQL, _apple_sql, _clean_filings_sql
 
 _FOCUSES = (
     "(SELECT example_id, user_query, unnest(json_extract(metadata, '$.focuses[*]')) AS f, generate_subscripts(json_extract(metadata, '$.focuses[*]'), 1) - 1 AS i "
@@ -108,7 +108,32 @@ def _synthesis() -> str:
     )
 
 
+def _blocks() -> str:
+    x = "'Thank you, operator. [Operator Instructions] ' || transcript"
+    rest = r"[^\n]*"
+    for start, end, other in (
+        ("Please note the discussion today will contain forward-looking statements", "except as required by law.", rest), ("During today''s call, management will also discuss certain non-GAAP financial measures", "news release issued earlier today.", rest),
+        ("As a reminder, this conference call is being recorded.", r"ir.[\w\.-]+com[\.\w\/]*", rest), (r"\[Operator Instructions\]", None, ""), (r"Thank you, operator\.", None, ""),
+        (r"Your first question(?: in queue)? comes from the line of .*?\.\s*Your line is open\.", None, ""), (r"Our next question comes from the line of .*?\.\s*Your line is now open\.", None, ""),
+        (r"And that concludes the question-and-answer session\.", r"Have a great day\.", rest), (r"Duration: \d+ minutes", r"All earnings call transcripts|Copyright © \d{4}|Thomson Reuters .*? transcript", r".*\z"),
+    ):
+        x = f"regexp_replace({x}, '(?is){start}', '', 'g')" if end is None else f"regexp_replace({x}, '(?is)(?:{start})(?:.*?(?:{end})|{other})', '', 'g')"
+    # what ends a list may begin the next one, so the pattern is used several times over
+    listed = r"(?is)(?:Call Participants|Participants|Conference Call Participants|Executives|Analysts|Speakers):.*?(\n\n|\n[A-ZÀ-ÖØ-Þ][\w\s,&''\.-]+:|Prepared Remarks:|Questions and Answers:|\n?\z)"
+    for _ in range(4):
+        x = f"regexp_replace({x}, '{listed}', '\\1', 'g')"
+    return f"SELECT df_index, {x} AS text FROM raw_transcript"
+
+
+def _generated() -> str:
+    return (
+        "WITH n AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, doc_id, text FROM documents WHERE source IS NOT NULL), "
+        f"g AS ({_synthesis()}) SELECT file, group_no, CAST(no AS INTEGER) AS example_no, CASE no WHEN 0 THEN 'q ' || (length(context) + {len(SYNTHESIS) - len('{context_group}')}) ELSE 'again' END AS user_query FROM g, (SELECT unnest([0, 2]) AS no)"
+    )
+
+
 SQL |= {
+    "boilerplate_remove": _blocks(), "generate_examples": _generated(),
     "clean_filings_routed": _routed(), "market_answer": _market(), "focus_standardize": _standardized(), "focuses_from_answer": _from_answer(), "transcript_metadata": _head(), "participants": _participants(),
     "speaker_lines": _speaker_lines(), "group_context": _synthesis(),
 }
