@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Lines that are page furniture in filings.
 HEADER_LINES = (
@@ -184,16 +185,17 @@ def scrubbed_filing(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(t, F.lit(" "), F.lit(" ")), r"\n+", "\n"))
 
 
-@F.pandas_udf("string")
-def unescaped(texts: pd.Series) -> pd.Series:
-    """Character references resolved, by name and number; the table of names is the standard library's."""
+def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
 def html_text(page: Column) -> Column:
-    """Visible text of a page: comments, scripts and styles out, tags dropped, character references resolved."""
+    """Visible text of a page: comments, scripts and styles out, tags dropped, character references resolved by name and number.
+
+    The table of names is the standard library's, so that step runs on Arrow batches.
+    """
     t = F.regexp_replace(page, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
-    return unescaped(F.regexp_replace(t, r"<[^<>]*>", ""))
+    return F.pandas_udf(_unescape, StringType())(F.regexp_replace(t, r"<[^<>]*>", ""))
 
 
 def calendar_quarter(date: Column) -> Column:
