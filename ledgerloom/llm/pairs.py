@@ -42,6 +42,8 @@ DECLINING = [
     (r"(?U)\b(eu|me|meu|minha|posso|poderia|lamento)\b", r"(?U)\bnão\b[^.!?]{0,20}\b(posso|poderia|quero|disponho|é possível|consigo|estou)\b"),
     (r"(?U)\b(ik|mij|me|mijn)\b", r"(?U)\b(kan|mag|wil|zal|ben)\b[^.!?]{0,60}\b(niet|geen)\b"),
 ]
+#: Any of the first patterns: few answers speak of the writer, and only those are looked at further.
+SPEAKING = "(?U)" + "|".join(me.replace("(?U)", "") for me, _ in DECLINING)
 ENDINGS = r"""[.!?。！？…]["”’'»)\]]*$|[)\]"”»]$"""
 
 
@@ -259,8 +261,10 @@ def defects(answers: DataFrame, id_col: str = "example_id", query_col: str = "us
     judged = staged(judged, "judged").where("template or varies")
     rows = rows.withColumn("k", F.xxhash64("q", "a")).withColumn("l", F.xxhash64("a", F.lit(1), "q")).join(judged, ["k", "l"], "left")
     lower = F.lower(F.regexp_replace(F.col("a"), "[’‘]", "'"))
-    head = F.regexp_extract(lower, r"^(?s)\s*((?:[^.!?]|[.!?](?!\s))+(?:[.!?]\s+(?:[^.!?]|[.!?](?!\s))+)?)", 1)
-    cue = reduce(or_, (head.rlike(me) & head.rlike(no) for me, no in DECLINING)) & ~F.col("a").rlike(r"[$€£]\s?\d|\d\s?%")
+    # the first two sentences
+    head = F.array_join(F.slice(F.split(lower, r"(?<=[.!?])\s+", 3), 1, 2), " ")
+    declines = F.get(F.transform(F.array(head), lambda h: h.rlike(SPEAKING) & reduce(or_, (h.rlike(me) & h.rlike(no) for me, no in DECLINING))), 0)
+    cue = declines & ~F.col("a").rlike(r"[$€£]\s?\d|\d\s?%")
     refusal = F.coalesce("template", F.lit(False)) | (~F.coalesce("varies", F.lit(False)) & F.coalesce(cue, F.lit(False)))
     mine, theirs = language(q), language(F.col("a"))
     defect = (
