@@ -88,8 +88,9 @@ class HashingEmbedder:
     def embed(self, text: Column) -> Column:
         words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+"), F.lit(0))
         at = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(self.dim)).alias("i"), (F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) * 2 - 1).alias("s")))
-        raw = F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)), lambda i: F.aggregate(at, F.lit(0.0), lambda a, x: a + F.when(x["i"] == i, x["s"]).otherwise(0)))
-        return unit_vector(raw)
+        # the hashed words are held, else each coordinate would hash them again
+        raw = F.transform(F.array(at), lambda h: F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)), lambda i: F.aggregate(h, F.lit(0.0), lambda a, x: a + F.when(x["i"] == i, x["s"]).otherwise(0))))
+        return unit_vector(F.get(raw, 0))
 
 
 class LexicalScorer:

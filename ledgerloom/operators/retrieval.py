@@ -21,8 +21,10 @@ SALTS = 16
 
 def unit_vector(v: Column) -> Column:
     """``v`` scaled to length 1; null for a null or all-zero vector."""
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
+    # vector and length are held, else each coordinate would compute both again
+    length = lambda u: F.sqrt(F.aggregate(u, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    held = F.transform(F.transform(F.array(v), lambda u: F.struct(u.alias("v"), length(u).alias("n"))), lambda h: F.when(h["n"] > 0, F.transform(h["v"], lambda x: x.cast("double") / h["n"])))
+    return F.get(held, 0)
 
 
 def inner_product(a: Column, b: Column) -> Column:
