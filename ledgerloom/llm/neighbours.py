@@ -168,10 +168,13 @@ def nearest(points: DataFrame, k: int = 10, min_cosine: float = -1.0, id_col: st
     spark = points.sparkSession
     asks = F.lit(True) if asking is None else F.coalesce(asking, F.lit(False))
     unit = valid_vectors(points.withColumn("_asks", asks), id_col, vector_col, dim)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    rows = unit.select("id", "asks", F.xxhash64("v").alias("rep"), "v", norm.alias("n"))
+    length = lambda u: F.sqrt(F.aggregate(u, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    # vector and length are held, else each coordinate would compute both again
+    held = F.transform(F.array("v"), lambda u: F.struct(u.alias("v"), length(u).alias("n")))
+    scaled = F.get(F.transform(held, lambda h: F.transform(h["v"], lambda x: (x.cast("double") / h["n"]).cast("float"))), 0)
+    rows = unit.select("id", "asks", F.xxhash64("v").alias("rep"), "v")
     members = staged(rows.groupBy("id", "rep").agg(F.max("asks").alias("asks")), "members")
-    reps = staged(rows.groupBy("rep").agg(F.first(F.transform("v", lambda x: (x.cast("double") / F.col("n")).cast("float"))).alias("v"), F.max("asks").alias("asks")), "vectors")
+    reps = staged(rows.groupBy("rep").agg(F.first("v").alias("v"), F.max("asks").alias("asks")).select("rep", scaled.alias("v"), "asks"), "vectors")
     total = reps.count()
     if min_cosine < CELLS_FROM:
         return _ranked(looked_through(reps, total, reps.where("asks").count(), k, min_cosine, dim), reps, members, k, min_cosine, False)
