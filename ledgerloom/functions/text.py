@@ -30,6 +30,11 @@ INTENTS = ["HYBRID", "DOCUMENT_SEARCH", "MARKET_DATA_ONLY"]
 DATE_FORMATS = ["yyyy-MM-dd", "yyyyMMdd", "M/d/yyyy", "d MMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyy/M/d", "d/M/yyyy", "d MMMM yyyy"]
 
 
+def held(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often the use refers to it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def without_lines(text: Column, pattern: str = HEADER_LINES) -> Column:
     """The lines of ``text`` that the pattern doesn't match, joined by line feeds."""
     return F.array_join(F.filter(F.split(text, r"\R"), lambda line: ~line.rlike(pattern)), "\n")
@@ -96,8 +101,8 @@ def kept_first(items: Column, min_words: int = 0) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    t = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    return F.when(t == "", 0).otherwise(F.size(F.split(t, r"(?U)\s+")))
+    trimmed = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return held(trimmed, lambda t: F.when(t == "", 0).otherwise(F.size(F.split(t, r"(?U)\s+"))))
 
 
 def parsed_date(text: Column) -> Column:

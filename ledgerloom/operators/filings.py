@@ -42,8 +42,11 @@ def kept_chunks(chunks: Column, filing_type: Column, from_text: Column) -> Colum
 
 
 def from_first_item(text: Column) -> Column:
-    at = F.regexp_instr(text, F.lit(FIRST_ITEM))
-    return F.when(at > 0, F.substring(text, at, F.length(text))).otherwise(text)
+    def cut(t: Column) -> Column:
+        at = F.regexp_instr(t, F.lit(FIRST_ITEM))
+        return F.when(at > 0, F.substring(t, at, F.length(t))).otherwise(t)
+
+    return X.held(text, cut)
 
 
 def from_last_part(text: Column) -> Column:
@@ -53,8 +56,12 @@ def from_last_part(text: Column) -> Column:
 
 def from_last_plain_item(text: Column) -> Column:
     """From the last literal ``Item 1.``; the whole text without one."""
-    back = F.instr(F.reverse(text), ".1 metI")
-    return F.when(back > 0, F.substring(text, F.length(text) - back - 5, F.length(text))).otherwise(text)
+
+    def cut(t: Column) -> Column:
+        back = F.instr(F.reverse(t), ".1 metI")
+        return F.when(back > 0, F.substring(t, F.length(t) - back - 5, F.length(t))).otherwise(t)
+
+    return X.held(text, cut)
 
 
 def clean_filings(raw: DataFrame, profile: str = "general") -> DataFrame:
@@ -69,11 +76,12 @@ def clean_filings(raw: DataFrame, profile: str = "general") -> DataFrame:
     if profile == "apple":
         rows = rows.where((F.col("ticker") == "AAPL") & F.col("filing_type").isNotNull() & (F.size("_c") > 0))
         joined = F.array_join("_c", " ")
-        start = F.when(F.col("filing_type") == "10-K", F.coalesce(from_last_part(joined), from_first_item(joined))).otherwise(from_first_item(joined))
+        start = X.held(joined, lambda t: F.when(F.col("filing_type") == "10-K", F.coalesce(from_last_part(t), from_first_item(t))).otherwise(from_first_item(t)))
         cleaned = X.single_spaced(X.split_joined_words(X.normalized_quotes(X.without_lines(start, X.APPLE_HEADER_LINES))))
     else:
         cleaned = clean_text(X.without_lines(from_first_item(F.array_join(X.first_by_key(F.col("_c")), " "))))
-    rows = rows.withColumn("cleaned_text", cleaned).where(X.word_count(F.col("cleaned_text")) >= 50)
+    # a generator stands between the cleaning and the filter, which else would clean every text a second time
+    rows = rows.select("*", F.explode(F.array(cleaned)).alias("cleaned_text")).where(X.word_count(F.col("cleaned_text")) >= 50)
     return rows.select("cleaned_text", "ticker", "date", F.year(X.parsed_date(F.col("date"))).alias("year"), X.cik_of(F.col("url")).alias("cik"), "filing_type")
 
 

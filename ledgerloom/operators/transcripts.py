@@ -135,7 +135,8 @@ def turn_table(transcripts: DataFrame, id_col: str = "df_index") -> DataFrame:
     keys = ["row", "id", "ticker", "year", "quarter", "company_name", "g"]
     said = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "speech"))), lambda x: x["speech"]), "\n")
     turns = lines.groupBy(*keys).agg(F.coalesce(F.max("who"), F.lit("Unknown")).alias("speaker_full"), F.min("section").alias("section"), F.trim(said).alias("raw"))
-    turns = turns.withColumn("text", X.kept_first(X.sentences(X.without_noise(F.col("raw")), capital_follows=False), min_words=2)).where("text <> ''")
+    # a generator stands between the cleaning and the filter, which else would clean every turn a second time
+    turns = turns.select("*", F.explode(F.array(X.kept_first(X.sentences(X.without_noise(F.col("raw")), capital_follows=False), min_words=2))).alias("text")).where("text <> ''")
     turns = turns.withColumn("turn_no", F.row_number().over(W.partitionBy("row").orderBy("g")))
     return turns.select(
         "id", "turn_no", turn_id(F.col("ticker"), F.col("year"), F.col("quarter"), F.col("turn_no")).alias("turn_id"), "speaker_full", simple_name(F.col("speaker_full")).alias("speaker_simple_name"),
