@@ -19,7 +19,7 @@ PAIRS = 200_000
 #: Windows that take their walk together, few enough to stay in a core's cache.
 TOGETHER = 1 << 16
 #: Walks of their own and positions sampled of each: what the recall stated in the README was measured with.
-REPEATS, SAMPLED = 8, 7
+REPEATS, SAMPLED = 12, 7
 _STOP = np.uint64(0)
 
 
