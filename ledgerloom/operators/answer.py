@@ -25,9 +25,13 @@ def answered(asked: DataFrame, chunks: DataFrame, gazetteer: DataFrame, prices:
         parsed = read.select("question_id", "modified_query", refiner.refine(F.col("query"), F.col("focuses")).alias("focuses"))
     # read by the search, the reranker, the prices and the labels, so computed once
     focuses = staged(questions.focus_rows(parsed).join(routed.select("question_id", "query", "intent"), "question_id").withColumn("query_vector", embedder.embed(F.col("modified_query"))), "asked")
-    searched = retrieval.retrieve(focuses.where("intent <> 'MARKET_DATA_ONLY'").select("focus_idx", "ticker", "year", "quarter", "doc_type", "query_vector"), chunks, k)
-    scored = searched.join(focuses.select("focus_idx", "query"), "focus_idx").withColumn("rerank_score", scorer.score(F.col("query"), F.col("chunk_text"))).drop("query")
-    top = retrieval.reranked(scored, "rerank_score")
+    searching = focuses.where("intent <> 'MARKET_DATA_ONLY'").select("focus_idx", "query", "ticker", "year", "quarter", "doc_type", "query_vector")
+    if hasattr(scorer, "features"):
+        top = retrieval.retrieve(searching, chunks, k, scorer.features)
+    else:
+        searched = retrieval.retrieve(searching, chunks, k)
+        scored = searched.join(focuses.select("focus_idx", "query"), "focus_idx").withColumn("rerank_score", scorer.score(F.col("query"), F.col("chunk_text"))).drop("query")
+        top = retrieval.reranked(scored, "rerank_score")
     wants = focuses.where(asks_price(F.col("query")) & (F.col("intent") == "HYBRID")).select(F.col("focus_idx").alias("ask_id"), "ticker", market.as_of_day(F.col("year"), F.to_date(F.lit(today))).alias("day"))
     extra = market.price_chunks(market.price_as_of(wants, prices)).withColumnRenamed("ask_id", "focus_idx").select("focus_idx", "ticker", "tier", "chunk_text", "source_type")
     labels = focuses.select("focus_idx", "question_id", retrieval.focus_label(F.col("ticker"), F.col("year").cast("string"), F.col("quarter").cast("string"), F.col("doc_type")).alias("label"))

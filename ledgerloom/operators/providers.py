@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from .questions import DOC_WORDS, focuses_from_answer
-from .retrieval import lexical_score, unit_vector
+from .retrieval import lexical_score, lexical_words, unit_vector
 
 
 class IntentModel(Protocol):
@@ -94,6 +94,10 @@ class HashingEmbedder:
 
 
 class LexicalScorer:
+    def features(self, text: Column) -> Column:
+        """64-bit hashes of the distinct words: ``score`` is the share of the query's that the text has, so the search can score where it finds."""
+        return F.transform(lexical_words(text), lambda w: F.xxhash64(w))
+
     def score(self, query: Column, text: Column) -> Column:
         return lexical_score(query, text)
 

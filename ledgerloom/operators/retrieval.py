@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..session import small_side, staged
+from .search import TIERS, best_chunks
 
 TOP_K = 70
 FINAL_K = 7
-#: Parts that a (focus, level)'s candidates are ranked in before the final ranking, so that no task ranks a whole ticker.
-SALTS = 16
 
 
 def unit_vector(v: Column) -> Column:
@@ -27,11 +26,6 @@ def unit_vector(v: Column) -> Column:
     return F.get(held, 0)
 
 
-def inner_product(a: Column, b: Column) -> Column:
-    """Summed in order in double precision, so the same on every run."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
 def canonical_doc_type(name: Column) -> Column:
     """Spelling variants of a document type as one: 10-K, 10-Q, Earnings Transcript; others unchanged."""
     flat = F.regexp_replace(F.upper(name), r"[\s_]+", " ")
@@ -51,92 +45,24 @@ def focus_matches(focus: dict[str, Column], chunk: dict[str, Column]) -> Column:
     return F.coalesce(year & kind, F.lit(False))
 
 
-def post_filter(focus: dict[str, Column], date_quarter: Column) -> Column:
-    """After the limit: a quarterly report with a wanted quarter must be dated in it."""
-    return ~(focus["doc_type"].eqNullSafe("10-Q") & focus["quarter"].isNotNull()) | (date_quarter == focus["quarter"]) & date_quarter.isNotNull()
-
-
-
-def relaxation_levels(focuses: DataFrame) -> DataFrame:
-    """(focus columns, level, tier, f_year, f_quarter, f_doc_type): exact first, then without quarter, year, type."""
-    none_int, none_str = F.lit(None).cast("int"), F.lit(None).cast("string")
-
-    def level(n: int, tier: str, year: Column, quarter: Column, doc: Column, on: Column) -> Column:
-        return F.when(on, F.struct(F.lit(n).alias("level"), F.lit(tier).alias("tier"), year.cast("int").alias("f_year"), quarter.cast("int").alias("f_quarter"), doc.alias("f_doc_type")))
-
-    y, q, d = F.col("year"), F.col("quarter"), F.col("doc_type")
-    levels = F.array(
-        level(0, "Exact Match", y, q, d, F.lit(True)), level(1, "Relaxed: No Quarter", y, none_int, d, q.isNotNull()),
-        level(2, "Relaxed: No Year/Quarter", none_int, none_int, d, y.isNotNull()), level(3, "Relaxed: Ticker Only", none_int, none_int, none_str, d.isNotNull()),
-    )
-    return focuses.select("*", F.explode(F.filter(levels, lambda x: x.isNotNull())).alias("x")).select("focus_idx", "ticker", "query_vector", "x.*")
-
-
-def augmentation_levels(base: DataFrame) -> DataFrame:
-    """Levels that fill up from the chosen base level: without quarter, without year and quarter, without type only."""
-    y, q, d = F.col("f_year"), F.col("f_quarter"), F.col("f_doc_type")
-
-    def level(n: int, tier: str, year: Column, quarter: Column, doc: Column, on: Column) -> Column:
-        return F.when(on, F.struct(F.lit(n).alias("level"), F.lit(tier).alias("tier"), year.cast("int").alias("g_year"), quarter.cast("int").alias("g_quarter"), doc.alias("g_doc_type")))
-
-    none_int, none_str = F.lit(None).cast("int"), F.lit(None).cast("string")
-    levels = F.array(
-        level(11, "Augmented: No Quarter", y, none_int, d, q.isNotNull()), level(12, "Augmented: No Year/Quarter", none_int, none_int, d, y.isNotNull()),
-        level(13, "Augmented: No Doc Type", y, q, none_str, d.isNotNull()),
-    )
-    return base.select("focus_idx", "ticker", "query_vector", F.explode(F.filter(levels, lambda x: x.isNotNull())).alias("x")).select(
-        "focus_idx", "ticker", "query_vector", "x.level", "x.tier", F.col("x.g_year").alias("f_year"), F.col("x.g_quarter").alias("f_quarter"), F.col("x.g_doc_type").alias("f_doc_type")
-    )
-
-
-def search_levels(levels: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """(focus_idx, level, tier, point_id, score, ...): of each level the ``k`` most similar matching chunks, then the post-filter.
-
-    A focus meets the chunks of its ticker once, with all its levels: a chunk that some level matches is scored once and ranked in each
-    of those. The side of the focuses is broadcast once its count proves it small. Ties in score break by point id. Neither vectors
-    nor texts go into the ranking, which runs in parts first and over their winners last.
-    """
-    c = {n: F.col(f"c_{n}") for n in ("year", "quarter", "source_type", "filing_category")}
-    named = chunks.select("point_id", F.col("ticker").alias("c_ticker"), *(F.col(n).alias(f"c_{n}") for n in c), "date_quarter", "vector")
-    levels = levels.withColumn("f_doc_type", canonical_doc_type(F.col("f_doc_type")))
-    grouped = levels.groupBy("focus_idx", "ticker").agg(F.first("query_vector").alias("query_vector"), F.collect_list(F.struct("level", "tier", "f_year", "f_quarter", "f_doc_type")).alias("levels"))
-    joined = named.join(small_side(grouped), F.col("c_ticker") == F.col("ticker"))
-    fitting = F.filter("levels", lambda x: focus_matches({n: x[f"f_{n}"] for n in ("year", "quarter", "doc_type")}, c))
-    scored = joined.withColumn("levels", fitting).where(F.size("levels") > 0).withColumn("score", inner_product("query_vector", "vector")).where("score is not null")
-    rows = scored.select("focus_idx", "ticker", "point_id", "score", *c.values(), "date_quarter", F.explode("levels").alias("x")).select("*", "x.*").drop("x")
-    best = (F.desc("score"), "point_id")
-    parts = rows.withColumn("_s", F.pmod(F.xxhash64("point_id"), F.lit(SALTS)))
-    local = parts.withColumn("_r", F.row_number().over(W.partitionBy("focus_idx", "level", "_s").orderBy(*best))).where(F.col("_r") <= k)
-    ranked = local.withColumn("_r", F.row_number().over(W.partitionBy("focus_idx", "level").orderBy(*best))).where(F.col("_r") <= k)
-    f = {n: F.col(f"f_{n}") for n in ("year", "quarter", "doc_type")}
-    return ranked.where(post_filter(f, F.col("date_quarter"))).drop("_r", "_s")
-
-
-def retrieve(focuses: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame:
+def retrieve(focuses: DataFrame, chunks: DataFrame, k: int = TOP_K, features=None, final: int = FINAL_K) -> DataFrame:
     """(focus_idx, rank, tier, point_id, score, chunk_text, ...): base level with results first, filled up to ``k`` by augmentation.
 
-    Of the relaxation levels the first with a result after the post-filter is the base. Augmentation starts from it, fetches twice
-    ``k`` a level, and adds points not held yet, earlier levels first. Focuses without any result give no row; null filter
-    fields don't restrict. Texts are joined to the final rows only.
+    Of the relaxation levels (exact, then without quarter, year, type) the first with a result is the base; a quarterly report with a wanted
+    quarter must be dated in it, which is looked at after the limit. Augmentation starts from the base, fetches twice ``k`` a level, and adds points not
+    held yet, earlier levels first. Focuses without any result give no row; null filter fields don't restrict. With ``features`` (text to an
+    array of distinct numbers) each focus also has a ``query``, its ``k`` chunks are reranked where they are found, by tier, the share of the query's
+    features that the text has and the former rank, and only the ``final`` best come out, with ``rerank_score``. Texts are joined to the final rows only.
     """
-    # read several times below, so computed once; the chunks are scanned once for the levels and once for the augmentation
-    focuses = staged(focuses.select("focus_idx", "ticker", "year", "quarter", "doc_type", "query_vector"), "focuses")
-    found = staged(search_levels(relaxation_levels(focuses), chunks, k), "levels")
-    base_level = found.groupBy("focus_idx").agg(F.min("level").alias("level"))
-    base = found.join(small_side(base_level), ["focus_idx", "level"])
-    chosen = relaxation_levels(focuses).join(small_side(base_level), ["focus_idx", "level"])
-    held = base.groupBy("focus_idx").count().where(F.col("count") < k).select("focus_idx")
-    fill = staged(augmentation_levels(chosen.join(held, "focus_idx", "left_semi")), "fill")
-    more = search_levels(fill, chunks, 2 * k)
-    both = base.unionByName(more)
-    first = both.withColumn("_d", F.row_number().over(W.partitionBy("focus_idx", "point_id").orderBy("level"))).where("_d = 1").drop("_d")
-    order = W.partitionBy("focus_idx").orderBy("level", F.desc("score"), "point_id")
-    top = staged(first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "top")
-    texts = chunks.select("point_id", "chunk_text").join(small_side(top.select("point_id").distinct()), "point_id", "left_semi")
-    return top.join(texts, "point_id").select(
-        "focus_idx", "ticker", "rank", "tier", "level", "point_id", "score", "chunk_text", F.col("c_source_type").alias("source_type"), F.col("c_filing_category").alias("filing_category"),
-        F.col("c_year").alias("year"), F.col("c_quarter").alias("quarter"),
-    )
+    none = F.array().cast("array<bigint>")
+    held = lambda text: F.coalesce(features(F.col(text)), none) if features else none
+    asked = focuses.withColumn("doc_type", canonical_doc_type(F.col("doc_type"))).withColumn("words", held("query"))
+    found = best_chunks(asked, chunks.withColumn("words", held("chunk_text")), k, final if features else None)
+    top = staged(found, "top")
+    tier = F.create_map(*(F.lit(x) for level in TIERS.items() for x in level))
+    shown = chunks.select("point_id", "ticker", "chunk_text", "source_type", "filing_category", "year", "quarter")
+    columns = ["focus_idx", "ticker", "rank", F.try_element_at(tier, F.col("level")).alias("tier"), "level", "point_id", "score", "chunk_text", "source_type", "filing_category", "year", "quarter"]
+    return top.join(shown, "point_id").select(*columns, *(["rerank_score"] if features else []))
 
 
 #: Query vectors that are held by each worker at once.
@@ -205,10 +131,13 @@ def reranked(results: DataFrame, score_col: str, k: int = FINAL_K) -> DataFrame:
     return flagged.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).withColumn("rank", F.col("_n")).drop("_any", "_n")
 
 
+def lexical_words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+"), F.lit(0)))
+
+
 def lexical_score(query: Column, text: Column) -> Column:
     """The share of the question's distinct words that the text holds: the default scorer where no model is plugged in."""
-    a = F.array_distinct(F.regexp_extract_all(F.lower(query), F.lit(r"[a-z0-9]+"), F.lit(0)))
-    b = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+"), F.lit(0)))
+    a, b = lexical_words(query), lexical_words(text)
     return F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.size(a), F.lit(0)), F.lit(0.0))
 
 
